@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, bound_batches
-from .tokens import Encoder, default_tokenizer, encode_all
+from .tokens import default_tokenizer, encoder
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -99,10 +99,9 @@ def pieces(spark: SparkSession, docs: DataFrame, tokenizer: str, length: int, en
     tail = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
         for b in batches:
             at, rows = [], []
-            for i, ids in enumerate(encode_all(encoder, b.column(1).to_pylist())):
+            for i, ids in enumerate(encoder(tokenizer).encode(b.column(1).to_pylist())):
                 ids += tail
                 for k in range(0, len(ids), 4 * length):
                     part = ids[k : k + 4 * length]

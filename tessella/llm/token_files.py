@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, bound_batches
-from .tokens import Encoder, default_tokenizer, encode_all
+from .tokens import default_tokenizer, encoder
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text: str = "text", stripe_bytes: int = 64 << 20, index_rows: int = 1000) -> None:
@@ -27,10 +27,10 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
     source, tail = tokenizer or default_tokenizer(), np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, row = Encoder(source), TaskContext.get().partitionId(), 0
+        part, row = TaskContext.get().partitionId(), 0
         for b in batches:
             for lo in range(0, len(b), 128):
-                ids = [x + tail for x in encode_all(encoder, b.column(1).slice(lo, 128).to_pylist())]
+                ids = [x + tail for x in encoder(source).encode(b.column(1).slice(lo, 128).to_pylist())]
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 128), pa.array(np.full(len(ids), part, np.int32)), pa.array(np.arange(row, row + len(ids))), arrays], names=schema.names)

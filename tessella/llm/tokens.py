@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
-import numpy as np
-
-from .common import Memo
+from array import array
+from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 
 def default_tokenizer() -> str:
@@ -14,45 +15,72 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Marks that end words. After an ASCII letter or digit a run of them is a token run of its own, so word and marks are encoded apart.
+STOPS = b".,;:!?"
+#: Words that a generation of the cache holds; there are two, of about 200 bytes a word.
+GENERATION = 350_000
+
+
 class Encoder:
-    """encode(text) gives little-endian unsigned 32-bit ids, as bytes, without special tokens added.
+    """encode(texts) gives each text's ids as little-endian unsigned 32-bit numbers, in bytes, without special tokens added.
 
     The tokenizer file drops white space before it splits words and its normaliser works within a word, so a text's ids are its
-    words' ids in a row; each word is encoded once while it stays in the cache. That holds for tokenizers of this kind only:
-    by_word=False encodes texts as they are."""
+    words' ids in a row, in either case of A-Z, and each word is encoded once while it stays in the cache. That holds for tokenizers of this kind only:
+    by_word=False encodes texts as they are. Words that were not met while a whole generation filled up are forgotten; results don't depend on it."""
 
     def __init__(self, path: str, by_word: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word, self.known = by_word, Memo(self._word)
-
-    def _ids(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: bytes) -> bytes:
-        return self._ids(word.decode("utf-8", "replace"))
-
-    def encode(self, text: bytes | None) -> bytes:
-        if not text:
-            return b""
-        return b"".join(map(self.known.__getitem__, text.split())) if self.by_word else self._word(text)
-
-    def learn(self, texts: list[bytes | None]) -> None:
-        """Puts the new words of a few texts into the cache in one call of the tokenizer."""
-        if not self.by_word:
-            return
-        words = {w for t in texts if t for w in t.split()}
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.known.limit:
-            self.known.clear()
-            new = list(words)[: self.known.limit]
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(new, got, strict=True))
-
-
-def blocks(texts: list[bytes | None], most: int = 1 << 20):
+        self.by_word, self.known, self.old = by_word, {}, {}
+
+    def _encoded(self, texts: list[bytes]) -> Iterator[bytes]:
+        got = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return (array("I", e.ids).tobytes() for e in got)
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.known) >= GENERATION:
+            self.known, self.old = {}, self.known
+        known, old, new = self.known, self.old, words
+        back = new & old.keys()
+        known.update((w, old[w]) for w in back)
+        new -= back
+        ends = [(w, stem, w[len(stem) :]) for w in new if (stem := w.rstrip(STOPS)) is not w and stem[-1:].isalnum()]
+        new.difference_update([w for w, _, _ in ends])
+        parts = {p for _, *two in ends for p in two} - known.keys() - new
+        back = parts & old.keys()
+        known.update((w, old[w]) for w in back)
+        new = [*new, *(parts - back)]
+        known.update(zip(new, self._encoded(new), strict=True))
+        known.update((w, known[stem] + known[stop]) for w, stem, stop in ends)
+
+    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        for run in blocks(texts):
+            if not self.by_word:
+                yield from self._encoded([t or b"" for t in run])
+                continue
+            # a special token's string counts in its own case alone, and as a whole
+            plain = [not t or b"<|" not in t for t in run]
+            words = [t.lower().split() if t and ok else [] for t, ok in zip(run, plain, strict=True)]
+            got = [list(map(self.known.get, w)) for w in words]
+            new = {w for ws, ids in zip(words, got, strict=True) if None in ids for w, i in zip(ws, ids, strict=True) if i is None}
+            if new:
+                self._learn(new)
+                for ws, ids in zip(words, got, strict=True):
+                    if None in ids:
+                        ids[:] = [self.known[w] if i is None else i for w, i in zip(ws, ids, strict=True)]
+            for t, ok, ids in zip(run, plain, got, strict=True):
+                yield b"".join(ids) if ok else next(self._encoded([t]))
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """The encoder of a tokenizer file in this process, so that a worker's next task finds the words of the one before."""
+    return Encoder(path)
+
+
+def blocks(texts: list[bytes | None], most: int = 1 << 20) -> Iterator[list[bytes | None]]:
     """The texts in runs of about `most` bytes."""
     run, n = [], 0
     for t in texts:
@@ -63,11 +91,3 @@ def blocks(texts: list[bytes | None], most: int = 1 << 20):
             run, n = [], 0
     if run:
         yield run
-
-
-def encode_all(encoder: Encoder, texts: list[bytes | None]):
-    """The ids of each text, in order."""
-    for run in blocks(texts):
-        encoder.learn(run)
-        yield from map(encoder.encode, run)
-
