@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, bound_batches
-from .tokens import default_tokenizer, encoder
+from .tokens import default_tokenizer, encoder, merged
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -96,19 +96,20 @@ def pieces(spark: SparkSession, docs: DataFrame, tokenizer: str, length: int, en
     """One row for each piece of PIECES: a document's ids and end_id, cut at each `length` ids. Null and empty texts have end_id alone."""
     bound_batches(spark)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T._parse_datatype_string(PIECES).fields[1:]])
-    tail = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, rows = [], []
-            for i, ids in enumerate(encoder(tokenizer).encode(b.column(1).to_pylist())):
-                ids += tail
-                for k in range(0, len(ids), 4 * length):
-                    part = ids[k : k + 4 * length]
-                    at.append(i)
-                    rows.append((k // (4 * length), k // 4, len(part) // 4, zlib.crc32(part)))
-            more = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+        for b in merged(batches):
+            at, rows, row = [], [], 0
+            for ids, ends in encoder(tokenizer).encode(b.column(1), end_id):
+                begin = 0
+                for end in ends.tolist():
+                    for lo in range(begin, end, length):
+                        hi = min(lo + length, end)
+                        at.append(row)
+                        rows.append(((lo - begin) // length, lo - begin, hi - lo, zlib.crc32(ids[lo:hi])))
+                    begin, row = end, row + 1
             if rows:
+                more = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *more], names=schema.names)
 
     return docs.select(id_col, F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)
@@ -130,7 +131,6 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, len
     dealt = cut.withColumn("slot", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slots)))
     by = dealt.groupBy("length", "slot").agg(F.count(F.lit(1)).alias("n"))
     before = by.select(F.col("length").alias("of"), F.col("slot").alias("at"), (F.sum("n").over(Window.partitionBy("length").orderBy("slot")) - F.col("n")).alias("before"))
-    before = scratch.put(before, "before")
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "slot").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     ranked = ranked.join(before, (ranked["length"] == before["of"]) & (ranked["slot"] == before["at"]))
     order = np.lexsort((p.first, p.length))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, bound_batches
-from .tokens import default_tokenizer, encoder
+from .tokens import default_tokenizer, encoder, merged
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text: str = "text", stripe_bytes: int = 64 << 20, index_rows: int = 1000) -> None:
@@ -24,17 +24,17 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
     on doc_id, so that a point look-up reads one stripe's ids. Null and empty texts hold end_id alone; repeated rows are written as often."""
     bound_batches(spark)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T._parse_datatype_string("part int, row bigint, ids array<int>").fields])
-    source, tail = tokenizer or default_tokenizer(), np.asarray([end_id], "<u4").tobytes()
+    source = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId(), 0
-        for b in batches:
-            for lo in range(0, len(b), 128):
-                ids = [x + tail for x in encoder(source).encode(b.column(1).slice(lo, 128).to_pylist())]
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 128), pa.array(np.full(len(ids), part, np.int32)), pa.array(np.arange(row, row + len(ids))), arrays], names=schema.names)
-                row += len(ids)
+        for b in merged(batches):
+            lo = 0
+            for ids, ends in encoder(source).encode(b.column(1), end_id):
+                n = len(ends)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), lists], names=schema.names)
+                lo, row = lo + n, row + n
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))

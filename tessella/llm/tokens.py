@@ -6,7 +6,11 @@ import os
 from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from unicodedata import is_normalized
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def default_tokenizer() -> str:
@@ -16,62 +20,91 @@ def default_tokenizer() -> str:
 
 
 #: Marks that end words. After an ASCII letter or digit a run of them is a token run of its own, so word and marks are encoded apart.
-STOPS = b".,;:!?"
+STOPS = ".,;:!?"
 #: Words that a generation of the cache holds; there are two, of about 200 bytes a word.
-GENERATION = 350_000
+GENERATION = 500_000
+#: Bytes of text that are encoded together.
+BLOCK = 12 << 20
 
 
 class Encoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit numbers, in bytes, without special tokens added.
+    """Token ids of texts, without special tokens added but for an end id after each.
 
     The tokenizer file drops white space before it splits words and its normaliser works within a word, so a text's ids are its
-    words' ids in a row, in either case of A-Z, and each word is encoded once while it stays in the cache. That holds for tokenizers of this kind only:
-    by_word=False encodes texts as they are. Words that were not met while a whole generation filled up are forgotten; results don't depend on it."""
+    words' ids in a row, in either case of A-Z. The different words of a block of texts are encoded once each, and not again while they stay in the cache;
+    words that were not met while a whole generation filled up are forgotten, and results don't depend on it. All this holds for tokenizers of this
+    kind only: by_word=False encodes texts as they are."""
 
     def __init__(self, path: str, by_word: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # for words of lower-case letters alone: their normal form is themselves, and each is one run of letters
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.by_word, self.known, self.old = by_word, {}, {}
 
-    def _encoded(self, texts: list[bytes]) -> Iterator[bytes]:
-        got = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+    def _encoded(self, texts: list[str], bare: bool = False) -> Iterator[bytes]:
+        got = (self.bare if bare else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return (array("I", e.ids).tobytes() for e in got)
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[str]) -> None:
         if len(self.known) >= GENERATION:
             self.known, self.old = {}, self.known
-        known, old, new = self.known, self.old, words
-        back = new & old.keys()
-        known.update((w, old[w]) for w in back)
-        new -= back
-        ends = [(w, stem, w[len(stem) :]) for w in new if (stem := w.rstrip(STOPS)) is not w and stem[-1:].isalnum()]
-        new.difference_update([w for w, _, _ in ends])
-        parts = {p for _, *two in ends for p in two} - known.keys() - new
-        back = parts & old.keys()
+        known, old = self.known, self.old
+        ends = [(w, stem, w[len(stem) :]) for w in words if w[-1:] in STOPS and (stem := w.rstrip(STOPS))[-1:].isascii() and stem[-1:].isalnum()]
+        want = set(words)
+        want.difference_update([w for w, _, _ in ends])
+        want.update([stem for _, stem, _ in ends], {stop for _, _, stop in ends})
+        want -= known.keys()
+        back = want & old.keys()
         known.update((w, old[w]) for w in back)
-        new = [*new, *(parts - back)]
-        known.update(zip(new, self._encoded(new), strict=True))
+        want -= back
+        simple = [w for w in want if w.isalpha() and w == w.lower() and is_normalized("NFC", w)]
+        for part, bare in ((simple, True), (list(want.difference(simple)), False)):
+            known.update(zip(part, self._encoded(part, bare), strict=True))
         known.update((w, known[stem] + known[stop]) for w, stem, stop in ends)
 
-    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
+    def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's end."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        edges = lists.offsets.to_numpy()
+        coded = lists.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            self._learn([w for w, i in zip(words, ids, strict=True) if i is None])
+            known = self.known
+            ids = [known[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+        start, flat = np.cumsum(size, dtype=np.int32) - size, np.frombuffer(b"".join(ids), "<u4")
+        each = size[at]
+        upto = np.zeros(len(each) + 1, np.int32)
+        np.cumsum(each, out=upto[1:])
+        place = np.arange(upto[-1], dtype=np.int32)
+        place += np.repeat(start[at] - upto[:-1], each)
+        return flat[place], upto[edges[1:] - edges[0]].astype(np.int64)
+
+    def encode(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For runs of the texts (binary), in order: their ids, each text's with end_id after them, and where each text's end."""
         for run in blocks(texts):
-            if not self.by_word:
-                yield from self._encoded([t or b"" for t in run])
-                continue
+            try:
+                run = run.cast(pa.string())
+            except pa.ArrowInvalid:
+                run = pa.array([t.decode("utf-8", "replace") for t in run.to_pylist()], pa.string())
             # a special token's string counts in its own case alone, and as a whole
-            plain = [not t or b"<|" not in t for t in run]
-            words = [t.lower().split() if t and ok else [] for t, ok in zip(run, plain, strict=True)]
-            got = [list(map(self.known.get, w)) for w in words]
-            new = {w for ws, ids in zip(words, got, strict=True) if None in ids for w, i in zip(ws, ids, strict=True) if i is None}
-            if new:
-                self._learn(new)
-                for ws, ids in zip(words, got, strict=True):
-                    if None in ids:
-                        ids[:] = [self.known[w] if i is None else i for w, i in zip(ws, ids, strict=True)]
-            for t, ok, ids in zip(run, plain, got, strict=True):
-                yield b"".join(ids) if ok else next(self._encoded([t]))
+            if self.by_word and not pc.any(pc.match_substring(run, "<|")).as_py():
+                ids, ends = self._block(run)
+            else:
+                each = list(self._encoded(run.to_pylist()))
+                ids, ends = np.frombuffer(b"".join(each), "<u4"), np.cumsum([len(x) // 4 for x in each])
+            out = np.empty(len(ids) + len(ends), np.uint32)
+            last = ends + np.arange(len(ends))
+            own = np.ones(len(out), bool)
+            own[last] = False
+            out[own], out[last] = ids, end_id
+            yield out, last + 1
 
 
 @cache
@@ -80,14 +113,25 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def blocks(texts: list[bytes | None], most: int = 1 << 20) -> Iterator[list[bytes | None]]:
-    """The texts in runs of about `most` bytes."""
+def merged(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of about `most` bytes, each as one batch."""
     run, n = [], 0
-    for t in texts:
-        run.append(t)
-        n += len(t or b"")
+    for b in batches:
+        run.append(b)
+        n += b.nbytes
         if n >= most:
-            yield run
+            yield pa.concat_batches(run)
             run, n = [], 0
     if run:
-        yield run
+        yield pa.concat_batches(run)
+
+
+def blocks(texts: pa.Array, most: int = BLOCK) -> Iterator[pa.Array]:
+    """The texts, nulls as empty ones, in runs of about `most` bytes."""
+    texts = texts.fill_null(b"")
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most)))
+        yield texts.slice(lo, hi - lo)
+        lo = hi

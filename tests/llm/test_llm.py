@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -243,7 +244,7 @@ def plain_ids(text, end):
 def test_words_encode_as_the_whole_text_does(text):
     text = text.replace("\ud800", "")
     for t in (text, f" {text},  {text.upper()}.\u00e9 x!?", f"{text}<|endoftext|>"):
-        ((ids, ends),) = tokens.encoder(tokens.default_tokenizer()).encode([t.encode(), None], 7)
+        ((ids, ends),) = tokens.encoder(tokens.default_tokenizer()).encode(pa.array([t.encode(), None], pa.binary()), 7)
         assert ids[: ends[0]].tolist() == plain_ids(t, 7) and ids[ends[0] :].tolist() == [7]
 
 
