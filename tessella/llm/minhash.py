@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import GAP, Memo, Scratch, ascii_lower, bound_batches, fresh, hash_memo, mix, shingle_set
@@ -76,6 +76,13 @@ def text_key(text):
     return F.when(F.char_length(plain) > 0, F.unhex(F.md5(plain)))
 
 
+def of_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (key, text) whose text has that key; text may be null."""
+    for b in batches:
+        good = [t is not None and hashlib.md5(b" ".join(t.lower().split())).digest() == k for k, t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in b.columns], names=["key", "text"])
+
+
 def signed(docs: DataFrame, id_col: str, text: str, k: int, bands: int, rows: int) -> DataFrame:
     """id, key, n (size of the shingle set), bands, s0, s1 (sketch) of each row; without words n is 0 and the rest null."""
     bound_batches(docs.sparkSession)
@@ -122,47 +129,74 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-def near_groups(units: DataFrame, texts: Callable[[DataFrame], DataFrame], scratch: Scratch, m: int, k: int, percent: int, rounds: int = 2) -> DataFrame:
+#: Members of a bucket that all its others are verified against before pairs are looked at one by one.
+PIVOTS = 4
+#: Rows of 16-byte keys that are broadcast at most; a larger table is joined by a shuffle.
+FEW = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of keys, marked for a broadcast if it has FEW rows or less."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def lone_shingles(texts: DataFrame, k: int) -> DataFrame:
+    """ukey, u: how many shingles of a text no other of the texts has. Without any there is no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = hash_memo()
+        for b in batches:
+            sets = [shingle_set(t.lower().split(), k, memo).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["ukey", "shingles"])
+
+    each = texts.select("key", "text").mapInArrow(run, "ukey binary, shingles array<bigint>").select("ukey", F.explode("shingles").alias("s"))
+    return each.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("ukey").alias("ukey")).where("n = 1").groupBy("ukey").agg(F.count(F.lit(1)).alias("u"))
+
+
+def near_groups(units: DataFrame, texts: Callable[[DataFrame], DataFrame], scratch: Scratch, m: int, k: int, percent: int) -> DataFrame:
     """node, root: the keys linked, directly or through others, with a smaller key, and the smallest of them.
 
-    units: key (distinct), n, bands, s0, s1; texts: makes key, text (binary) for a table of keys. Buckets with one key go first. Then, for some rounds, each
-    bucket's members are verified against one of them, the least by a digest that changes with the round, if they aren't in its component
-    yet: a group of many copies grows together with as many pairs as it has members. Last, pairs of a bucket that still lie in different
+    units: key (distinct), n (size of the shingle set, 0 if not known), bands, s0, s1; texts: makes key, text (binary) for a table of keys.
+
+    Buckets with one key go first. Then all members of a bucket are verified against its PIVOTS most central ones, those whose buckets hold most keys over all bands: a
+    group of many copies of one text has a copy near that text among them, and grows together with a few pairs for each member. Last, pairs of a bucket that still lie in different
     components are verified one by one: a bucket's largest component needs none within itself, so these are its other members against all.
-    No pair of two keys is left out but by sizes and sketches that rule the similarity out. Nothing but counts reaches the driver."""
+    Of these, pairs are left out only where a link is impossible: by sizes, by sketches (but for odds of 1e-9), or by shingles that no other
+    text has, which bound what two texts can share. An edited copy that is near to nothing has too many of these, so its pairs are not made.
+    Nothing but counts reaches the driver."""
     spread = units.select("key", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col("band").alias("of"))
-    live = spread.join(shared, F.col("band") == F.col("of"), "left_semi").groupBy("key").agg(F.collect_set("band").alias("bands"))
+    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col("band").alias("of"), "times")
+    live = spread.join(shared, F.col("band") == F.col("of")).groupBy("key").agg(F.collect_set("band").alias("bands"), F.sum("times").alias("weight"))
     live = scratch.put(units.drop("bands").join(live, "key"), "live")
     texts = scratch.put(texts(live.select("key")), "texts")
-    members = live.select("key", "n", "s0", "s1", F.explode("bands").alias("band"))
+    members = live.select("key", "n", "s0", "s1", "weight", F.explode("bands").alias("band"))
     limit = sketch_limit(min(m, 128), percent)
     near = (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & (F.bit_count(F.col("s0").bitwiseXOR(F.col("p0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("p1"))) <= limit)
     pair = (F.least("key", "pkey").alias("a"), F.greatest("key", "pkey").alias("b"))
-    links = roots = None
-    for turn in range(rounds + 1):
-        if roots is None:
-            rows = members.withColumn("comp", F.col("key"))
-        else:
-            rows = members.join(roots, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root")
-        if turn < rounds:
-            head = rows.groupBy("band").agg(F.min_by(F.struct("key", "n", "s0", "s1", "comp"), F.xxhash64("key", F.lit(turn))).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            other = head.where("lo <> hi").select(F.col("band").alias("pband"), *(F.col(f"p.{c}").alias(d) for c, d in (("key", "pkey"), ("n", "pn"), ("s0", "p0"), ("s1", "p1"), ("comp", "pcomp"))))
-            found = rows.join(other, (F.col("band") == F.col("pband")) & (F.col("comp") != F.col("pcomp")) & near)
-        else:
-            sizes = rows.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size"))
-            major = sizes.groupBy("band").agg(F.max_by("comp", F.struct("size", "comp")).alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(F.col("band").alias("mband"), "major")
-            mixed = scratch.put(rows.join(major, F.col("band") == F.col("mband")).drop("mband"), "mixed")
-            minor = mixed.where("comp <> major").select(F.col("band").alias("pband"), F.col("key").alias("pkey"), F.col("n").alias("pn"), F.col("s0").alias("p0"), F.col("s1").alias("p1"), F.col("comp").alias("pcomp"))
-            found = mixed.join(minor, (F.col("band") == F.col("pband")) & (F.col("comp") != F.col("pcomp")) & ((F.col("comp") == F.col("major")) | (F.col("key") < F.col("pkey"))) & near)
-        pairs = scratch.put(found.select(*pair).distinct(), f"pairs{turn}")
-        good = scratch.put(verified(pairs, texts, k, percent), f"links{turn}")
-        scratch.drop(f"pairs{turn}")
-        if turn and good.isEmpty():
-            continue
-        links = good if links is None else links.union(good)
-        roots = connected_components(links, scratch, f"roots{turn}")
-    scratch.drop("texts", "mixed")
+    named = [F.col("band").alias("pband"), F.col("key").alias("pkey"), F.col("n").alias("pn"), F.col("s0").alias("p0"), F.col("s1").alias("p1")]
+    heads = members.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "key"))).where(F.col("r") <= PIVOTS).select(*named)
+    found = members.join(heads, (F.col("band") == F.col("pband")) & (F.col("key") != F.col("pkey")) & near)
+    pairs = scratch.put(found.select(*pair).distinct(), "pairs")
+    links = scratch.put(verified(pairs, texts, k, percent), "links")
+    roots = connected_components(links, scratch, "first")
+    rows = members.join(roots, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root", "weight")
+    sizes = rows.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size"))
+    major = sizes.groupBy("band").agg(F.max_by("comp", F.struct("size", "comp")).alias("major"), F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("all")).where("kinds > 1 and all > 2").select(F.col("band").alias("mband"), "major")
+    mixed = scratch.put(rows.join(major, F.col("band") == F.col("mband")).drop("mband"), "mixed")
+    if not mixed.isEmpty():
+        wanted = mixed.select(F.col("key").alias("want")).distinct()
+        lone = scratch.put(lone_shingles(texts.join(wanted, F.col("key") == F.col("want"), "left_semi"), k), "lone")
+        mixed = scratch.put(mixed.join(lone, F.col("key") == F.col("ukey"), "left").withColumn("u", F.when(F.col("n") > 0, F.coalesce("u", F.lit(0))).otherwise(0)).drop("ukey"), "bounded")
+        minor = mixed.where("comp <> major").select(*named, F.col("comp").alias("pcomp"), F.col("u").alias("pu"))
+        both = F.least(F.col("n") - F.col("u"), F.col("pn") - F.col("pu"))
+        can = 100 * both >= percent * (F.col("n") + F.col("pn") - both)
+        cross = (F.col("comp") != F.col("pcomp")) & ((F.col("comp") == F.col("major")) | (F.col("key") < F.col("pkey")))
+        found = mixed.join(minor, (F.col("band") == F.col("pband")) & cross & near & can)
+        rest = scratch.put(found.select(*pair).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+        more = scratch.put(verified(rest, texts, k, percent), "more")
+        if not more.isEmpty():
+            roots = connected_components(links.union(more), scratch, "last")
+    scratch.drop("texts", "mixed", "bounded", "lone", "pairs", "rest")
     return roots
 
 
@@ -179,8 +213,8 @@ def grouped(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text:
 
     def texts(keys: DataFrame) -> DataFrame:
         wanted = scratch.put(one.join(keys, F.col("_key") == F.col("key"), "left_semi"), "wanted")
-        got = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(wanted, F.col("id").eqNullSafe(F.col("_id")))
-        return got.where(text_key(F.col("t")) == F.col("_key")).select(F.col("_key").alias("key"), F.col("t").cast("binary").alias("text")).dropDuplicates(["key"])
+        got = docs.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("t")).join(small(wanted), F.col("id").eqNullSafe(F.col("_id")))
+        return got.select("_key", "t").mapInArrow(of_key, "key binary, text binary").dropDuplicates(["key"])
 
     roots = near_groups(units, texts, scratch, bands * rows, k, percent)
     named = sig.drop("bands", "s0", "s1").join(roots, F.col("key") == F.col("node"), "left").select("id", "key", F.col("n").alias("n_shingles"), F.coalesce("root", "key").alias("comp"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches, hash_memo, mix, windows, word_hashes
-from .minhash import bands_of, near_groups, sketch_of
+from .minhash import bands_of, near_groups, sketch_of, small
 
 #: 6 bands of 2: paragraphs of similarity 0.8 share no band with odds of 0.002, at 0.9 of 5e-5; paragraphs that share nothing never meet.
 BANDS, ROWS = 6, 2
@@ -128,7 +128,8 @@ def paragraphs(docs: DataFrame, id_col: str, text: str, k: int, min_words: int,
 def line_texts(docs: DataFrame, id_col: str, text: str, wanted: DataFrame) -> DataFrame:
     """key, text (binary) of the paragraphs in wanted: key, id, start, n_words."""
     asked = wanted.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start", "n_words", "key")).alias("asked"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("text")).join(asked, F.col("id").eqNullSafe(F.col("_id"))).select("text", "asked")
+    bound_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("text")).join(small(asked), F.col("id").eqNullSafe(F.col("_id"))).select("text", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = hash_memo()
