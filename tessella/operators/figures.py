@@ -89,11 +89,11 @@ def captions(paragraphs: DataFrame, limit: int = CAPTION_MAX) -> DataFrame:
 
 def mentions(caps: DataFrame) -> DataFrame:
     """doc_id, ord, paragraph_id, section_type, part, at, figure_id, kind, number, panel, raw, prefix, own (of the paragraph's own caption). caps: captions()."""
-    rows = caps.select("doc_id", "ord", "paragraph_id", "section_type", "cap", F.posexplode("scan").alias("part", "t"))
-    rows = rows.select("*", F.explode(mention_array(F.col("t"))).alias("m"))
     own = canonical(F.col("cap.kind"), F.col("cap.number"), F.col("cap.prefix"))
+    rows = caps.select("doc_id", "ord", "paragraph_id", "section_type", own.alias("own_id"), F.posexplode("scan").alias("part", "t"))
+    rows = rows.select("*", F.explode(mention_array(F.col("t"))).alias("m"))
     fid = canonical(F.col("m.kind"), F.col("m.number"), F.col("m.prefix"))
-    return rows.select("doc_id", "ord", "paragraph_id", "section_type", "part", F.col("m.at").alias("at"), F.col("m.seq").alias("seq"), fid.alias("figure_id"), "m.kind", "m.number", "m.panel", "m.raw", "m.prefix", F.coalesce(fid == own, F.lit(False)).alias("own"))
+    return rows.select("doc_id", "ord", "paragraph_id", "section_type", "part", F.col("m.at").alias("at"), F.col("m.seq").alias("seq"), fid.alias("figure_id"), "m.kind", "m.number", "m.panel", "m.raw", "m.prefix", F.coalesce(fid == F.col("own_id"), F.lit(False)).alias("own"))
 
 
 def caption_panels(caption: Column) -> Column:

@@ -4,6 +4,8 @@ A unit is a figure or a panel, named by its key (f02, f02a). Continuation eviden
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -336,25 +338,27 @@ def patch_rejected(patches: DataFrame) -> DataFrame:
     return patches.withColumn("rejected", why)
 
 
-def reconstruct(paragraphs: DataFrame, retrieved: DataFrame | None = None) -> dict[str, DataFrame]:
+def reconstruct(paragraphs: DataFrame, retrieved: DataFrame | None = None, put: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> dict[str, DataFrame]:
     """All tables from paragraphs: figures, mentions, panels, flow, units, evidence, observations, interpretations, experiments, conclusions, verdicts.
 
     retrieved: more evidence rows found by search (doc_id, unit, figure_id, text, paragraph_id, ord, section_type, page_no), numbered after the others, of role
-    supporting and type mixed. Lazy; write tables that several others read."""
-    reg = G.registry(paragraphs)
-    flow = G.partition(paragraphs, reg["figures"])
+    supporting and type mixed. put: writes a table and returns it (session.Tables.put), so that each is computed once; without it all stay lazy."""
+    reg = {k: put(v, k) for k, v in G.registry(paragraphs).items()}
+    flow = put(G.partition(paragraphs, reg["figures"]), "flow")
     figure = figure_evidence(paragraphs, reg, flow)
     panel = panel_evidence(paragraphs, reg)
     if retrieved is not None:
+        figure = put(figure, "figure_evidence")
         last = figure.groupBy(*UNIT).agg(F.max("n").alias("last"))
         more = retrieved.join(last, UNIT, "left").withColumn("n", (F.coalesce("last", F.lit(0)) + F.row_number().over(Window.partitionBy(*UNIT).orderBy("ord"))).cast("int"))
         more = numbered(more.withColumns({"panel": F.lit(""), "role": F.lit("supporting"), "assignment": F.lit(""), "evidence_type": F.lit("mixed")}).drop("last"))
         figure = figure.unionByName(more.select(*figure.columns))
-    evidence = figure.unionByName(panel)
+    evidence = put(figure.unionByName(panel), "evidence")
     of_figures = reg["figures"].select("doc_id", F.col("key").alias("unit"), "figure_id", F.lit("").alias("panel"), F.col("n").alias("fig_n"), "number", F.col("caption_text").alias("caption"))
     of_panels = reg["panels"].join(reg["figures"].select("doc_id", "figure_id", "key", "n", "number"), ["doc_id", "figure_id"]).select("doc_id", F.concat("key", "label").alias("unit"), "figure_id", F.col("label").alias("panel"), F.col("n").alias("fig_n"), "number", F.col("text").alias("caption"))
-    units = of_figures.unionByName(of_panels)
+    units = put(of_figures.unionByName(of_panels), "units")
     pool = extraction_pool(evidence)
-    obs, ints = observations(pool), interpretations(pool)
-    exps = experiments(evidence, units)
-    return {**reg, "flow": flow, "units": units, "evidence": evidence, "observations": obs, "interpretations": ints, "experiments": exps, "conclusions": conclusions(exps, obs, ints), "verdicts": verdicts(exps, obs, units)}
+    obs, ints = put(observations(pool), "observations"), put(interpretations(pool), "interpretations")
+    exps = put(experiments(evidence, units), "experiments")
+    ends = {"conclusions": put(conclusions(exps, obs, ints), "conclusions"), "verdicts": put(verdicts(exps, obs, units), "verdicts")}
+    return {**reg, "flow": flow, "units": units, "evidence": evidence, "observations": obs, "interpretations": ints, "experiments": exps, **ends}
