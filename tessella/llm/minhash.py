@@ -109,8 +109,8 @@ def signed(docs: DataFrame, id_col: str, text: str, k: int, bands: int, rows: in
     return docs.select(id_col, F.col(text).cast("binary")).mapInArrow(run, f"id {kind}, key binary, n bigint, bands array<bigint>, s0 bigint, s1 bigint")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs a, b of keys whose full shingle sets have 100 * intersection >= percent * union. texts: key, text (binary)."""
+def measured(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The pairs a, b of keys with the sizes na, nb of their full shingle sets and of what these share. texts: key, text (binary)."""
     left, right = (texts.select(F.col("key").alias(f"k{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
     rows = pairs.join(left, F.col("a") == F.col("ka")).join(right, F.col("b") == F.col("kb")).select("a", "b", "ta", "tb")
 
@@ -118,15 +118,20 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
         memo = hash_memo()
         sets = Memo(lambda t: shingle_set(t.lower().split(), k, memo), limit=64)
         for b in batches:
-            good = []
+            out = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, y = sets[x], sets[y]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in b.columns[:2]], names=["a", "b"])
+                out.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
+            more = [pa.array([r[i] for r in out], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *more], names=["a", "b", "na", "nb", "both"])
 
     bound_batches(pairs.sparkSession)
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(run, "a binary, b binary, na bigint, nb bigint, both bigint")
+
+
+def linked(pairs: DataFrame, percent: int) -> DataFrame:
+    """a, b of the measured pairs with 100 * intersection >= percent * union."""
+    return pairs.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
 #: Members of a bucket that all its others are verified against before pairs are looked at one by one.
@@ -158,11 +163,12 @@ def near_groups(units: DataFrame, texts: Callable[[DataFrame], DataFrame], scrat
 
     units: key (distinct), n (size of the shingle set, 0 if not known), bands, s0, s1; texts: makes key, text (binary) for a table of keys.
 
-    Buckets with one key go first. Then all members of a bucket are verified against its PIVOTS most central ones, those whose buckets hold most keys over all bands: a
+    Buckets with one key go first. Then all members of a bucket are measured against its PIVOTS most central ones, those whose buckets hold most keys over all bands: a
     group of many copies of one text has a copy near that text among them, and grows together with a few pairs for each member. Last, pairs of a bucket that still lie in different
-    components are verified one by one: a bucket's largest component needs none within itself, so these are its other members against all.
-    Of these, pairs are left out only where a link is impossible: by sizes, by sketches (but for odds of 1e-9), or by shingles that no other
-    text has, which bound what two texts can share. An edited copy that is near to nothing has too many of these, so its pairs are not made.
+    components are measured one by one: a bucket's largest component needs none within itself, so these are its other members against all.
+    Of these, pairs are left out only where a link is impossible: by sizes; by sketches (but for odds of 1e-9); by shingles that no other text has; and by what
+    both texts' differences from the bucket's first pivot can have in common: two sets differ by their differences from a third one, less twice
+    what these share. So copies that were edited in different places, and are too far from that pivot, make no pairs with each other.
     Nothing but counts reaches the driver."""
     spread = units.select("key", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col("band").alias("of"), "times")
@@ -171,32 +177,43 @@ def near_groups(units: DataFrame, texts: Callable[[DataFrame], DataFrame], scrat
     texts = scratch.put(texts(live.select("key")), "texts")
     members = live.select("key", "n", "s0", "s1", "weight", F.explode("bands").alias("band"))
     limit = sketch_limit(min(m, 128), percent)
-    near = (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & (F.bit_count(F.col("s0").bitwiseXOR(F.col("p0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("p1"))) <= limit)
+    sized = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
+    alike = F.bit_count(F.col("s0").bitwiseXOR(F.col("p0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("p1"))) <= limit
     pair = (F.least("key", "pkey").alias("a"), F.greatest("key", "pkey").alias("b"))
-    named = [F.col("band").alias("pband"), F.col("key").alias("pkey"), F.col("n").alias("pn"), F.col("s0").alias("p0"), F.col("s1").alias("p1")]
-    heads = members.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "key"))).where(F.col("r") <= PIVOTS).select(*named)
-    found = members.join(heads, (F.col("band") == F.col("pband")) & (F.col("key") != F.col("pkey")) & near)
-    pairs = scratch.put(found.select(*pair).distinct(), "pairs")
-    links = scratch.put(verified(pairs, texts, k, percent), "links")
+    heads = members.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "key"))).where(F.col("r") <= PIVOTS)
+    heads = scratch.put(heads.select(F.col("band").alias("pband"), F.col("key").alias("pkey"), F.col("n").alias("pn"), "r"), "heads")
+    found = members.join(heads, (F.col("band") == F.col("pband")) & (F.col("key") != F.col("pkey")) & sized)
+    pairs = scratch.put(measured(found.select(*pair).distinct(), texts, k), "pairs")
+    links = linked(pairs, percent)
     roots = connected_components(links, scratch, "first")
     rows = members.join(roots, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root", "weight")
     sizes = rows.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size"))
-    major = sizes.groupBy("band").agg(F.max_by("comp", F.struct("size", "comp")).alias("major"), F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("all")).where("kinds > 1 and all > 2").select(F.col("band").alias("mband"), "major")
-    mixed = scratch.put(rows.join(major, F.col("band") == F.col("mband")).drop("mband"), "mixed")
+    major = sizes.groupBy("band").agg(F.max_by("comp", F.struct("size", "comp")).alias("major"), F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("all")).where(f"kinds > 1 and all > {PIVOTS + 1}").select(F.col("band").alias("mband"), "major")
+    first = heads.where("r = 1").select(F.col("pband").alias("hband"), F.col("pkey").alias("head"))
+    mixed = scratch.put(rows.join(major.join(first, F.col("mband") == F.col("hband")), F.col("band") == F.col("mband")).drop("mband", "hband"), "mixed")
     if not mixed.isEmpty():
         wanted = mixed.select(F.col("key").alias("want")).distinct()
-        lone = scratch.put(lone_shingles(texts.join(wanted, F.col("key") == F.col("want"), "left_semi"), k), "lone")
-        mixed = scratch.put(mixed.join(lone, F.col("key") == F.col("ukey"), "left").withColumn("u", F.when(F.col("n") > 0, F.coalesce("u", F.lit(0))).otherwise(0)).drop("ukey"), "bounded")
-        minor = mixed.where("comp <> major").select(*named, F.col("comp").alias("pcomp"), F.col("u").alias("pu"))
+        lone = lone_shingles(texts.join(wanted, F.col("key") == F.col("want"), "left_semi"), k)
+        way = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("na").alias("nx"), F.col("nb").alias("ny"), "both").union(pairs.select("b", "a", "nb", "na", "both"))
+        size = way.groupBy(F.col("x").alias("skey")).agg(F.max("nx").alias("sn"))
+        known = mixed.join(lone, F.col("key") == F.col("ukey"), "left").join(size, F.col("key") == F.col("skey"), "left").join(way, (F.col("key") == F.col("x")) & (F.col("head") == F.col("y")), "left")
+        own = F.col("key") == F.col("head")
+        lost, new = F.when(own, 0).otherwise(F.col("ny") - F.col("both")), F.when(own, 0).otherwise(F.col("nx") - F.col("both"))
+        known = known.select("band", "key", F.coalesce("sn", "n").alias("n"), "s0", "s1", "comp", "major", F.coalesce("u", F.lit(0)).alias("u"), lost.alias("lost"), new.alias("new"))
+        mixed = scratch.put(known, "known")
+        minor = mixed.where("comp <> major").select(F.col("band").alias("pband"), *(F.col(c).alias(d) for c, d in (("key", "pkey"), ("n", "pn"), ("s0", "p0"), ("s1", "p1"), ("comp", "pcomp"), ("u", "pu"), ("lost", "plost"), ("new", "pnew"))))
+        total = F.col("n") + F.col("pn")
         both = F.least(F.col("n") - F.col("u"), F.col("pn") - F.col("pu"))
-        can = 100 * both >= percent * (F.col("n") + F.col("pn") - both)
+        can = (total == 0) | (100 * both >= percent * (total - both))
+        apart = F.col("lost") + F.col("new") + F.col("plost") + F.col("pnew") - 2 * (F.least("lost", "plost") + F.least(F.greatest(F.col("new") - F.col("u"), F.lit(0)), F.greatest(F.col("pnew") - F.col("pu"), F.lit(0))))
+        reach = F.coalesce((100 + percent) * apart <= (100 - percent) * total, F.lit(True))
         cross = (F.col("comp") != F.col("pcomp")) & ((F.col("comp") == F.col("major")) | (F.col("key") < F.col("pkey")))
-        found = mixed.join(minor, (F.col("band") == F.col("pband")) & cross & near & can)
-        rest = scratch.put(found.select(*pair).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
-        more = scratch.put(verified(rest, texts, k, percent), "more")
+        found = mixed.join(minor, (F.col("band") == F.col("pband")) & cross & sized & alike & can & reach)
+        rest = found.select(*pair).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        more = scratch.put(linked(measured(rest, texts, k), percent), "more")
         if not more.isEmpty():
             roots = connected_components(links.union(more), scratch, "last")
-    scratch.drop("texts", "mixed", "bounded", "lone", "pairs", "rest")
+    scratch.drop("texts", "mixed", "known", "pairs", "heads")
     return roots
 
 
