@@ -116,7 +116,7 @@ def pack_sentences(text: Column, target: int, hard_max: int, overlap: int) -> Co
     pairs = F.zip_with(pieces, F.concat(F.array(F.lit("")), pieces), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
 
     def lead(x: Column) -> Column:
-        last = F.coalesce(F.element_at(cjk_sentences(x["q"]), -1), F.lit(""))
+        last = F.coalesce(F.try_element_at(cjk_sentences(x["q"]), F.lit(-1)), F.lit(""))
         return F.when((last != "") & (F.length(x["p"]) + F.length(last) <= hard_max), F.concat(last, x["p"])).otherwise(x["p"])
 
     return F.transform(F.filter(pairs, lambda x: x["p"].isNotNull()), lead)

@@ -206,7 +206,7 @@ def compact(levels: Column) -> Column:
     """A document's levels in order, none more than one below the compacted one before it; the first stays."""
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         return F.when(F.size(acc) == 0, F.array(x)).otherwise(F.array_append(acc, F.when(x > last + 1, last + 1).otherwise(x)))
 
     return F.aggregate(levels, F.array().cast("array<int>"), step)
@@ -342,7 +342,7 @@ def flatten(tree: DataFrame) -> DataFrame:
 
     The section type is that of the nearest heading above whose title has one."""
     known = F.filter("path", lambda t: classify_section(t) != "other")
-    title = F.when(F.size(known) > 0, F.element_at(known, -1)).otherwise("")
+    title = F.when(F.size(known) > 0, F.try_element_at(known, F.lit(-1))).otherwise("")
     rows = tree.where("node_type = 'paragraph'").where(X.strip(F.col("text")) != "")
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
     return rows.select("doc_id", order.cast("int").alias("ord"), F.col("node_id").alias("paragraph_id"), X.strip(F.col("text")).alias("text"), F.concat(F.array("doc_id"), "path").alias("breadcrumb"), F.when(title == "", "other").otherwise(classify_section(title)).alias("section_type"), title.alias("section_title"), F.coalesce(F.get("pages", F.lit(0)), F.lit(0)).alias("page_no"))
