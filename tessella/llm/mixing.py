@@ -43,15 +43,15 @@ def mix(spark: SparkSession, docs: DataFrame, names: dict[str, str], id_col: str
     that pass, the one in service at the cut gives the words before it (whole_documents: all of them if its middle is before the cut, else none).
     taken sums the passes. Ties in the digest fall to the text's digest; repeated rows take places one after another.
     Documents without words take none. A null source is a source; a null id shuffles as an empty one. An empty table gives an empty table."""
-    slot, place, src, off, size_, tot, tgt, cnt = fresh(docs, "_slot", "_place", "_src", "_off", "_size", "_total", "_target", "_sum")
-    size = docs.withColumns({size_: n_words(F.col(text)), place: shuffle_key(F.col(id_col), seed)}).withColumn(slot, F.pmod(F.conv(F.substring(place, 1, 3), 16, 10).cast("int"), F.lit(1 << 12)).cast("int") * SLOTS / (1 << 12))
+    slot, place, tie, src, off, size_, tot, tgt, cnt = fresh(docs, "_slot", "_place", "_tie", "_src", "_off", "_size", "_total", "_target", "_sum")
+    size = docs.withColumns({size_: n_words(F.col(text)), place: shuffle_key(F.col(id_col), seed), tie: F.xxhash64(text)}).withColumn(slot, F.pmod(F.conv(F.substring(place, 1, 3), 16, 10).cast("int"), F.lit(1 << 12)).cast("int") * SLOTS / (1 << 12))
     size = size.withColumn(slot, F.floor(slot).cast("int"))
     sums = size.groupBy(F.col(source).alias(src), slot).agg(F.sum(size_).alias(cnt))
     goal = targets(sums.groupBy(F.col(src).alias("source")).agg(F.sum(cnt).alias("source_size")), weights, percent, passes)
     offsets = sums.withColumn(off, F.sum(cnt).over(Window.partitionBy(src).orderBy(slot)) - F.col(cnt)).drop(cnt)
     base = offsets.join(goal, offsets[src].eqNullSafe(goal["source"])).select(src, F.col(slot).alias(cnt), off, F.col("source_size").alias(tot), F.col("target").alias(tgt))
     rows = size.join(base, size[source].eqNullSafe(base[src]) & (size[slot] == base[cnt]))
-    w = Window.partitionBy(src, slot).orderBy(place, F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(src, slot).orderBy(place, tie).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col(off) + F.coalesce(F.sum(size_).over(w), F.lit(0))
     rows = rows.withColumn(off, start)
     cut = F.round(F.col(tgt)).cast("long")
