@@ -60,13 +60,13 @@ def dominant_span(spans: F.Column) -> F.Column:
 
 def read_toc(spark: SparkSession, path: str) -> DataFrame:
     """Contents entries from JSON arrays of (level, title, page_no) at root/{doc_id}/toc.json."""
-    text = spark.read.option("wholetext", True).text(path).select(doc_of().alias("doc_id"), F.from_json("value", "array<struct<level:int,title:string,page_no:int>>").alias("t"))
+    text = spark.read.text(path, wholetext=True).select(doc_of().alias("doc_id"), F.from_json("value", "array<struct<level:int,title:string,page_no:int>>").alias("t"))
     return text.select("doc_id", F.posexplode("t").alias("ord", "e")).select("doc_id", "ord", "e.level", "e.title", "e.page_no")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str, order: str = "ord", strict: bool = True) -> DataFrame:
     """Rows of JSON-lines files with doc_id and their line number, blank lines left out. strict: a malformed line is an error; else it goes."""
-    lines = spark.read.option("wholetext", True).text(path).select(doc_of().alias("doc_id"), F.posexplode(F.split("value", "\n")).alias(order, "line")).where(X.strip(F.col("line")) != "")
+    lines = spark.read.text(path, wholetext=True).select(doc_of().alias("doc_id"), F.posexplode(F.split("value", "\n")).alias(order, "line")).where(X.strip(F.col("line")) != "")
     rows = lines.withColumn("r", F.from_json("line", schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"}))
     first = schema.split()[0]
     return (rows if strict else rows.where(F.col(f"r.{first}").isNotNull())).select("doc_id", order, "r.*")
@@ -127,7 +127,7 @@ def read_trees(spark: SparkSession, path: str) -> DataFrame:
             kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return spark.read.option("wholetext", True).text(path).select(doc_of().alias("doc_id"), "value").mapInArrow(run, TREE)
+    return spark.read.text(path, wholetext=True).select(doc_of().alias("doc_id"), "value").mapInArrow(run, TREE)
 
 
 def tree_paths(tree: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def _fs(spark: SparkSession, path: str):
 
 def read_manifest(spark: SparkSession, root: str) -> dict | None:
     fs, p = _fs(spark, f"{root}/manifest.json")
-    return json.loads("".join(r[0] for r in spark.read.option("wholetext", True).text(f"{root}/manifest.json").collect())) if fs.exists(p) else None
+    return json.loads("".join(r[0] for r in spark.read.text(f"{root}/manifest.json", wholetext=True).collect())) if fs.exists(p) else None
 
 
 def write_manifest(spark: SparkSession, root: str, manifest: dict) -> None:
