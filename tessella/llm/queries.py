@@ -28,7 +28,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = quality.judge(spark, table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["doc_id"])
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,5 +114,5 @@ h AS (SELECT source, count(*) AS docs, count(*) FILTER (base_failed) AS bad FROM
 p AS (SELECT sum(bad) / sum(docs) AS m, sum((bad / docs) * (bad / docs) * docs) / sum(docs) - (sum(bad) / sum(docs)) * (sum(bad) / sum(docs)) AS v FROM h),
 s AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 2), 1e6) ELSE 1e6 END AS k FROM p),
 r AS (SELECT source, (bad + m * k) / (docs + k) AS host_rate FROM h, s)
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rate <= 0.5 AS kept, host_rate FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source""",
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rate <= 0.5 AS kept, round(host_rate, 6) AS host_rate FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source""",
 }
