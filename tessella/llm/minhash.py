@@ -129,13 +129,28 @@ def measured(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary, na bigint, nb bigint, both bigint")
 
 
+def differences(pairs: DataFrame, texts: DataFrame, k: int, most: int = 256) -> DataFrame:
+    """dkey, dhead, d: the shingles that just one of two texts has, for pairs key, head; null if these are more than `most`."""
+    left, right = (texts.select(F.col("key").alias(f"k{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
+    rows = pairs.join(left, F.col("key") == F.col("ka")).join(right, F.col("head") == F.col("kb")).select("key", "head", "ta", "tb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = hash_memo()
+        sets = Memo(lambda t: shingle_set(t.lower().split(), k, memo), limit=64)
+        for b in batches:
+            each = [np.setxor1d(sets[x], sets[y], assume_unique=True) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([d.view(np.int64) if len(d) <= most else None for d in each], pa.list_(pa.int64()))], names=["dkey", "dhead", "d"])
+
+    return rows.mapInArrow(run, "dkey binary, dhead binary, d array<bigint>")
+
+
 def linked(pairs: DataFrame, percent: int) -> DataFrame:
     """a, b of the measured pairs with 100 * intersection >= percent * union."""
     return pairs.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
 #: Members of a bucket that all its others are verified against before pairs are looked at one by one.
-PIVOTS = 4
+PIVOTS = 6
 #: Rows of 16-byte keys that are broadcast at most; a larger table is joined by a shuffle.
 FEW = 500_000
 
@@ -167,8 +182,9 @@ def near_groups(units: DataFrame, texts: Callable[[DataFrame], DataFrame], scrat
     group of many copies of one text has a copy near that text among them, and grows together with a few pairs for each member. Last, pairs of a bucket that still lie in different
     components are measured one by one: a bucket's largest component needs none within itself, so these are its other members against all.
     Of these, pairs are left out only where a link is impossible: by sizes; by sketches (but for odds of 1e-9); by shingles that no other text has; and by what
-    both texts' differences from the bucket's first pivot can have in common: two sets differ by their differences from a third one, less twice
-    what these share. So copies that were edited in different places, and are too far from that pivot, make no pairs with each other.
+    both texts' differences from each of the bucket's pivots can have in common: two sets differ by their differences from a third one, less twice
+    what these share. What is left is decided by the differences from the first pivot themselves, where they are few, before a pair is made; so copies of one
+    text that aren't near each other make no pairs.
     Nothing but counts reaches the driver."""
     spread = units.select("key", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col("band").alias("of"), "times")
@@ -189,26 +205,39 @@ def near_groups(units: DataFrame, texts: Callable[[DataFrame], DataFrame], scrat
     rows = members.join(roots, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root", "weight")
     sizes = rows.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size"))
     major = sizes.groupBy("band").agg(F.max_by("comp", F.struct("size", "comp")).alias("major"), F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("all")).where(f"kinds > 1 and all > {PIVOTS + 1}").select(F.col("band").alias("mband"), "major")
-    first = heads.where("r = 1").select(F.col("pband").alias("hband"), F.col("pkey").alias("head"))
-    mixed = scratch.put(rows.join(major.join(first, F.col("mband") == F.col("hband")), F.col("band") == F.col("mband")).drop("mband", "hband"), "mixed")
+    mixed = scratch.put(rows.join(major, F.col("band") == F.col("mband")).drop("mband"), "mixed")
     if not mixed.isEmpty():
         wanted = mixed.select(F.col("key").alias("want")).distinct()
         lone = lone_shingles(texts.join(wanted, F.col("key") == F.col("want"), "left_semi"), k)
         way = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("na").alias("nx"), F.col("nb").alias("ny"), "both").union(pairs.select("b", "a", "nb", "na", "both"))
         size = way.groupBy(F.col("x").alias("skey")).agg(F.max("nx").alias("sn"))
-        known = mixed.join(lone, F.col("key") == F.col("ukey"), "left").join(size, F.col("key") == F.col("skey"), "left").join(way, (F.col("key") == F.col("x")) & (F.col("head") == F.col("y")), "left")
-        own = F.col("key") == F.col("head")
+        # per member of a bucket: what it lacks of each pivot and has beside it; null for pairs that sizes kept from being measured
+        near_head = mixed.select("band", "key").join(heads.select("pband", "pkey", "r"), F.col("band") == F.col("pband")).join(way, (F.col("key") == F.col("x")) & (F.col("pkey") == F.col("y")), "left")
+        own = F.col("key") == F.col("pkey")
         lost, new = F.when(own, 0).otherwise(F.col("ny") - F.col("both")), F.when(own, 0).otherwise(F.col("nx") - F.col("both"))
-        known = known.select("band", "key", F.coalesce("sn", "n").alias("n"), "s0", "s1", "comp", "major", F.coalesce("u", F.lit(0)).alias("u"), lost.alias("lost"), new.alias("new"))
+        at = [F.max(F.when(F.col("r") == i, c)).alias(f"{name}{i}") for i in range(1, PIVOTS + 1) for name, c in (("lost", lost), ("new", new))]
+        near_head = near_head.groupBy(F.col("band").alias("hband"), F.col("key").alias("hkey")).agg(*at)
+        known = mixed.join(lone, F.col("key") == F.col("ukey"), "left").join(size, F.col("key") == F.col("skey"), "left").join(near_head, (F.col("band") == F.col("hband")) & (F.col("key") == F.col("hkey")))
+        sides = [f"{name}{i}" for i in range(1, PIVOTS + 1) for name in ("lost", "new")]
+        first = heads.where("r = 1").select(F.col("pband").alias("fband"), F.col("pkey").alias("head"))
+        known = known.join(first, F.col("band") == F.col("fband"))
+        apart = differences(known.where("key <> head").select("key", "head").distinct(), texts, k)
+        known = known.join(apart, (F.col("key") == F.col("dkey")) & (F.col("head") == F.col("dhead")), "left")
+        d = F.when(F.col("key") == F.col("head"), F.array().cast("array<bigint>")).otherwise(F.col("d"))
+        known = known.select("band", "key", F.coalesce("sn", "n").alias("n"), "s0", "s1", "comp", "major", F.coalesce("u", F.lit(0)).alias("u"), *sides, d.alias("d"))
         mixed = scratch.put(known, "known")
-        minor = mixed.where("comp <> major").select(F.col("band").alias("pband"), *(F.col(c).alias(d) for c, d in (("key", "pkey"), ("n", "pn"), ("s0", "p0"), ("s1", "p1"), ("comp", "pcomp"), ("u", "pu"), ("lost", "plost"), ("new", "pnew"))))
+        minor = mixed.where("comp <> major").select(F.col("band").alias("pband"), *(F.col(c).alias(d) for c, d in (("key", "pkey"), ("n", "pn"), ("s0", "p0"), ("s1", "p1"), ("comp", "pcomp"), ("u", "pu"), *((c, f"p{c}") for c in (*sides, "d")))))
         total = F.col("n") + F.col("pn")
         both = F.least(F.col("n") - F.col("u"), F.col("pn") - F.col("pu"))
         can = (total == 0) | (100 * both >= percent * (total - both))
-        apart = F.col("lost") + F.col("new") + F.col("plost") + F.col("pnew") - 2 * (F.least("lost", "plost") + F.least(F.greatest(F.col("new") - F.col("u"), F.lit(0)), F.greatest(F.col("pnew") - F.col("pu"), F.lit(0))))
-        reach = F.coalesce((100 + percent) * apart <= (100 - percent) * total, F.lit(True))
+        reach = F.lit(True)
+        for i in range(1, PIVOTS + 1):
+            lost, new, plost, pnew = (F.col(f"{c}{i}") for c in ("lost", "new", "plost", "pnew"))
+            share = F.least(lost, plost) + F.greatest(F.least(new - F.col("u"), pnew - F.col("pu")), F.lit(0))
+            reach = reach & F.coalesce((100 + percent) * (lost + new + plost + pnew - 2 * share) <= (100 - percent) * total, F.lit(True))
+        exact = F.coalesce((100 + percent) * (F.size("d") + F.size("pd") - 2 * F.size(F.array_intersect("d", "pd"))) <= (100 - percent) * total, F.lit(True))
         cross = (F.col("comp") != F.col("pcomp")) & ((F.col("comp") == F.col("major")) | (F.col("key") < F.col("pkey")))
-        found = mixed.join(minor, (F.col("band") == F.col("pband")) & cross & sized & alike & can & reach)
+        found = mixed.join(minor, (F.col("band") == F.col("pband")) & cross & sized & alike & can & reach & exact)
         rest = found.select(*pair).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
         more = scratch.put(linked(measured(rest, texts, k), percent), "more")
         if not more.isEmpty():
