@@ -71,14 +71,14 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)
 
 
-def search(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", lists: int = 128, probe_share: float = 0.625, parts: int = 16, codes: int = 256, keep: int = 64, rerank: int = 128, sample: int = 16_384, block: int = 8192, seed: int = 3) -> DataFrame:
+def search(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", lists: int = 128, probe_share: float = 0.7, parts: int = 16, codes: int = 256, keep: int = 64, rerank: int = 128, sample: int = 16_384, block: int = 8192, seed: int = 3) -> DataFrame:
     """query_id, rank, id, score: the k nearest rows found for each query row, its own id left out; score is the cosine in double precision.
 
     Equal vectors are one entry of the index, with their k + 1 smallest ids, so that a vector of a third of all rows is searched, and
     searches, once. The index is fitted on at most `sample` distinct vectors, those first by a digest, which alone reach the driver; every distinct vector is
     then assigned and coded. A query probes a share of the lists: its dot products with the codes of each (asymmetric tables) give its `keep` best of
     each block of a list, the `rerank` best of all are compared by exact cosine. The share is large because it must hold a recall of 0.9 on vectors
-    with hardly any clusters (on 51,282 such vectors: 0.94); clustered vectors need a tenth of it. Lists are dealt in blocks of about `block` entries. With up to 8 lists
+    with hardly any clusters (on 51,282 such vectors: 0.956); clustered vectors need a tenth of it. Lists are dealt in blocks of about `block` entries. With up to 16 lists
     all are probed. Vectors that usable() rules out, or of another dimension than the most common, take no part.
     Null ids take no part; repeated ids take part as rows. Ties go to the smaller id. An empty table gives an empty table."""
     scratch = Scratch(spark, "ann")
@@ -98,7 +98,7 @@ def search(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 5, i
     x = (x / np.abs(x).max(axis=1, keepdims=True))
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     index = train(x, min(lists, max(1, len(x) // 32)), min(parts, dim), min(codes, max(1, len(x))), seed)
-    probes = max(min(8, len(index.coarse)), round(probe_share * len(index.coarse)))
+    probes = max(min(16, len(index.coarse)), round(probe_share * len(index.coarse)))
     sent = spark.sparkContext.broadcast(index)
 
     def unit(b: pa.RecordBatch, i: int) -> np.ndarray:
