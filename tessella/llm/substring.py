@@ -166,7 +166,10 @@ def repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text:
         return line_texts(docs, id_col, text, wanted)
 
     roots = near_groups(lines, texts, scratch, BANDS * ROWS, k, percent)
-    named = units.drop("bands", "s0", "s1").join(roots, (F.col("kind") == 0) & (F.col("key") == F.col("node")), "left").withColumn("cluster", F.coalesce("root", "key")).drop("node", "root", "key")
+    plain = units.drop("bands", "s0", "s1")
+    of_lines = plain.where("kind = 0").join(roots, F.col("key") == F.col("node"), "left").withColumn("cluster", F.coalesce("root", "key")).drop("node", "root", "key")
+    # pieces are clusters by their words: they need no join
+    named = of_lines.unionByName(plain.where("kind = 1").withColumnRenamed("key", "cluster"))
     # clusters in one document alone, which are most, go before documents are counted
     spread = named.groupBy("kind", "cluster").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max(F.col("id").isNull()).alias("nil")).where("lo <> hi or nil")
     spread = scratch.put(spread.select(F.col("kind").alias("k"), F.col("cluster").alias("c")), "spread")
