@@ -74,9 +74,9 @@ class Scratch:
     def where(self, name: str) -> str:
         return f"{self.at}/{name}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and returns the written table."""
-        df.write.mode("overwrite").parquet(self.where(name))
+    def put(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+        """Writes df and returns the written table. files: the most files, for tables whose size is known."""
+        (df.coalesce(files) if files else df).write.mode("overwrite").parquet(self.where(name))
         return self.spark.read.schema(df.schema).parquet(self.where(name))
 
     def drop(self, *names: str) -> None:

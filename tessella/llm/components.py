@@ -63,14 +63,15 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str = "compon
     Large-star and small-star rounds, each a minimum by node with map-side combining and a join back, until every link is one from a
     node to its root. The number of rounds follows the logarithm of the longest chain; nothing but counts reaches the driver."""
     edges = scratch.put(contract(links), f"{name}_0")
+    files = max(1, edges.count() // 50_000)
     for turn in range(1, 64):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.put(large.where("u <> v").distinct(), f"{name}_large")
+        large = scratch.put(large.where("u <> v").distinct(), f"{name}_large", files)
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         small = large.join(low, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.put(small.union(low.select("w", "m")).distinct(), f"{name}_{turn}")
+        new = scratch.put(small.union(low.select("w", "m")).distinct(), f"{name}_{turn}", files)
         scratch.drop(f"{name}_large", f"{name}_{turn - 1}")
         edges = new
         n, nodes = edges.agg(F.count(F.lit(1)), F.count_distinct("u")).first()

@@ -190,42 +190,47 @@ def near_groups(units: DataFrame, texts: Callable[[DataFrame], DataFrame], scrat
     shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col("band").alias("of"), "times")
     live = spread.join(shared, F.col("band") == F.col("of")).groupBy("key").agg(F.collect_set("band").alias("bands"), F.sum("times").alias("weight"))
     live = scratch.put(units.drop("bands").join(live, "key"), "live")
-    texts = scratch.put(texts(live.select("key")), "texts")
+    rows = live.count()
+    few, some = max(1, rows // 50_000), max(24, rows // 2_000)
+    texts = scratch.put(texts(live.select("key")), "texts", some)
     members = live.select("key", "n", "s0", "s1", "weight", F.explode("bands").alias("band"))
     limit = sketch_limit(min(m, 128), percent)
     sized = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
     alike = F.bit_count(F.col("s0").bitwiseXOR(F.col("p0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("p1"))) <= limit
+    ranked = members.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "key"))).where(F.col("r") <= PIVOTS)
+    heads = ranked.groupBy(F.col("band").alias("pband")).agg(F.array_sort(F.collect_list(F.struct("r", "key", "n"))).alias("heads"))
+    heads = scratch.put(heads, "heads", max(1, rows // 10_000))
+    # a member meets its buckets' pivots once each, however many buckets they share
+    met = members.join(heads, F.col("band") == F.col("pband")).groupBy("key", "n").agg(F.array_distinct(F.flatten(F.collect_set(F.transform("heads", lambda h: F.struct(h["key"].alias("key"), h["n"].alias("n")))))).alias("h"))
+    met = met.select("key", F.explode(F.transform(F.filter("h", lambda h: (h["key"] != F.col("key")) & (100 * F.least(h["n"], F.col("n")) >= percent * F.greatest(h["n"], F.col("n")))), lambda h: h["key"])).alias("pkey"))
+    met = scratch.put(met.select("key", "pkey", F.least("key", "pkey").alias("a"), F.greatest("key", "pkey").alias("b")), "met", few)
     pair = (F.least("key", "pkey").alias("a"), F.greatest("key", "pkey").alias("b"))
-    heads = members.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "key"))).where(F.col("r") <= PIVOTS)
-    heads = scratch.put(heads.select(F.col("band").alias("pband"), F.col("key").alias("pkey"), F.col("n").alias("pn"), "r"), "heads")
-    found = members.join(heads, (F.col("band") == F.col("pband")) & (F.col("key") != F.col("pkey")) & sized)
-    pairs = scratch.put(measured(found.select(*pair).distinct(), texts, k), "pairs")
+    pairs = scratch.put(measured(met.select("a", "b").distinct(), texts, k), "pairs", some)
     links = linked(pairs, percent)
     roots = connected_components(links, scratch, "first")
     rows = members.join(roots, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root", "weight")
     sizes = rows.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size"))
     major = sizes.groupBy("band").agg(F.max_by("comp", F.struct("size", "comp")).alias("major"), F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("all")).where(f"kinds > 1 and all > {PIVOTS + 1}").select(F.col("band").alias("mband"), "major")
-    mixed = scratch.put(rows.join(major, F.col("band") == F.col("mband")).drop("mband"), "mixed")
+    mixed = scratch.put(rows.join(major, F.col("band") == F.col("mband")).drop("mband"), "mixed", few)
     if not mixed.isEmpty():
         wanted = mixed.select(F.col("key").alias("want")).distinct()
         lone = lone_shingles(texts.join(wanted, F.col("key") == F.col("want"), "left_semi"), k)
-        way = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("na").alias("nx"), F.col("nb").alias("ny"), "both").union(pairs.select("b", "a", "nb", "na", "both"))
-        size = way.groupBy(F.col("x").alias("skey")).agg(F.max("nx").alias("sn"))
-        # per member of a bucket: what it lacks of each pivot and has beside it; null for pairs that sizes kept from being measured
-        near_head = mixed.select("band", "key").join(heads.select("pband", "pkey", "r"), F.col("band") == F.col("pband")).join(way, (F.col("key") == F.col("x")) & (F.col("pkey") == F.col("y")), "left")
-        own = F.col("key") == F.col("pkey")
-        lost, new = F.when(own, 0).otherwise(F.col("ny") - F.col("both")), F.when(own, 0).otherwise(F.col("nx") - F.col("both"))
-        at = [F.max(F.when(F.col("r") == i, c)).alias(f"{name}{i}") for i in range(1, PIVOTS + 1) for name, c in (("lost", lost), ("new", new))]
-        near_head = near_head.groupBy(F.col("band").alias("hband"), F.col("key").alias("hkey")).agg(*at)
-        known = mixed.join(lone, F.col("key") == F.col("ukey"), "left").join(size, F.col("key") == F.col("skey"), "left").join(near_head, (F.col("band") == F.col("hband")) & (F.col("key") == F.col("hkey")))
+        # per member: what it lacks of each of its buckets' pivots, and has beside it
+        way = met.join(wanted, F.col("key") == F.col("want"), "left_semi").withColumnRenamed("key", "x").join(pairs, ["a", "b"])
+        own, other = (F.when(F.col("x") == F.col("a"), F.col(c)).otherwise(F.col(d)) for c, d in (("na", "nb"), ("nb", "na")))
+        way = way.groupBy(F.col("x").alias("skey")).agg(F.max(own).alias("sn"), F.collect_list(F.struct(F.col("pkey").alias("y"), (other - F.col("both")).alias("lost"), (own - F.col("both")).alias("new"))).alias("way"))
+        known = mixed.join(heads, F.col("band") == F.col("pband")).join(lone, F.col("key") == F.col("ukey"), "left").join(way, F.col("key") == F.col("skey"), "left")
+
+        def side(i: int, name: str):
+            h = F.get("heads", F.lit(i - 1))["key"]
+            return F.when(h == F.col("key"), F.lit(0).cast("long")).otherwise(F.get(F.filter("way", lambda w: w["y"] == h), F.lit(0))[name]).alias(f"{name}{i}")
+
         sides = [f"{name}{i}" for i in range(1, PIVOTS + 1) for name in ("lost", "new")]
-        first = heads.where("r = 1").select(F.col("pband").alias("fband"), F.col("pkey").alias("head"))
-        known = known.join(first, F.col("band") == F.col("fband"))
+        known = known.select("band", "key", F.coalesce("sn", "n").alias("n"), "s0", "s1", "comp", "major", F.coalesce("u", F.lit(0)).alias("u"), F.get("heads", F.lit(0))["key"].alias("head"), *(side(i, name) for i in range(1, PIVOTS + 1) for name in ("lost", "new")))
         apart = differences(known.where("key <> head").select("key", "head").distinct(), texts, k)
         known = known.join(apart, (F.col("key") == F.col("dkey")) & (F.col("head") == F.col("dhead")), "left")
         d = F.when(F.col("key") == F.col("head"), F.array().cast("array<bigint>")).otherwise(F.col("d"))
-        known = known.select("band", "key", F.coalesce("sn", "n").alias("n"), "s0", "s1", "comp", "major", F.coalesce("u", F.lit(0)).alias("u"), *sides, d.alias("d"))
-        mixed = scratch.put(known, "known")
+        mixed = scratch.put(known.withColumn("d", d).drop("head", "dkey", "dhead"), "known", some)
         minor = mixed.where("comp <> major").select(F.col("band").alias("pband"), *(F.col(c).alias(d) for c, d in (("key", "pkey"), ("n", "pn"), ("s0", "p0"), ("s1", "p1"), ("comp", "pcomp"), ("u", "pu"), *((c, f"p{c}") for c in (*sides, "d")))))
         total = F.col("n") + F.col("pn")
         both = F.least(F.col("n") - F.col("u"), F.col("pn") - F.col("pu"))
@@ -239,10 +244,10 @@ def near_groups(units: DataFrame, texts: Callable[[DataFrame], DataFrame], scrat
         cross = (F.col("comp") != F.col("pcomp")) & ((F.col("comp") == F.col("major")) | (F.col("key") < F.col("pkey")))
         found = mixed.join(minor, (F.col("band") == F.col("pband")) & cross & sized & alike & can & reach & exact)
         rest = found.select(*pair).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        more = scratch.put(linked(measured(rest, texts, k), percent), "more")
+        more = scratch.put(linked(measured(rest, texts, k), percent), "more", some)
         if not more.isEmpty():
             roots = connected_components(links.union(more), scratch, "last")
-    scratch.drop("texts", "mixed", "known", "pairs", "heads")
+    scratch.drop("texts", "mixed", "known", "pairs", "heads", "met")
     return roots
 
 
