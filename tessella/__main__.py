@@ -75,7 +75,7 @@ def figures(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 def questions(spark: SparkSession, root: str) -> DataFrame:
     sem, put = figures(spark, root), Tables(spark).put
     bps = put(B.blueprints(sem), "blueprints")
-    drafts = put(D.draft_sets(bps, sem), "drafts")
+    drafts = put(D.draft_sets(bps, sem, put=put), "drafts")
     zh = put(T.translate_drafts(drafts), "zh")
     for name, df in (("blueprints", bps), ("drafts", drafts), ("drafts_zh", zh)):
         sinks.write_stage(df, root, name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ ORDER = ["DIRECTION_FLIP", "SIGNIFICANCE_FLIP", "GROUP_SWAP", "CAUSALITY_UPGRADE
 
 
 def changed(text: Column, new: Column) -> Column:
-    return F.when(new != text, new)
+    return F.nullif(new, text)
 
 
 # --- true statements --------------------------------------------------------------------------------------------------
@@ -55,17 +57,25 @@ def truncated(body: Column, value: Column) -> Column:
     return F.when(F.length(body) <= MAX_SENTENCE, body).when((at >= 0) & (at + F.length(value) <= MAX_SENTENCE), short)
 
 
-def data_statement(figure: Column, panel: Column, value: Column, kind: Column, sentence: Column) -> Column:
-    """The sentence quoted behind its figure, or the value by its kind where it can't be quoted; null for a panel taken for a value."""
-    anchor = F.concat(figure, F.regexp_replace(panel, "^[0-9]+", ""))
-    body, bare = clean_sentence(sentence), F.regexp_replace(value, r"\.+$", "")
-    bad = looks_like_fragment(body)
-    use = F.when(F.contains(body, value), value).when((bare != "") & F.contains(body, bare), bare)
-    quote = F.when(~bad & use.isNotNull(), truncated(body, use))
-    label = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in P.KIND_LABELS.items() for x in kv)), F.coalesce(kind, F.lit(""))), F.lit("value"))
-    plain = F.concat(F.lit("According to "), anchor, F.lit(", the reported "), label, F.lit(" is "), bare, F.lit("."))
+def with_quote(rows: DataFrame) -> DataFrame:
+    """Blueprint rows with x_body (the cleaned sentence), x_bad (a fragment) and x_quote (the quote around the value, null if it can't be quoted).
+
+    Each is a column of its own, so that the next one's many uses of it don't repeat it."""
+    rows = rows.withColumn("x_body", clean_sentence(F.coalesce("sentence", F.lit(""))))
+    bare = F.regexp_replace("data_value", r"\.+$", "")
+    use = F.when(F.contains("x_body", "data_value"), F.col("data_value")).when((bare != "") & F.contains(F.col("x_body"), bare), bare)
+    rows = rows.withColumns({"x_bad": looks_like_fragment(F.col("x_body")), "x_use": use})
+    return rows.withColumn("x_quote", F.when(~F.col("x_bad") & F.col("x_use").isNotNull(), truncated(F.col("x_body"), F.col("x_use")))).drop("x_use")
+
+
+def data_statement() -> Column:
+    """Over with_quote(): the sentence quoted behind its figure, or the value by its kind where it can't be quoted; null for a panel taken for a value."""
+    value, quote = F.col("data_value"), F.col("x_quote")
+    anchor = F.concat("figure_id", F.regexp_replace("panel_id", "^[0-9]+", ""))
+    label = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in P.KIND_LABELS.items() for x in kv)), F.coalesce("kind", F.lit(""))), F.lit("value"))
+    plain = F.concat(F.lit("According to "), anchor, F.lit(", the reported "), label, F.lit(" is "), F.regexp_replace(value, r"\.+$", ""), F.lit("."))
     said = F.when(quote.isNotNull() & (quote != ""), F.concat(F.lit("According to "), anchor, F.lit(", "), quote, F.lit("."))).otherwise(plain)
-    return F.when(F.coalesce(value, F.lit("")) != "", F.when(~(bad & value.rlike(P.PANEL_LABEL_VALUE)), said))
+    return F.when(F.coalesce(value, F.lit("")) != "", F.when(~(F.col("x_bad") & value.rlike(P.PANEL_LABEL_VALUE)), said))
 
 
 def needs_object(value: Column, sentence: Column) -> Column:
@@ -76,11 +86,10 @@ def needs_object(value: Column, sentence: Column) -> Column:
 
 
 def true_statement() -> Column:
-    """Over blueprint columns."""
+    """Over with_quote()."""
     sure = (F.col("question_type") == "RESULT_INTERPRETATION") & (F.col("significance") == "significant") & F.col("direction").isin("increase", "decrease") & (F.coalesce("cmp_experimental", F.lit("")) != "") & (F.coalesce("cmp_endpoint", F.lit("")) != "")
     strong = F.concat("cmp_experimental", F.lit(" significantly "), F.when(F.col("direction") == "increase", "increases").otherwise("decreases"), F.lit(" "), "cmp_endpoint", F.lit("."))
-    data = data_statement(F.col("figure_id"), F.col("panel_id"), F.col("data_value"), F.col("kind"), F.col("sentence"))
-    return F.when(sure, strong).when(F.col("question_type") == "DATA_STATEMENT", data).otherwise(F.when(F.col("expected_answer") != "", F.col("expected_answer")))
+    return F.when(sure, strong).when(F.col("question_type") == "DATA_STATEMENT", data_statement()).otherwise(F.when(F.col("expected_answer") != "", F.col("expected_answer")))
 
 
 # --- perturbations ----------------------------------------------------------------------------------------------------
@@ -231,13 +240,15 @@ def perturbed(t: Column) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("p"), F.lit(k).alias("type"), made[k].alias("text"), (cond["evidence_id"] if k == "CONDITION_MUTATION" else nothing).alias("extra")) for i, k in enumerate(ORDER)))
 
 
-def draft_sets(bps: DataFrame, sem: dict[str, DataFrame], max_false: int = MAX_FALSE) -> DataFrame:
+def draft_sets(bps: DataFrame, sem: dict[str, DataFrame], max_false: int = MAX_FALSE, put: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """doc_id, set_id, nn, draft_id, blueprint_id, figure_id, unit, question_type, statement, is_correct, perturbation, evidence_ids, confidence.
 
-    A set is its true statement and the first false ones that differ from it and each other; a set without a false one goes, and its number with it."""
-    rows = contexts(select_blueprints(bps), sem, bps).withColumn("true_text", true_statement()).where("true_text is not null and size(evidence_ids) > 0")
+    A set is its true statement and the first false ones that differ from it and each other; a set without a false one goes, and its number with it.
+    put: writes the true statements with their context before they are perturbed, which keeps either plan small."""
+    rows = with_quote(contexts(select_blueprints(bps), sem, bps)).withColumn("true_text", true_statement()).where("true_text is not null and size(evidence_ids) > 0")
     rows = rows.withColumn("set_k", F.row_number().over(Window.partitionBy("doc_id", "unit").orderBy("set_n")))
     rows = rows.withColumn("set_id", F.concat(F.lit("qd_"), "unit", F.lit("_"), F.format_string("%03d", "set_k")))
+    rows = put(rows.drop("x_body", "x_bad", "x_quote", "treatments", "all_figures", "evidence_store"), "true_statements")
     keep = ["doc_id", "set_id", "blueprint_id", "figure_id", "unit", "question_type", "true_text", "evidence_ids", "confidence"]
     each = rows.select(*keep, F.explode(perturbed(F.col("true_text"))).alias("c")).where("c.text is not null and c.text <> true_text")
     once = each.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "set_id", "c.text").orderBy("c.p"))).where("k = 1")

@@ -394,7 +394,7 @@ def semantics(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         put = Tables(spark).put
         sem = S.reconstruct(put(corpus.papers(spark, sf_dir), "papers"), put=put)
         sem["blueprints"] = put(B.blueprints(sem), "blueprints")
-        sem["drafts"] = put(D.draft_sets(sem["blueprints"], sem), "drafts")
+        sem["drafts"] = put(D.draft_sets(sem["blueprints"], sem, put=put), "drafts")
         sem["translated"] = put(T.translate_drafts(sem["drafts"]), "translated")
         held = {**held, sf_dir: sem}
         spark._tessella_papers = held

@@ -50,7 +50,8 @@ def bps(spark, sem):
 
 @pytest.fixture(scope="module")
 def sets(spark, sem, bps):
-    return Tables(spark).put(D.draft_sets(bps, sem), "drafts")
+    put = Tables(spark).put
+    return put(D.draft_sets(bps, sem, put=put), "drafts")
 
 
 def test_verdicts(sem):
