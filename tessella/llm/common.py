@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,10 +87,22 @@ class Scratch:
             self.fs.delete(self.path(self.where(name)), True)
 
 
+def tidy(run: Callable) -> Callable:
+    """run over a partition's batches, then freed memory given back: a worker process outlives its tasks and shares the executor's memory with the next one's."""
+
+    def over(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return over
+
+
 class Memo(dict):
     """A cache of make(key) that empties itself at limit entries; results don't depend on it."""
 
-    def __init__(self, make: Callable, limit: int = 400_000):
+    def __init__(self, make: Callable, limit: int = 200_000):
         super().__init__()
         self.make, self.limit = make, limit
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, Memo, Scratch, ascii_lower, bound_batches, fresh, hash_memo, mix, shingle_set
+from .common import GAP, Memo, Scratch, ascii_lower, bound_batches, fresh, hash_memo, mix, shingle_set, tidy
 from .components import connected_components
 
 #: 25 bands of 5: at a similarity of 0.85 a pair shares no band with odds of 4e-7, at 0.8 with 5e-5. Bits of a sketch: one a register.
@@ -106,7 +106,7 @@ def signed(docs: DataFrame, id_col: str, text: str, k: int, bands: int, rows: in
                     *(pa.array([int(x) if h else None for x, h in zip(sketch[:, i], has, strict=True)], pa.int64()) for i in range(2)),
                 ], names=["id", "key", "n", "bands", "s0", "s1"])
 
-    return docs.select(id_col, F.col(text).cast("binary")).mapInArrow(run, f"id {kind}, key binary, n bigint, bands array<bigint>, s0 bigint, s1 bigint")
+    return docs.select(id_col, F.col(text).cast("binary")).mapInArrow(tidy(run), f"id {kind}, key binary, n bigint, bands array<bigint>, s0 bigint, s1 bigint")
 
 
 def measured(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -126,7 +126,7 @@ def measured(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:2], *more], names=["a", "b", "na", "nb", "both"])
 
     bound_batches(pairs.sparkSession)
-    return rows.mapInArrow(run, "a binary, b binary, na bigint, nb bigint, both bigint")
+    return rows.mapInArrow(tidy(run), "a binary, b binary, na bigint, nb bigint, both bigint")
 
 
 def differences(pairs: DataFrame, texts: DataFrame, k: int, most: int = 256) -> DataFrame:
@@ -141,7 +141,7 @@ def differences(pairs: DataFrame, texts: DataFrame, k: int, most: int = 256) ->
             each = [np.setxor1d(sets[x], sets[y], assume_unique=True) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([d.view(np.int64) if len(d) <= most else None for d in each], pa.list_(pa.int64()))], names=["dkey", "dhead", "d"])
 
-    return rows.mapInArrow(run, "dkey binary, dhead binary, d array<bigint>")
+    return rows.mapInArrow(tidy(run), "dkey binary, dhead binary, d array<bigint>")
 
 
 def linked(pairs: DataFrame, percent: int) -> DataFrame:
@@ -169,7 +169,7 @@ def lone_shingles(texts: DataFrame, k: int) -> DataFrame:
             sets = [shingle_set(t.lower().split(), k, memo).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["ukey", "shingles"])
 
-    each = texts.select("key", "text").mapInArrow(run, "ukey binary, shingles array<bigint>").select("ukey", F.explode("shingles").alias("s"))
+    each = texts.select("key", "text").mapInArrow(tidy(run), "ukey binary, shingles array<bigint>").select("ukey", F.explode("shingles").alias("s"))
     return each.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("ukey").alias("ukey")).where("n = 1").groupBy("ukey").agg(F.count(F.lit(1)).alias("u"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, bound_batches
+from .common import Scratch, bound_batches, tidy
 from .tokens import default_tokenizer, encoder, merged
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -112,7 +112,7 @@ def pieces(spark: SparkSession, docs: DataFrame, tokenizer: str, length: int, en
                 more = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *more], names=schema.names)
 
-    return docs.select(id_col, F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text).cast("binary").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, length: int = 2048, end_id: int = 0, max_documents: int | None = None, max_cost: int | None = None, id_col: str = "doc_id", text: str = "text", slot_rows: int = 100_000) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, bound_batches, fresh, hash_memo, windows, word_hashes
+from .common import Scratch, bound_batches, fresh, hash_memo, tidy, windows, word_hashes
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -53,7 +53,7 @@ def with_stats(df: DataFrame, text: str, names: list[str]) -> DataFrame:
             more = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def host_verdicts(stats: DataFrame, host: str, failed: str, max_rate: float = 0.5) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, hash_memo, mix, windows, word_hashes
+from .common import Scratch, bound_batches, hash_memo, mix, tidy, windows, word_hashes
 from .minhash import bands_of, near_groups, sketch_of, small
 
 #: 6 bands of 2: paragraphs of similarity 0.8 share no band with odds of 0.002, at 0.9 of 5e-5; paragraphs that share nothing never meet.
@@ -122,7 +122,7 @@ def paragraphs(docs: DataFrame, id_col: str, text: str, k: int, min_words: int,
                 if out is not None:
                     yield out
 
-    return docs.select(id_col, F.col(text).cast("binary")).mapInArrow(run, f"id {kind}, kind int, start bigint, n_words bigint, key binary, bands array<bigint>, s0 bigint, s1 bigint")
+    return docs.select(id_col, F.col(text).cast("binary")).mapInArrow(tidy(run), f"id {kind}, kind int, start bigint, n_words bigint, key binary, bands array<bigint>, s0 bigint, s1 bigint")
 
 
 def line_texts(docs: DataFrame, id_col: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def line_texts(docs: DataFrame, id_col: str, text: str, wanted: DataFrame) -> Da
                         out.append(b" ".join(part))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(out, pa.binary())], names=["key", "text"])
 
-    return rows.mapInArrow(run, "key binary, text binary").dropDuplicates(["key"])
+    return rows.mapInArrow(tidy(run), "key binary, text binary").dropDuplicates(["key"])
 
 
 def repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, min_words: int = 20, piece_words: int = 7, min_docs: int = 2) -> DataFrame:
@@ -196,7 +196,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
 
     bound_batches(spark)
     joined = docs.join(spans, docs[id_col].eqNullSafe(spans["_span_id"]), "left").select(*docs.columns, "_spans")
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def cut_words(text: str | None, spans: list[dict] | None) -> str | None:

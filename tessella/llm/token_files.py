@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, bound_batches
+from .common import Scratch, bound_batches, tidy
 from .tokens import default_tokenizer, encoder, merged
 
 
@@ -39,7 +39,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(index_rows), "orc.stripe.size": str(stripe_bytes), "orc.compress": "ZSTD"}
-    rows.mapInArrow(run, schema).write.mode("overwrite").options(**options).orc(path)
+    rows.mapInArrow(tidy(run), schema).write.mode("overwrite").options(**options).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:

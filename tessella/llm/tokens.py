@@ -22,9 +22,9 @@ def default_tokenizer() -> str:
 #: Marks that end words. After an ASCII letter or digit a run of them is a token run of its own, so word and marks are encoded apart.
 STOPS = ".,;:!?"
 #: Words that a generation of the cache holds; there are two, of about 200 bytes a word.
-GENERATION = 300_000
+GENERATION = 200_000
 #: Bytes of text that are encoded together.
-BLOCK = 8 << 20
+BLOCK = 6 << 20
 
 
 class Encoder:
