@@ -269,7 +269,7 @@ def grouped(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text:
 
     roots = near_groups(units, texts, scratch, bands * rows, k, percent)
     named = sig.drop("bands", "s0", "s1").join(roots, F.col("key") == F.col("node"), "left").select("id", "key", F.col("n").alias("n_shingles"), F.coalesce("root", "key").alias("comp"))
-    named = scratch.put(named, "named")
+    named = scratch.put(named, "named", max(1, sig.count() // 20_000))
     scratch.drop("signed")
     least = named.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("comp").alias("of"), "least")
     out = named.join(least, F.col("comp") == F.col("of"), "left")
@@ -283,10 +283,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "do
     gone_id, gone_key, at = fresh(docs, "_gone_id", "_gone_key", "_text_key")
     scratch = Scratch(spark, "near")
     rows = scratch.put(grouped(spark, docs, id_col, text, k, percent, **options).where("key is not null"), "rows")
+    few = max(1, rows.count() // 50_000)
     first = rows.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(F.col("comp").alias("of")).agg(F.min(F.struct("id", "key")).alias("f"))
     judged = rows.join(first, F.col("comp") == F.col("of")).withColumn("stays", F.col("id").eqNullSafe(F.col("f.id")) & (F.col("key") == F.col("f.key")))
-    gone = scratch.put(judged.where("not stays").select(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).distinct(), "gone")
-    twice = scratch.put(judged.where("stays").groupBy(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(gone_id, gone_key), "twice")
+    gone = scratch.put(judged.where("not stays").select(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).distinct(), "gone", few)
+    twice = scratch.put(judged.where("stays").groupBy(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(gone_id, gone_key), "twice", few)
     same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(at) == F.col(gone_key))
     left = docs.withColumn(at, text_key(F.col(text))).join(gone, same, "left_anti")
     if twice.isEmpty():
