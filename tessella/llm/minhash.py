@@ -191,7 +191,7 @@ def near_groups(units: DataFrame, texts: Callable[[DataFrame], DataFrame], scrat
     live = spread.join(shared, F.col("band") == F.col("of")).groupBy("key").agg(F.collect_set("band").alias("bands"), F.sum("times").alias("weight"))
     live = scratch.put(units.drop("bands").join(live, "key"), "live")
     rows = live.count()
-    few, some = max(1, rows // 50_000), max(24, rows // 2_000)
+    few, some = max(1, rows // 4_000), max(24, rows // 2_000)
     texts = scratch.put(texts(live.select("key")), "texts", some)
     members = live.select("key", "n", "s0", "s1", "weight", F.explode("bands").alias("band"))
     limit = sketch_limit(min(m, 128), percent)
