@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, n_words
+from .common import Scratch, fresh, n_words
+from .minhash import small
 
 #: Shuffled documents of a source are summed in this many slots, so that a source of a third of all rows is dealt over that many tasks.
 SLOTS = 512
@@ -50,6 +51,8 @@ def mix(spark: SparkSession, docs: DataFrame, names: dict[str, str], id_col: str
     goal = targets(sums.groupBy(F.col(src).alias("source")).agg(F.sum(cnt).alias("source_size")), weights, percent, passes)
     offsets = sums.withColumn(off, F.sum(cnt).over(Window.partitionBy(src).orderBy(slot)) - F.col(cnt)).drop(cnt)
     base = offsets.join(goal, offsets[src].eqNullSafe(goal["source"])).select(src, F.col(slot).alias(cnt), off, F.col("source_size").alias(tot), F.col("target").alias(tgt))
+    # a row for each source and slot: sent to all tasks where these are few, so that texts move once
+    base = small(Scratch(spark, "mixing").put(base, "base", 8))
     rows = size.join(base, size[source].eqNullSafe(base[src]) & (size[slot] == base[cnt]))
     w = Window.partitionBy(src, slot).orderBy(place, tie).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col(off) + F.coalesce(F.sum(size_).over(w), F.lit(0))
