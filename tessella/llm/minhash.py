@@ -289,7 +289,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "do
     gone = scratch.put(judged.where("not stays").select(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).distinct(), "gone", few)
     twice = scratch.put(judged.where("stays").groupBy(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(gone_id, gone_key), "twice", few)
     same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(at) == F.col(gone_key))
-    left = docs.withColumn(at, text_key(F.col(text))).join(gone, same, "left_anti")
+    left = docs.withColumn(at, text_key(F.col(text))).join(small(gone), same, "left_anti")
     if twice.isEmpty():
         return left.select(*docs.columns)
+    twice = small(twice)
     return left.join(twice, same, "left_anti").select(*docs.columns).union(left.join(twice, same, "left_semi").dropDuplicates([id_col, at]).select(*docs.columns))
