@@ -27,8 +27,9 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # kept is that of the query's SQL, which knows base_failed alone; the pipeline keeps by all rules
     rows, _ = quality.judge(spark, table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["doc_id"])
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("base_kept").alias("kept"), F.round("host_rate", 6).alias("host_rate"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

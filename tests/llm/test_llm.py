@@ -323,6 +323,22 @@ def test_a_bad_host_is_rejected_and_a_small_one_is_not_for_one_failure(spark):
     assert not v["bad"]["host_ok"] and v["small"]["host_ok"] and v["h3"]["host_ok"]
 
 
+def test_all_quality_rules_decide_what_is_kept(spark):
+    r, v = random.Random(3), vocabulary()
+    plain = [" ".join(r.choice(v) for _ in range(60)) for _ in range(52)]
+    rows = [(i, t, "good") for i, t in enumerate(plain[:40])]
+    rows += [(100, plain[0] + " #" * 7, "good"), (101, plain[1] + " #" * 6, "good"), (103, " ".join(f"{a}{a}{a}{a}" for a in plain[2].split()), "good")]
+    rows += [(102, "\n".join([plain[40]] + [f"a{i}" for i in range(3)] + ["one two"] * 9), "good"), (104, " ".join(f"{chr(97 + i % 26)}{i % 7}" for i in range(60)), "good")]
+    rows += [(200 + i, t + " $" * (9 if i else 0), "bad") for i, t in enumerate(plain[41:])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {x["doc_id"]: x for x in quality.judge(spark, df, ["doc_id"])[0].collect()}
+    assert not any(x["base_failed"] for i, x in got.items() if i != 104)
+    assert {i for i, x in got.items() if x["symbols_failed"]} == {100, *range(201, 211)}
+    assert {i for i, x in got.items() if x["lines_failed"]} == {102} and {103, 104} == {i for i, x in got.items() if x["length_failed"]}
+    # 200 fails no rule, and its host does
+    assert {i for i, x in got.items() if x["kept"]} == {*range(40), 101} == {x["doc_id"] for x in quality.keep_good(spark, df).collect()}
+
+
 def test_quality_keeps_the_columns(spark, docs):
     odd = docs.withColumn("n_words", F.lit("mine")).withColumn("KEPT", F.lit(1)).withColumn("host_rate", F.lit(2))
     out = quality.keep_good(spark, odd)
