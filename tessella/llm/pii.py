@@ -98,11 +98,18 @@ def bare(word: Column) -> Column:
     return F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
 
-def disclosing(found: DataFrame, docs: DataFrame, n: int, text: str, scratch: Scratch, threshold: float, min_docs: int) -> DataFrame:
-    """entity, term: the pairs whose pointwise mutual information log(N n(e,t) / (n(e) n(t))) is at least `threshold` times the entity's
-    information log(N / n(e)), in min_docs different contexts or more. found: id, digest, entity, term. n counts documents over the whole
-    corpus of n; a term's documents hold it as a word anywhere. At threshold 1 a term reveals an entity that all its documents hold."""
-    each = found.groupBy("entity", "term", "digest").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_docs)
+def least_share(hits: Column, of: Column, z: float) -> Column:
+    """Wilson's lower bound of a share of which `hits` of `of` cases were seen. z: 1.645 is one-sided at 95%."""
+    p, zz = hits / of, z * z
+    return (p + zz / (2 * of) - z * F.sqrt(p * (1 - p) / of + zz / (4 * of * of))) / (1 + zz / of)
+
+
+def disclosing(found: DataFrame, docs: DataFrame, n: int, text: str, scratch: Scratch, threshold: float, z: float) -> DataFrame:
+    """entity, term: the pairs whose pointwise mutual information log(N n(e,t) / (n(e) n(t))) is surely at least `threshold` times the entity's
+    information log(N / n(e)). n(e,t) / n(t) is the share of the term's documents that hold the entity near it; its lower bound (least_share) stands for it, so that
+    few documents tell less than many, and one that holds the term away from the entity counts as one. found: id, digest, entity, term. n counts documents
+    over the whole corpus of n; a term's documents hold it as a word anywhere."""
+    each = found.groupBy("entity", "term", "digest").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
     few = max(1, n // 100_000)
     each = scratch.put(each, "pairs", few)
     if each.isEmpty():
@@ -115,11 +122,12 @@ def disclosing(found: DataFrame, docs: DataFrame, n: int, text: str, scratch: Sc
     # (an inner join stays above the sum, where a semi join would be moved below it)
     seen = scratch.put(seen.join(terms, F.col("word") == F.col("want")).drop("want"), "terms", few)
     out = each.join(entities, F.col("entity") == F.col("e")).join(seen, F.col("term") == F.col("word"))
-    info, mutual = F.log2(F.lit(float(max(n, 1))) / F.col("ne")), F.log2(F.lit(float(max(n, 1))) * F.col("both") / (F.col("ne") * F.col("nt")))
+    info = F.log2(F.lit(float(max(n, 1))) / F.col("ne"))
+    mutual = info + F.log2(least_share(F.col("both"), F.greatest("both", "nt"), z))
     return out.where((info > 0) & (mutual >= threshold * info)).select("entity", "term")
 
 
-def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 48, min_chars: int = 4, threshold: float = 1.0, min_docs: int = 3) -> DataFrame:
+def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 48, min_chars: int = 4, threshold: float = 0.8, z: float = 1.645) -> DataFrame:
     """id, digest (of the text), base, more for each row of docs: arrays of spans (start, kind, stop, value), in code points, stop exclusive.
 
     base: what the four patterns find and their checks pass. more (kind 4): words within `window` characters of a base span, in its line, of
@@ -133,7 +141,7 @@ def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str
     few, some = max(1, n // 100_000), max(24, n // 2_000)
     base = scratch.put(base, "base", some)
     found = base.where("size(near) > 0").select("id", "digest", F.explode("near").alias("x")).select("id", "digest", "x.*")
-    told = scratch.put(disclosing(found, docs, n, text, scratch, threshold, min_docs).select(F.col("entity").alias("e"), F.col("term").alias("t")), "told", few)
+    told = scratch.put(disclosing(found, docs, n, text, scratch, threshold, z).select(F.col("entity").alias("e"), F.col("term").alias("t")), "told", few)
     hit = found.join(told, (F.col("entity") == F.col("e")) & (F.col("term") == F.col("t")))
     span = F.struct("start", F.lit(4).alias("kind"), "stop", F.col("term").alias("value")).cast(SPAN)
     spans = hit.groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(F.array_sort(F.collect_set(span)).alias("more"))
@@ -162,4 +170,4 @@ def sanitise(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text:
     return joined_.select(*[F.when(F.col(spans).isNull(), F.col(text)).otherwise(done).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
-__all__ = ["KINDS", "SPAN", "base_spans", "disclosing", "find", "joined", "near_terms", "sanitise"]
+__all__ = ["KINDS", "SPAN", "base_spans", "disclosing", "find", "joined", "least_share", "near_terms", "sanitise"]

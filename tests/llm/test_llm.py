@@ -496,6 +496,23 @@ def test_pii_over_the_corpus_and_a_revealing_term(spark, docs):
     assert "[email]" in cut[5000] and "Quibbleton" not in cut[5000] and cut[0] == corpus()[0][1] and cut[1000] is None
 
 
+def terms_of(spark, texts):
+    """The terms that pii.find gives by row."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {r["id"]: {s["value"] for s in r["more"]} for r in pii.find(spark, df).collect()}
+
+
+def test_pii_terms_of_a_value_though_a_document_lacks_it_or_few_have_it(spark):
+    r, v = random.Random(6), [w for w in vocabulary() if len(w) > 3][:50]
+    other = [" ".join(r.choice(v) for _ in range(30)) + f" {i}" for i in range(300)]
+    often = [f"{i}\n{r.choice(v)} Quibbleton vex@hidden.org\n{i}" for i in range(100)]
+    got = terms_of(spark, [*often, "here is Quibbleton alone", "Marblesby at two@hidden.org", "also Marblesby two@hidden.org", *other])
+    assert all("quibbleton" in got[i] for i in range(100)) and not got[100]
+    assert "marblesby" in got[101] and "marblesby" in got[102]
+    # words of all documents tell nothing
+    assert not set().union(*got.values()) & set(v)
+
+
 # --- empty tables -----------------------------------------------------------------------------------------------------
 
 
