@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, fresh
+from .common import Scratch, fresh
+from .minhash import small
 
 #: The kinds in the order of a tie, and their patterns. Loops that nothing after them can shorten are possessive, and a match
 #: starts where its run of characters starts or where the match before ended, as no later start of that run can do better; so long runs take one pass.
@@ -18,6 +19,8 @@ PATTERNS = {
 }
 #: What a text must hold for a kind to be looked for.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+#: A term, in documents and near values alike: letters, digits and marks, joined inside by apostrophes, hyphens or underscores. Loops are possessive.
+TERM = r"[\p{L}\p{N}\p{M}]++(?:['’_-]++[\p{L}\p{N}\p{M}]++)*+"
 SPAN = "struct<start:bigint,kind:int,stop:bigint,value:string>"
 
 
@@ -71,7 +74,7 @@ def joined(spans: Column, names: Column) -> Column:
 
 
 def near_terms(text: Column, spans: Column, window: int, min_chars: int) -> Column:
-    """entity, start, stop, term of the words within `window` characters of each base span, that lie in its line and overlap no base span.
+    """entity, start, stop, term of the words (TERM) within `window` characters of each base span, that lie in its line and overlap no base span.
 
     An entity is a base value without its case and, for numbers, without what isn't a digit."""
 
@@ -82,33 +85,29 @@ def near_terms(text: Column, spans: Column, window: int, min_chars: int) -> Colu
         after = F.substring_index(F.substring(text, s["stop"].cast("int") + 1, F.lit(window)), "\n", 1)
         cut_left = (lo > 0) & (F.char_length(before) == s["start"] - lo)
         cut_right = F.char_length(after) == window
-        left = F.slice(matches(before, WORD, 9), F.when(cut_left, 2).otherwise(1), F.lit(window))
-        right = matches(after, WORD, 9)
+        left = F.slice(matches(before, TERM, 9), F.when(cut_left, 2).otherwise(1), F.lit(window))
+        right = matches(after, TERM, 9)
         right = F.slice(right, 1, F.greatest(F.size(right) - F.when(cut_right, 1).otherwise(0), F.lit(0)))
         at = s["start"] - F.char_length(before)
         both = F.concat(F.transform(left, lambda w: F.struct((w["start"] + at).alias("start"), (w["stop"] + at).alias("stop"), w["value"].alias("value"))), F.transform(right, lambda w: F.struct((w["start"] + s["stop"]).alias("start"), (w["stop"] + s["stop"]).alias("stop"), w["value"].alias("value"))))
-        free = F.filter(both, lambda w: (F.char_length(bare(w["value"])) >= min_chars) & ~F.exists(spans, lambda o: (o["start"] < w["stop"]) & (w["start"] < o["stop"])))
-        return F.transform(free, lambda w: F.struct(entity.alias("entity"), w["start"].alias("start"), w["stop"].alias("stop"), F.lower(bare(w["value"])).alias("term")))
+        free = F.filter(both, lambda w: (F.char_length(w["value"]) >= min_chars) & ~F.exists(spans, lambda o: (o["start"] < w["stop"]) & (w["start"] < o["stop"])))
+        return F.transform(free, lambda w: F.struct(entity.alias("entity"), w["start"].alias("start"), w["stop"].alias("stop"), F.lower(w["value"]).alias("term")))
 
     return F.when(F.size(spans) > 0, F.flatten(F.transform(spans, around))).otherwise(F.array().cast("array<struct<entity:string,start:bigint,stop:bigint,term:string>>"))
 
 
-def bare(word: Column) -> Column:
-    """A word without punctuation at its ends."""
-    return F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-
-
 def least_share(hits: Column, of: Column, z: float) -> Column:
     """Wilson's lower bound of a share of which `hits` of `of` cases were seen. z: 1.645 is one-sided at 95%."""
     p, zz = hits / of, z * z
     return (p + zz / (2 * of) - z * F.sqrt(p * (1 - p) / of + zz / (4 * of * of))) / (1 + zz / of)
 
 
-def disclosing(found: DataFrame, docs: DataFrame, n: int, text: str, scratch: Scratch, threshold: float, z: float) -> DataFrame:
+def disclosing(found: DataFrame, docs: DataFrame, n: int, text: str, scratch: Scratch, threshold: float, z: float, copies: DataFrame) -> DataFrame:
     """entity, term: the pairs whose pointwise mutual information log(N n(e,t) / (n(e) n(t))) is surely at least `threshold` times the entity's
     information log(N / n(e)). n(e,t) / n(t) is the share of the term's documents that hold the entity near it; its lower bound (least_share) stands for it, so that
-    few documents tell less than many, and one that holds the term away from the entity counts as one. found: id, digest, entity, term. n counts documents
-    over the whole corpus of n; a term's documents hold it as a word anywhere."""
+    few documents tell less than many, and one that holds the term away from the entity counts as one. found: id, digest, entity, term.
+    All counts are of different texts, of which the corpus has n; copies: copy, times of those digests that more than one row has, as each of their rows then
+    counts 1 / times. A term's documents hold it as a word anywhere."""
     each = found.groupBy("entity", "term", "digest").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
     few = max(1, n // 100_000)
     each = scratch.put(each, "pairs", few)
@@ -116,14 +115,18 @@ def disclosing(found: DataFrame, docs: DataFrame, n: int, text: str, scratch: Sc
         return each.select("entity", "term")
     entities = found.groupBy("entity", "digest").agg(F.lit(1).alias("one")).groupBy(F.col("entity").alias("e")).agg(F.count(F.lit(1)).alias("ne"))
     terms = each.select(F.col("term").alias("want")).distinct()
-    words = F.array_distinct(F.transform(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}@._%+-]+"), bare))
+    body = F.coalesce(F.col(text), F.lit(""))
+    words = F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(TERM), F.lit(0)), F.lower))
+    rows = docs.select(body.alias("body"), F.xxhash64(body).alias("digest"), words.alias("words")).drop("body")
+    rows = rows.join(small(copies), F.col("digest") == F.col("copy"), "left").select("words", (1 / F.coalesce("times", F.lit(1))).alias("part"))
     # words are summed for each task before they meet the terms, so that the shuffle holds a task's vocabulary and not its text
-    seen = docs.select(F.explode(words).alias("word")).where(F.char_length("word") > 0).groupBy("word").agg(F.count(F.lit(1)).alias("nt"))
+    seen = rows.select(F.explode("words").alias("word"), "part").groupBy("word").agg(F.round(F.sum("part")).cast("bigint").alias("nt"))
     # (an inner join stays above the sum, where a semi join would be moved below it)
     seen = scratch.put(seen.join(terms, F.col("word") == F.col("want")).drop("want"), "terms", few)
-    out = each.join(entities, F.col("entity") == F.col("e")).join(seen, F.col("term") == F.col("word"))
+    # a left join, and not less than `both`: beside a value a term can be a part of a word
+    out = each.join(entities, F.col("entity") == F.col("e")).join(seen, F.col("term") == F.col("word"), "left")
     info = F.log2(F.lit(float(max(n, 1))) / F.col("ne"))
-    mutual = info + F.log2(least_share(F.col("both"), F.greatest("both", "nt"), z))
+    mutual = info + F.log2(least_share(F.col("both"), F.greatest("both", F.coalesce("nt", "both")), z))
     return out.where((info > 0) & (mutual >= threshold * info)).select("entity", "term")
 
 
@@ -140,8 +143,10 @@ def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str
     n = docs.count()
     few, some = max(1, n // 100_000), max(24, n // 2_000)
     base = scratch.put(base, "base", some)
+    copies = scratch.put(base.groupBy(F.col("digest").alias("copy")).agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "copies", few)
+    texts = n - (copies.agg(F.sum(F.col("times") - 1)).first()[0] or 0)
     found = base.where("size(near) > 0").select("id", "digest", F.explode("near").alias("x")).select("id", "digest", "x.*")
-    told = scratch.put(disclosing(found, docs, n, text, scratch, threshold, z).select(F.col("entity").alias("e"), F.col("term").alias("t")), "told", few)
+    told = scratch.put(disclosing(found, docs, texts, text, scratch, threshold, z, copies).select(F.col("entity").alias("e"), F.col("term").alias("t")), "told", few)
     hit = found.join(told, (F.col("entity") == F.col("e")) & (F.col("term") == F.col("t")))
     span = F.struct("start", F.lit(4).alias("kind"), "stop", F.col("term").alias("value")).cast(SPAN)
     spans = hit.groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(F.array_sort(F.collect_set(span)).alias("more"))

@@ -513,6 +513,16 @@ def test_pii_terms_of_a_value_though_a_document_lacks_it_or_few_have_it(spark):
     assert not set().union(*got.values()) & set(v)
 
 
+def test_pii_terms_of_copied_texts_and_of_words_with_signs_inside(spark):
+    r, v = random.Random(6), vocabulary()
+    other = [" ".join(r.choice(v) for _ in range(30)) + f" {i}" for i in range(300)]
+    often = [f"{i}\nQuibbleton, vex@hidden.org" for i in range(5)] * 10
+    signs = [f"{i}\nName:Marblesby/O'Brannigan<two@hidden.org>" for i in range(5)]
+    got = terms_of(spark, [*often, *signs, *other, *other[:100] * 3])
+    assert all("quibbleton" in got[i] for i in range(50))
+    assert all({"marblesby", "o'brannigan"} <= got[i] for i in range(50, 55))
+
+
 # --- empty tables -----------------------------------------------------------------------------------------------------
 
 
