@@ -440,6 +440,19 @@ def test_nearest_reach_brute_force(spark):
     assert hits / 300 >= 0.9 and common_queries and len(got) == 60
 
 
+def test_nearest_of_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((4500, 32))
+    x[:2000] = x[0] + 0.01 * rng.standard_normal((2000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.search(spark, df, F.col("vec_id") % 100 == 0).collect():
+        got[r["query_id"]].add(r["id"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = sum(len(got[q] & set(np.argsort(-(u @ u[q]))[1:6].tolist())) for q in range(0, 2000, 100))
+    assert hits >= 0.99 * 5 * 20
+
+
 def test_few_vectors_give_all(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 0.0]), (3, [0.0, 1.0])], "vec_id bigint, embedding array<float>")
     got = sorted(tuple(r) for r in ann.search(spark, df, F.col("vec_id") % 50 == 0).collect())
