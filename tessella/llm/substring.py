@@ -67,7 +67,8 @@ def binaries(rows: np.ndarray) -> pa.Array:
 
 def paragraphs(docs: DataFrame, id_col: str, text: str, k: int, min_words: int, piece_words: int) -> DataFrame:
     """id, kind, start, n_words, key, bands, s0, s1: the paragraphs (kind 0; lines of at least min_words words) with their bands and sketch, and the
-    pieces (kind 1) of at least piece_words words that lines of at least twice as many are cut into, without. start: words before it in the text.
+    pieces (kind 1) of at least piece_words words, without: those that lines of at least twice as many are cut into, and those that the whole text is cut into
+    as if it had no line ends. start: words before it in the text.
     key: 128 bits of the words, A-Z lower-cased."""
     bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -79,7 +80,7 @@ def paragraphs(docs: DataFrame, id_col: str, text: str, k: int, min_words: int,
             start = 0
             for line in t.lower().split(b"\n") if t else ():
                 w = line.split()
-                if len(w) >= min(min_words, piece_words):
+                if w:
                     words += w
                     of.append(i)
                     first.append(start)
@@ -94,10 +95,14 @@ def paragraphs(docs: DataFrame, id_col: str, text: str, k: int, min_words: int,
         runs = Runs(h)
         whole = np.flatnonzero(size >= max(min_words, k))
         parts = [(np.zeros(len(whole), np.int32), whole, begin[whole], begin[whole] + size[whole])]
-        at = cuts(h, line)
-        end = np.append(at[1:], len(h))
-        good = (end - at >= piece_words) & (size[line[at]] >= 2 * piece_words)
-        parts.append((np.ones(int(good.sum()), np.int32), line[at[good]], at[good], end[good]))
+        spans = []
+        for part, least in ((line, 2 * piece_words), (of[line], 0)):
+            at = cuts(h, part)
+            end = np.append(at[1:], len(h))
+            good = (end - at >= piece_words) & (size[line[at]] >= least)
+            spans.append(np.stack([at[good], end[good]], axis=1))
+        lo, hi = np.unique(np.concatenate(spans), axis=0).T
+        parts.append((np.ones(len(lo), np.int32), line[lo], lo, hi))
         kinds, lines, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
         bands = sketch = None
         if len(whole):
@@ -152,7 +157,7 @@ def repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text:
 
     A paragraph (kind 0) is a line of min_words words or more; two are linked if their sets of k-word shingles have an exact Jaccard
     similarity of percent % or more, and clusters are components of links. Candidates share a band, and each is verified against one of its
-    band's paragraphs, for two rounds with another one. As passages also repeat inside of longer paragraphs that differ otherwise, lines are cut by their content
+    band's paragraphs, for two rounds with another one. As passages also repeat inside of longer paragraphs that differ otherwise, lines, and whole texts across their line ends, are cut by their content
     into pieces (kind 1; 13 words on average, piece_words at least), which repeat when equal word by word: a passage of 50 words holds two such
     pieces or more in all but a few cases. Clusters in min_docs documents or more are returned: first_doc_id is the smallest id, and kept is true in the first place of that document.
     Texts without words, null or empty, have none. A null id is one document. Repeated rows with one id count as one document."""

@@ -213,6 +213,24 @@ def test_passages_inside_of_lines_are_found_and_others_left(spark, docs):
             assert not Counter(w) - by[r["first_doc_id"]]
 
 
+def test_passages_in_short_lines_are_found_however_they_are_wrapped(spark):
+    r, v = random.Random(12), vocabulary(13)
+    passage = [r.choice(v) for _ in range(120)]
+
+    def wrapped(n):
+        return "\n".join(" ".join(passage[i : i + n]) for i in range(0, len(passage), n))
+
+    own = [" ".join(r.choice(v) for _ in range(30)) for _ in range(4)]
+    rows = [(1, own[0] + "\n" + wrapped(8)), (2, own[1] + "\n" + wrapped(11)), (3, own[2] + "\n" + wrapped(3)), (4, own[3])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = defaultdict(set)
+    for x in substring.repeats(spark, df).collect():
+        found[x["doc_id"]] |= set(range(x["start"], x["start"] + x["n_words"]))
+    assert set(found) == {1, 2, 3} and all(len(f) >= 80 and min(f) >= 30 for f in found.values())
+    out = {x["doc_id"]: words(x["text"]) for x in substring.drop_repeats(spark, df).collect()}
+    assert len(out[1]) == 150 and len(out[2]) <= 70 and len(out[3]) <= 70 and len(out[4]) == 30
+
+
 def test_like_lines_are_linked_by_exact_jaccard(spark):
     r, v = random.Random(8), vocabulary(9)
     line = [r.choice(v) for _ in range(60)]
