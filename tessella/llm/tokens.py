@@ -6,7 +6,6 @@ import os
 from array import array
 from collections.abc import Iterator
 from functools import cache
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +18,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Marks that end words. After an ASCII letter or digit a run of them is a token run of its own, so word and marks are encoded apart.
-STOPS = ".,;:!?"
+#: Marks that end words. After a Latin letter or digit a run of them is a token run of its own, so word and marks are encoded apart.
+STOPS = ".,;:!?#*$%&|<>"
+#: Letters below this one are in composed form, and lower-case alike in all libraries, but for the dotted capital I.
+LATIN_END, DOTTED = "\u0250", "\u0130"
 #: Words that a generation of the cache holds; there are two, of about 200 bytes a word.
-GENERATION = 200_000
+GENERATION = 50_000
+#: Words of lower-case letters that are encoded in a row.
+RUN = 64
 #: Bytes of text that are encoded together.
-BLOCK = 6 << 20
+BLOCK = 3 << 20
 
 
 class Encoder:
@@ -39,21 +42,34 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        # for words of lower-case letters alone: their normal form is themselves, and each is one run of letters
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.by_word, self.known, self.old = by_word, {}, {}
-
-    def _encoded(self, texts: list[str], bare: bool = False) -> Iterator[bytes]:
-        got = (self.bare if bare else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
-        return (array("I", e.ids).tobytes() for e in got)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # for runs of lower-case words of Latin letters alone: their normal form is themselves, and each is one run of letters
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+        self.by_word, self.known, self.old = by_word and bool(suffix), {}, {}
+
+    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
+        return (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
+    def _simple(self, words: list[str]) -> list[bytes]:
+        """Ids of words of lower-case Latin letters: they are encoded in rows of RUN, and a word's last token is the one with the end of a word in it."""
+        if not words:
+            return []
+        rows = [" ".join(words[i : i + RUN]) for i in range(0, len(words), RUN)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.plain.encode_batch_fast(rows, add_special_tokens=False)])
+        ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+        flat = ids.tobytes()
+        return [flat[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
 
     def _learn(self, words: list[str]) -> None:
         if len(self.known) >= GENERATION:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
-        ends = [(w, stem, w[len(stem) :]) for w in words if w[-1:] in STOPS and (stem := w.rstrip(STOPS))[-1:].isascii() and stem[-1:].isalnum()]
+        ends = [(w, stem, w[len(stem) :]) for w in words if w[-1:] in STOPS and (last := (stem := w.rstrip(STOPS))[-1:]).isalnum() and last < LATIN_END]
         want = set(words)
         want.difference_update([w for w, _, _ in ends])
         want.update([stem for _, stem, _ in ends], {stop for _, _, stop in ends})
@@ -61,9 +77,10 @@ class Encoder:
         back = want & old.keys()
         known.update((w, old[w]) for w in back)
         want -= back
-        simple = [w for w in want if w.isalpha() and w == w.lower() and is_normalized("NFC", w)]
-        for part, bare in ((simple, True), (list(want.difference(simple)), False)):
-            known.update(zip(part, self._encoded(part, bare), strict=True))
+        simple = [w for w in want if w.isalpha() and (w.isascii() or (max(w) < LATIN_END and DOTTED not in w))]
+        known.update(zip(simple, self._simple([w.lower() for w in simple]), strict=True))
+        rest = list(want.difference(simple))
+        known.update(zip(rest, self._encoded(rest), strict=True))
         known.update((w, known[stem] + known[stop]) for w, stem, stop in ends)
 
     def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +88,9 @@ class Encoder:
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         edges = lists.offsets.to_numpy()
         coded = lists.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        # words hold no blank: joined and split they are Python strings sooner than one by one
+        words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), " ")[0].as_py().split(" ") if len(coded) else []
+        at = coded.indices.to_numpy()
         ids = list(map(self.known.get, words))
         if None in ids:
             self._learn([w for w, i in zip(words, ids, strict=True) if i is None])
