@@ -77,9 +77,11 @@ class Scratch:
     def where(self, name: str) -> str:
         return f"{self.at}/{name}"
 
-    def put(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
-        """Writes df and returns the written table. files: the most files, for tables whose size is known."""
-        (df.coalesce(files) if files else df).write.mode("overwrite").parquet(self.where(name))
+    def put(self, df: DataFrame, name: str, files: int | None = None, tasks: int | None = None) -> DataFrame:
+        """Writes df and returns the written table. files: for a small table, whose rows are dealt to so many files after they are
+        made at full width. tasks: the most tasks that make and write it, a number that follows the rows."""
+        out = df.repartition(files) if files else df.coalesce(tasks) if tasks else df
+        out.write.mode("overwrite").parquet(self.where(name))
         return self.spark.read.schema(df.schema).parquet(self.where(name))
 
     def drop(self, *names: str) -> None:

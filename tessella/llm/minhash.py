@@ -173,10 +173,10 @@ def lone_shingles(texts: DataFrame, k: int) -> DataFrame:
     return each.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("ukey").alias("ukey")).where("n = 1").groupBy("ukey").agg(F.count(F.lit(1)).alias("u"))
 
 
-def near_groups(units: DataFrame, texts: Callable[[DataFrame], DataFrame], scratch: Scratch, m: int, k: int, percent: int) -> DataFrame:
+def near_groups(units: DataFrame, texts: Callable[[DataFrame, int], DataFrame], scratch: Scratch, m: int, k: int, percent: int, total: int) -> DataFrame:
     """node, root: the keys linked, directly or through others, with a smaller key, and the smallest of them.
 
-    units: key (distinct), n (size of the shingle set, 0 if not known), bands, s0, s1; texts: makes key, text (binary) for a table of keys.
+    units: key (distinct), n (size of the shingle set, 0 if not known), bands, s0, s1; texts: makes key, text (binary) for a table of keys and its number of rows. total: rows of the table behind units, or more.
 
     Buckets with one key go first. Then all members of a bucket are measured against its PIVOTS most central ones, those whose buckets hold most keys over all bands: a
     group of many copies of one text has a copy near that text among them, and grows together with a few pairs for each member. Last, pairs of a bucket that still lie in different
@@ -189,10 +189,10 @@ def near_groups(units: DataFrame, texts: Callable[[DataFrame], DataFrame], scrat
     spread = units.select("key", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col("band").alias("of"), "times")
     live = spread.join(shared, F.col("band") == F.col("of")).groupBy("key").agg(F.collect_set("band").alias("bands"), F.sum("times").alias("weight"))
-    live = scratch.put(units.drop("bands").join(live, "key"), "live")
+    live = scratch.put(units.drop("bands").join(live, "key"), "live", max(1, total // 4_000))
     rows = live.count()
     few, some = max(1, rows // 4_000), max(24, rows // 2_000)
-    texts = scratch.put(texts(live.select("key")), "texts", some)
+    texts = scratch.put(texts(live.select("key"), rows), "texts", tasks=some)
     members = live.select("key", "n", "s0", "s1", "weight", F.explode("bands").alias("band"))
     limit = sketch_limit(min(m, 128), percent)
     sized = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
@@ -205,7 +205,7 @@ def near_groups(units: DataFrame, texts: Callable[[DataFrame], DataFrame], scrat
     met = met.select("key", F.explode(F.transform(F.filter("h", lambda h: (h["key"] != F.col("key")) & (100 * F.least(h["n"], F.col("n")) >= percent * F.greatest(h["n"], F.col("n")))), lambda h: h["key"])).alias("pkey"))
     met = scratch.put(met.select("key", "pkey", F.least("key", "pkey").alias("a"), F.greatest("key", "pkey").alias("b")), "met", few)
     pair = (F.least("key", "pkey").alias("a"), F.greatest("key", "pkey").alias("b"))
-    pairs = scratch.put(measured(met.select("a", "b").distinct(), texts, k), "pairs", some)
+    pairs = scratch.put(measured(met.select("a", "b").distinct(), texts, k), "pairs", tasks=some)
     links = linked(pairs, percent)
     roots = connected_components(links, scratch, "first")
     rows = members.join(roots, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root", "weight")
@@ -230,7 +230,7 @@ def near_groups(units: DataFrame, texts: Callable[[DataFrame], DataFrame], scrat
         apart = differences(known.where("key <> head").select("key", "head").distinct(), texts, k)
         known = known.join(apart, (F.col("key") == F.col("dkey")) & (F.col("head") == F.col("dhead")), "left")
         d = F.when(F.col("key") == F.col("head"), F.array().cast("array<bigint>")).otherwise(F.col("d"))
-        mixed = scratch.put(known.withColumn("d", d).drop("head", "dkey", "dhead"), "known", some)
+        mixed = scratch.put(known.withColumn("d", d).drop("head", "dkey", "dhead"), "known", tasks=some)
         minor = mixed.where("comp <> major").select(F.col("band").alias("pband"), *(F.col(c).alias(d) for c, d in (("key", "pkey"), ("n", "pn"), ("s0", "p0"), ("s1", "p1"), ("comp", "pcomp"), ("u", "pu"), *((c, f"p{c}") for c in (*sides, "d")))))
         total = F.col("n") + F.col("pn")
         both = F.least(F.col("n") - F.col("u"), F.col("pn") - F.col("pu"))
@@ -244,7 +244,7 @@ def near_groups(units: DataFrame, texts: Callable[[DataFrame], DataFrame], scrat
         cross = (F.col("comp") != F.col("pcomp")) & ((F.col("comp") == F.col("major")) | (F.col("key") < F.col("pkey")))
         found = mixed.join(minor, (F.col("band") == F.col("pband")) & cross & sized & alike & can & reach & exact)
         rest = found.select(*pair).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        more = scratch.put(linked(measured(rest, texts, k), percent), "more", some)
+        more = scratch.put(linked(measured(rest, texts, k), percent), "more", tasks=some)
         if not more.isEmpty():
             roots = connected_components(links.union(more), scratch, "last")
     scratch.drop("texts", "mixed", "known", "pairs", "heads", "met")
@@ -262,14 +262,15 @@ def grouped(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text:
     units = sig.where("key is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "bands", "s0", "s1")))
     one = sig.where("key is not null").groupBy("key").agg(F.min("id").alias("id")).select(F.col("id").alias("_id"), F.col("key").alias("_key"))
 
-    def texts(keys: DataFrame) -> DataFrame:
-        wanted = scratch.put(one.join(keys, F.col("_key") == F.col("key"), "left_semi"), "wanted")
+    def texts(keys: DataFrame, n: int) -> DataFrame:
+        wanted = scratch.put(one.join(keys, F.col("_key") == F.col("key"), "left_semi"), "wanted", max(1, n // 20_000))
         got = docs.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("t")).join(small(wanted), F.col("id").eqNullSafe(F.col("_id")))
         return got.select("_key", "t").mapInArrow(of_key, "key binary, text binary").dropDuplicates(["key"])
 
-    roots = near_groups(units, texts, scratch, bands * rows, k, percent)
+    total = sig.count()
+    roots = near_groups(units, texts, scratch, bands * rows, k, percent, total)
     named = sig.drop("bands", "s0", "s1").join(roots, F.col("key") == F.col("node"), "left").select("id", "key", F.col("n").alias("n_shingles"), F.coalesce("root", "key").alias("comp"))
-    named = scratch.put(named, "named", max(1, sig.count() // 20_000))
+    named = scratch.put(named, "named", max(1, total // 20_000))
     scratch.drop("signed")
     least = named.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("comp").alias("of"), "least")
     out = named.join(least, F.col("comp") == F.col("of"), "left")

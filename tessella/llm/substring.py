@@ -166,11 +166,11 @@ def repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text:
     lines = units.where("kind = 0").groupBy("key").agg(F.first("bands").alias("bands"), F.first("s0").alias("s0"), F.first("s1").alias("s1")).withColumn("n", F.lit(0))
     place = units.where("kind = 0").groupBy("key").agg(F.min(F.struct("id", "start", "n_words")).alias("w"))
 
-    def texts(keys: DataFrame) -> DataFrame:
-        wanted = scratch.put(place.join(keys, "key", "left_semi").select("key", "w.id", "w.start", "w.n_words"), "wanted")
+    def texts(keys: DataFrame, n: int) -> DataFrame:
+        wanted = scratch.put(place.join(keys, "key", "left_semi").select("key", "w.id", "w.start", "w.n_words"), "wanted", max(1, n // 20_000))
         return line_texts(docs, id_col, text, wanted)
 
-    roots = near_groups(lines, texts, scratch, BANDS * ROWS, k, percent)
+    roots = near_groups(lines, texts, scratch, BANDS * ROWS, k, percent, units.where("kind = 0").count())
     plain = units.drop("bands", "s0", "s1")
     of_lines = plain.where("kind = 0").join(roots, F.col("key") == F.col("node"), "left").withColumn("cluster", F.coalesce("root", "key")).drop("node", "root", "key")
     # pieces are clusters by their words: they need no join
