@@ -11,7 +11,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The words of every operator here are runs of anything but these six ASCII characters.
@@ -89,6 +89,22 @@ class Scratch:
             self.fs.delete(self.path(self.where(name)), True)
 
 
+def ranged(scratch: Scratch, df: DataFrame, order: list[Column], sums: dict[str, Column], name: str, peers: bool = False) -> DataFrame:
+    """df with running sums in a global order: each name holds the sum of its column over all rows before (peers: and over those up to the row and its ties).
+
+    Rows are range-partitioned and summed by partition, so that only a row for each partition meets in one task. No name may be df's."""
+    (part, of), base = fresh(df, "_part", "_of"), [f"_base_{i}" for i in range(len(sums))]
+    held = df.withColumns({n: c for n, c in sums.items()})
+    held = scratch.put(held.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), name)
+    totals = held.groupBy(F.col(part).alias(of)).agg(*(F.sum(n).alias(b) for n, b in zip(sums, base, strict=True)))
+    before = Window.orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(of, *(F.coalesce(F.sum(b).over(before), F.lit(0)).alias(b) for b in base))
+    inside = Window.partitionBy(part).orderBy(*order)
+    inside = inside if peers else inside.rowsBetween(Window.unboundedPreceding, -1)
+    out = held.withColumns({n: F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in sums}).join(F.broadcast(totals), F.col(part) == F.col(of))
+    return out.select(*df.columns, *((F.col(n) + F.col(b)).alias(n) for n, b in zip(sums, base, strict=True)))
+
+
 def tidy(run: Callable) -> Callable:
     """run over a partition's batches, then freed memory given back: a worker process outlives its tasks and shares the executor's memory with the next one's."""
 

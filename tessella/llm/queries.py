@@ -34,8 +34,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rows = mixing.mix(spark, docs, {k: k for k in ("size", "source_size", "target", "taken")}, weights=(5, 2, 1), percent=150, passes=2)
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    rows = mixing.mix(spark, docs, {k: k for k in ("size", "source_size", "target", "finish", "taken")}, weights=(5, 2, 1), percent=150, passes=2)
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "finish")
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,8 @@ l AS (SELECT min(rest / open) AS water FROM r WHERE cap / weight > rest / open A
 t AS (SELECT source, source_size, least(cap, coalesce(weight * water, cap)) AS target FROM r, l),
 o AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('17:' || coalesce(doc_id::VARCHAR, '')) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
 SELECT o.doc_id, o.size::BIGINT AS size, t.source_size, t.target,
-  (greatest(0, least(o.size, round(t.target) - start)) + greatest(0, least(o.size, round(t.target) - start - t.source_size)))::BIGINT AS taken
+  (greatest(0, least(o.size, round(t.target) - start)) + greatest(0, least(o.size, round(t.target) - start - t.source_size)))::BIGINT AS taken,
+  CASE WHEN round(t.target) > 0 THEN (start + o.size) / round(t.target) END AS finish
 FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source""",
     "op9_line_dedup": r"""
 WITH l AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key

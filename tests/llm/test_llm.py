@@ -397,11 +397,49 @@ def test_mix_takes_the_targets(spark, docs):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
-def test_mixed_documents_are_whole(spark, docs):
+def queued(rows, passes=2):
+    """(finish, words, row) of each document and pass, by the words before it in its source's shuffle."""
+    sizes, total, target = plain_mix(rows, passes)
+    out, at = [], Counter()
+    for i in sorted(range(len(rows)), key=lambda i: hashlib.md5(f"17:{'' if rows[i][0] is None else rows[i][0]}".encode()).hexdigest()):
+        s = rows[i][3]
+        goal = math.floor(target[s] + 0.5)
+        out += [((at[s] + turn * total[s] + sizes[i]) / goal, sizes[i], i) for turn in range(passes) if goal and sizes[i]]
+        at[s] += sizes[i]
+    return sorted(out), sum(math.floor(t + 0.5) for t in target.values())
+
+
+def test_mixed_documents_are_those_that_finish_within_the_budget(spark, docs):
     out = mixing.mixed_documents(spark, docs)
     assert out.columns == docs.columns
-    texts = {(r[0], r[1]) for r in corpus()}
-    assert all((r["doc_id"], r["text"]) in texts for r in out.collect())
+    queue, budget = queued(corpus())
+    cut = max((f for f, _, _ in queue if sum(n for g, n, _ in queue if g <= f) <= budget), default=0)
+    want = Counter((corpus()[i][0], corpus()[i][1]) for f, _, i in queue if f <= cut)
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == want
+    assert budget - 60_000 < sum(len(words(t)) * n for (_, t), n in want.items()) <= budget
+
+
+def test_virtual_finish_times(spark, docs):
+    got = mixing.mix(spark, docs, {"finish": "finish", "taken": "taken"}).collect()
+    first = defaultdict(list)
+    for f, n, i in queued(corpus(), 1)[0]:
+        first[corpus()[i][0]].append(f)
+    sizes, total, target = plain_mix(corpus())
+    for r in got:
+        if r["doc_id"] in first:
+            goal = math.floor(target[r["source"]] + 0.5)
+            # the targets are those of two passes
+            assert any(r["finish"] * goal == pytest.approx(f * math.floor(plain_mix(corpus(), 1)[2][r["source"]] + 0.5)) for f in first[r["doc_id"]])
+    assert all(r["taken"] > 0 for r in got if r["finish"] is not None and r["finish"] <= 1 and len(words(r["text"])))
+
+
+def test_sums_in_a_global_order(spark):
+    rows = [(i * 7 % 50, i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, n int").repartition(5)
+    got = common.ranged(common.Scratch(spark, "t"), df, [F.col("k")], {"upto": F.col("n")}, "r", peers=True).collect()
+    assert len(got) == 200 and all(r["upto"] == sum(n for k, n in rows if k <= r["k"]) for r in got)
+    got = sorted((r["k"], r["before"]) for r in common.ranged(common.Scratch(spark, "t"), df.select("k").distinct(), [F.col("k")], {"before": F.col("k")}, "r").collect())
+    assert got == [(k, sum(range(k))) for k in range(50)]
 
 
 def plain_lines(rows, min_docs=3):
