@@ -1,8 +1,10 @@
-"""Personal data: four patterns, and terms of their surroundings that reveal a protected value by corpus co-occurrence. DataFrame functions only."""
+"""Personal data: four patterns, and terms that reveal a protected value by corpus co-occurrence. DataFrame functions only."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from math import log2
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh
@@ -19,24 +21,37 @@ PATTERNS = {
 }
 #: What a text must hold for a kind to be looked for.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: A term, in documents and near values alike: letters, digits and marks, joined inside by apostrophes, hyphens or underscores. Loops are possessive.
+#: A term, the same wherever it is looked for: letters, digits and marks, joined inside by apostrophes, hyphens or underscores. Loops are possessive.
 TERM = r"[\p{L}\p{N}\p{M}]++(?:['’_-]++[\p{L}\p{N}\p{M}]++)*+"
 SPAN = "struct<start:bigint,kind:int,stop:bigint,value:string>"
 
 
+#: Matches whose places are summed up at a time.
+RUN = 256
+
+
 def matches(text: Column, pattern: str, kind: int) -> Column:
-    """Leftmost non-overlapping matches as an array of SPAN. Their places follow from the lengths of the gaps between them."""
+    """Leftmost non-overlapping matches as an array of SPAN. Their places follow from the lengths of the gaps between them.
+
+    Places are summed within runs of RUN matches and over the runs, so that no array of all matches is copied for each of them."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(None).cast(f"array<{SPAN}>").alias("out"))
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))), lambda m, g: F.struct(m.alias("m"), F.coalesce(g, F.lit("")).alias("g")))
+    spans, none = f"array<{SPAN}>", F.array().cast(f"array<{SPAN}>")
+    pairs = F.zip_with(found, F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))), lambda m, g: F.struct(m.alias("m"), F.char_length(F.coalesce(g, F.lit(""))).alias("g")))
 
     def step(acc, x):
-        start = acc["at"] + F.char_length(x["g"])
+        start = acc["at"] + x["g"]
         stop = start + F.char_length(x["m"])
         one = F.array(F.struct(start.cast("bigint").alias("start"), F.lit(kind).alias("kind"), stop.cast("bigint").alias("stop"), x["m"].alias("value")).cast(SPAN))
-        return F.struct(stop.cast("bigint").alias("at"), F.concat(F.coalesce(acc["out"], F.array().cast(f"array<{SPAN}>")), one).alias("out"))
+        return F.struct(stop.cast("bigint").alias("at"), F.concat(acc["out"], one).alias("out"))
 
-    return F.coalesce(F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), zero, step)["out"], F.array().cast(f"array<{SPAN}>"))
+    def placed(all_):
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(RUN)), lambda i: F.slice(all_, i, F.lit(RUN)))
+        size = F.transform(runs, lambda r: F.aggregate(r, F.lit(0).cast("bigint"), lambda a, x: a + x["g"] + F.char_length(x["m"])))
+        begin = F.aggregate(size, F.array(F.lit(0).cast("bigint")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        each = F.zip_with(runs, F.slice(begin, 1, F.size(runs)), lambda r, at: F.aggregate(r, F.struct(at.alias("at"), none.alias("out")), step)["out"])
+        return F.flatten(each).cast(spans)
+
+    return F.coalesce(F.get(F.transform(F.array(F.filter(pairs, lambda x: x["m"].isNotNull())), placed), F.lit(0)), none)
 
 
 def luhn(digits: Column) -> Column:
@@ -61,7 +76,6 @@ def base_spans(text: Column) -> Column:
     """The spans of the four patterns that pass their checks, by start, then kind as listed."""
     none = F.array().cast(f"array<{SPAN}>")
 
-
     def of(i: int, kind: str) -> Column:
         return F.when(text.rlike(NEEDS[kind]), F.filter(matches(text, PATTERNS[kind], i), lambda s: holds(kind, s["value"]))).otherwise(none)
 
@@ -73,86 +87,96 @@ def joined(spans: Column, names: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def near_terms(text: Column, spans: Column, window: int, min_chars: int) -> Column:
-    """entity, start, stop, term of the words (TERM) within `window` characters of each base span, that lie in its line and overlap no base span.
-
-    An entity is a base value without its case and, for numbers, without what isn't a digit."""
-
-    def around(s):
-        entity = F.concat(s["kind"].cast("string"), F.lit(":"), F.when(s["kind"] == 0, F.lower(s["value"])).when(s["kind"] == 1, s["value"]).otherwise(F.regexp_replace(s["value"], "[^0-9]", "")))
-        lo = F.greatest(F.lit(0).cast("bigint"), s["start"] - window)
-        before = F.substring_index(F.substring(text, lo.cast("int") + 1, (s["start"] - lo).cast("int")), "\n", -1)
-        after = F.substring_index(F.substring(text, s["stop"].cast("int") + 1, F.lit(window)), "\n", 1)
-        cut_left = (lo > 0) & (F.char_length(before) == s["start"] - lo)
-        cut_right = F.char_length(after) == window
-        left = F.slice(matches(before, TERM, 9), F.when(cut_left, 2).otherwise(1), F.lit(window))
-        right = matches(after, TERM, 9)
-        right = F.slice(right, 1, F.greatest(F.size(right) - F.when(cut_right, 1).otherwise(0), F.lit(0)))
-        at = s["start"] - F.char_length(before)
-        both = F.concat(F.transform(left, lambda w: F.struct((w["start"] + at).alias("start"), (w["stop"] + at).alias("stop"), w["value"].alias("value"))), F.transform(right, lambda w: F.struct((w["start"] + s["stop"]).alias("start"), (w["stop"] + s["stop"]).alias("stop"), w["value"].alias("value"))))
-        free = F.filter(both, lambda w: (F.char_length(w["value"]) >= min_chars) & ~F.exists(spans, lambda o: (o["start"] < w["stop"]) & (w["start"] < o["stop"])))
-        return F.transform(free, lambda w: F.struct(entity.alias("entity"), w["start"].alias("start"), w["stop"].alias("stop"), F.lower(w["value"]).alias("term")))
-
-    return F.when(F.size(spans) > 0, F.flatten(F.transform(spans, around))).otherwise(F.array().cast("array<struct<entity:string,start:bigint,stop:bigint,term:string>>"))
-
-
-def least_share(hits: Column, of: Column, z: float) -> Column:
-    """Wilson's lower bound of a share of which `hits` of `of` cases were seen. z: 1.645 is one-sided at 95%."""
-    p, zz = hits / of, z * z
-    return (p + zz / (2 * of) - z * F.sqrt(p * (1 - p) / of + zz / (4 * of * of))) / (1 + zz / of)
-
-
-def disclosing(found: DataFrame, docs: DataFrame, n: int, text: str, scratch: Scratch, threshold: float, z: float, copies: DataFrame) -> DataFrame:
-    """entity, term: the pairs whose pointwise mutual information log(N n(e,t) / (n(e) n(t))) is surely at least `threshold` times the entity's
-    information log(N / n(e)). n(e,t) / n(t) is the share of the term's documents that hold the entity near it; its lower bound (least_share) stands for it, so that
-    few documents tell less than many, and one that holds the term away from the entity counts as one. found: id, digest, entity, term.
-    All counts are of different texts, of which the corpus has n; copies: copy, times of those digests that more than one row has, as each of their rows then
-    counts 1 / times. A term's documents hold it as a word anywhere."""
-    each = found.groupBy("entity", "term", "digest").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    few = max(1, n // 100_000)
-    each = scratch.put(each, "pairs", few)
-    if each.isEmpty():
-        return each.select("entity", "term")
-    entities = found.groupBy("entity", "digest").agg(F.lit(1).alias("one")).groupBy(F.col("entity").alias("e")).agg(F.count(F.lit(1)).alias("ne"))
-    terms = each.select(F.col("term").alias("want")).distinct()
+def terms(text: Column) -> Column:
+    """The different terms of a text, lower-cased."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def entity(span: Column) -> Column:
+    """What a base span protects: its value without its case and, for numbers but addresses, without what isn't a digit; the kind is a part of it."""
+    value = F.when(span["kind"] == 0, F.lower(span["value"])).when(span["kind"] == 1, span["value"]).otherwise(F.regexp_replace(span["value"], "[^0-9]", ""))
+    return F.concat(span["kind"].cast("string"), F.lit(":"), value)
+
+
+def evidence(both: Column, of: Column, share: Column) -> Column:
+    """Bits against chance: by Chernoff's bound, `both` or more of `of` texts hold what a `share` of all texts holds with odds of at most 2 to the minus this."""
+    p = both / of
+    rest = F.when(both < of, (1 - p) * F.log2((1 - p) / (1 - share))).otherwise(F.lit(0.0))
+    return of * (p * F.log2(p / share) + rest)
+
+
+def disclosing(base: DataFrame, docs: DataFrame, copies: DataFrame, n: int, text: str, scratch: Scratch, threshold: float, error: float, tasks: int) -> DataFrame:
+    """entity, term: the pairs whose pointwise mutual information over documents, log(n n(e,t) / (n(e) n(t))), is at least `threshold` times the
+    entity's information log(n / n(e)), and whose co-occurrence is no chance: with odds of `error` over all pairs of an entity and a term (evidence()).
+
+    base: digest, base, words (of rows with a base span). All counts are of different texts, of which the corpus has n; copies: copy, times of those digests that more than
+    one row has, as each of their rows then counts 1 / times. What no term can reach is left out before pairs are made, and nothing else: entities that even
+    a term of just their texts could not reveal, and terms that are too rare or too common for every entity that is left."""
+    held = base.where(F.size("base") > 0).groupBy("digest").agg(F.any_value(F.array_distinct(F.transform("base", entity))).alias("entities"), F.any_value("words").alias("words"))
+    held = scratch.put(held, "held", tasks=tasks)
     body = F.coalesce(F.col(text), F.lit(""))
-    words = F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(TERM), F.lit(0)), F.lower))
-    rows = docs.select(body.alias("body"), F.xxhash64(body).alias("digest"), words.alias("words")).drop("body")
+    rows = docs.select(F.xxhash64(body).alias("digest"), terms(body).alias("words"))
     rows = rows.join(small(copies), F.col("digest") == F.col("copy"), "left").select("words", (1 / F.coalesce("times", F.lit(1))).alias("part"))
-    # words are summed for each task before they meet the terms, so that the shuffle holds a task's vocabulary and not its text
-    seen = rows.select(F.explode("words").alias("word"), "part").groupBy("word").agg(F.round(F.sum("part")).cast("bigint").alias("nt"))
-    # (an inner join stays above the sum, where a semi join would be moved below it)
-    seen = scratch.put(seen.join(terms, F.col("word") == F.col("want")).drop("want"), "terms", few)
-    # a left join, and not less than `both`: beside a value a term can be a part of a word
-    out = each.join(entities, F.col("entity") == F.col("e")).join(seen, F.col("term") == F.col("word"), "left")
-    info = F.log2(F.lit(float(max(n, 1))) / F.col("ne"))
-    mutual = info + F.log2(least_share(F.col("both"), F.greatest("both", F.coalesce("nt", "both")), z))
-    return out.where((info > 0) & (mutual >= threshold * info)).select("entity", "term")
-
-
-def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 48, min_chars: int = 4, threshold: float = 0.8, z: float = 1.645) -> DataFrame:
+    # words are summed for each task before they are shuffled, so that the shuffle holds a task's vocabulary and not its text
+    seen = rows.select(F.explode("words").alias("term"), "part").groupBy("term").agg(F.round(F.sum("part")).cast("bigint").alias("nt"))
+    seen = scratch.put(seen, "terms", tasks=tasks)
+    entities = held.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("ne"))
+    entities = scratch.put(entities, "entities", max(1, tasks // 50))
+    bits = log2(max(1, entities.count()) * max(1, seen.count()) / error)
+    all_ = F.lit(float(max(n, 1)))
+    most = F.pow(F.col("ne").cast("double"), F.lit(threshold)) * F.pow(all_, F.lit(1 - threshold))
+    live = entities.where((F.col("ne") < all_) & (F.col("ne") * F.log2(all_ / F.col("ne")) >= bits)).withColumn("most", most)
+    widest = live.agg(F.max("most")).first()[0]
+    if widest is None:
+        return live.select(F.col("e").alias("entity"), F.lit("").alias("term"))
+    owners = held.select("digest", F.explode("entities").alias("entity")).join(live, F.col("entity") == F.col("e")).select(F.col("digest").alias("of"), "entity", "ne", "most")
+    words = held.join(owners.select("of").distinct(), F.col("digest") == F.col("of"), "left_semi").select("digest", F.explode("words").alias("word"))
+    words = words.join(seen, F.col("word") == F.col("term")).where((F.col("nt") * F.log2(all_) >= bits) & (F.col("nt") <= widest)).select("digest", "term", "nt")
+    pairs = words.join(owners, (F.col("digest") == F.col("of")) & (F.col("nt") <= F.col("most")))
+    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.first("nt").alias("nt"), F.first("ne").alias("ne"))
+    info, mutual = F.log2(all_ / F.col("ne")), F.log2(all_ * F.col("both") / (F.col("ne") * F.col("nt")))
+    return pairs.where((mutual >= threshold * info) & (evidence(F.col("both"), F.col("nt"), F.col("ne") / all_) >= bits)).select("entity", "term")
+
+
+def term_spans(docs: DataFrame, told: DataFrame, id_col: str, text: str) -> DataFrame:
+    """_id, _digest, terms: the spans (kind 4) of the told terms in each different pair of an id and a text that holds one. told: term."""
+    told = small(told.select(F.col("term").alias("_told")))
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_body")).withColumn("_digest", F.xxhash64("_body"))
+    holders = rows.select("_id", "_digest", F.explode(terms(F.col("_body"))).alias("_word")).join(told, F.col("_word") == F.col("_told"), "left_semi")
+    holders = holders.select(F.col("_id").alias("_hid"), F.col("_digest").alias("_hdigest")).distinct()
+    rows = rows.join(holders, F.col("_id").eqNullSafe(F.col("_hid")) & (F.col("_digest") == F.col("_hdigest")), "left_semi").dropDuplicates(["_id", "_digest"])
+    # a text's terms are placed by a running sum over its rows, which may be as many as it has
+    found, gaps = F.regexp_extract_all("_body", F.lit(TERM), F.lit(0)), F.split("_body", TERM, -1)
+    each = rows.select("_id", "_digest", F.posexplode(F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"))).alias("_at", "_p"))
+    stop = F.sum(F.char_length("_p.m") + F.char_length("_p.g")).over(Window.partitionBy("_id", "_digest").orderBy("_at"))
+    each = each.select("_id", "_digest", F.col("_p.m").alias("_m"), stop.alias("_stop")).join(told, F.lower("_m") == F.col("_told"), "left_semi")
+    span = F.struct((F.col("_stop") - F.char_length("_m")).alias("start"), F.lit(4).alias("kind"), F.col("_stop").alias("stop"), F.lower("_m").alias("value")).cast(SPAN)
+    return each.groupBy("_id", "_digest").agg(F.array_sort(F.collect_list(span)).alias("terms"))
+
+
+def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8, error: float = 0.05) -> DataFrame:
     """id, digest (of the text), base, more for each row of docs: arrays of spans (start, kind, stop, value), in code points, stop exclusive.
 
-    base: what the four patterns find and their checks pass. more (kind 4): words within `window` characters of a base span, in its line, of
-    min_chars or more, that the corpus ties to that value (see disclosing()) and that overlap no base span. Null and empty texts have neither;
-    a null id is judged like any other; repeated rows have equal results, and count once, as contexts are counted by their texts' digests."""
+    base: what the four patterns find and their checks pass. more (kind 4): terms that the corpus ties to a base value (see disclosing()), wherever
+    they stand, in documents with the value and without, that overlap no base span. Null and empty texts have neither; a null id is judged like any
+    other; repeated rows have equal results, and count once, as texts are counted by their digests. An empty table gives an empty table."""
     scratch = Scratch(spark, "pii")
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), body.alias("text")).withColumn("base", base_spans(F.col("text")))
-    base = base.withColumn("near", near_terms(F.col("text"), F.col("base"), window, min_chars)).select("id", F.xxhash64("text").alias("digest"), "base", "near")
+    base = base.select("id", F.xxhash64("text").alias("digest"), "base", F.when(F.size("base") > 0, terms(F.col("text"))).alias("words"))
     n = docs.count()
-    few, some = max(1, n // 100_000), max(24, n // 2_000)
-    base = scratch.put(base, "base", some)
+    tasks, few = max(24, n // 2_000), max(1, n // 100_000)
+    base = scratch.put(base, "base", tasks=tasks)
     copies = scratch.put(base.groupBy(F.col("digest").alias("copy")).agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "copies", few)
     texts = n - (copies.agg(F.sum(F.col("times") - 1)).first()[0] or 0)
-    found = base.where("size(near) > 0").select("id", "digest", F.explode("near").alias("x")).select("id", "digest", "x.*")
-    told = scratch.put(disclosing(found, docs, texts, text, scratch, threshold, z, copies).select(F.col("entity").alias("e"), F.col("term").alias("t")), "told", few)
-    hit = found.join(told, (F.col("entity") == F.col("e")) & (F.col("term") == F.col("t")))
-    span = F.struct("start", F.lit(4).alias("kind"), "stop", F.col("term").alias("value")).cast(SPAN)
-    spans = hit.groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(F.array_sort(F.collect_set(span)).alias("more"))
-    spans = scratch.put(spans, "spans", few)
+    told = scratch.put(disclosing(base, docs, copies, texts, text, scratch, threshold, error, tasks).select("term").distinct(), "told", few)
+    none = F.array().cast(f"array<{SPAN}>")
+    if told.isEmpty():
+        return base.select("id", "digest", "base", none.alias("more"))
+    spans = scratch.put(term_spans(docs, told, id_col, text), "spans", few)
     out = base.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
-    return out.select("id", "digest", "base", F.coalesce("more", F.array().cast(f"array<{SPAN}>")).alias("more"))
+    free = F.filter("terms", lambda w: ~F.exists("base", lambda o: (o["start"] < w["stop"]) & (w["start"] < o["stop"])))
+    return out.select("id", "digest", "base", F.coalesce(free, none).alias("more"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -175,4 +199,4 @@ def sanitise(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text:
     return joined_.select(*[F.when(F.col(spans).isNull(), F.col(text)).otherwise(done).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
-__all__ = ["KINDS", "SPAN", "base_spans", "disclosing", "find", "joined", "least_share", "near_terms", "sanitise"]
+__all__ = ["KINDS", "SPAN", "base_spans", "disclosing", "evidence", "find", "joined", "sanitise", "term_spans", "terms"]

@@ -550,14 +550,12 @@ def test_base_spans_are_those_of_the_patterns(spark, texts):
 
 
 def test_pii_over_the_corpus_and_a_revealing_term(spark, docs):
-    rows = [(5000 + i, f"line one\nplease write to Quibbleton via vex@hidden.org today {i}", "en", "s", 0) for i in range(4)]
+    rows = [(5000 + i, f"line one\nplease write to Quibbleton via vex@hidden.org today {i}", "en", "s", 0) for i in range(9)]
     got = pii.find(spark, docs.union(spark.createDataFrame(rows, SCHEMA))).collect()
     names = [*pii.KINDS, "term"]
     plain = {r[0]: plain_pii(r[1]) for r in [*corpus(), *rows]}
     for r in got:
         assert [f"{names[s['kind']]}:{s['start']}:{s['stop']}" for s in r["base"]] == plain[r["id"]]
-        if not r["base"]:
-            assert not r["more"]
     for r in got:
         if r["id"] >= 5000:
             assert "quibbleton" in {s["value"] for s in r["more"]}
@@ -565,31 +563,73 @@ def test_pii_over_the_corpus_and_a_revealing_term(spark, docs):
     assert "[email]" in cut[5000] and "Quibbleton" not in cut[5000] and cut[0] == corpus()[0][1] and cut[1000] is None
 
 
-def terms_of(spark, texts):
-    """The terms that pii.find gives by row."""
+def plain_told(texts, threshold=0.8, error=0.05):
+    """(entity, term) by the definition: mutual information and Chernoff's bound over different texts, for all pairs."""
+    import regex
+
+    names, held, words_ = [*pii.KINDS], defaultdict(set), defaultdict(set)
+    different = sorted({t or "" for t in texts})
+    for i, t in enumerate(different):
+        for span in plain_pii(t):
+            kind, lo, hi = span.split(":")
+            v = t[int(lo) : int(hi)]
+            held[f"{names.index(kind)}:{v.lower() if kind == 'email' else v if kind == 'ip' else re.sub('[^0-9]', '', v)}"].add(i)
+        for w in regex.findall(r"[\p{L}\p{N}\p{M}]+(?:['’_-]+[\p{L}\p{N}\p{M}]+)*", t):
+            words_[w.lower()].add(i)
+    n, bits, out = len(different), math.log2(max(1, len(held)) * max(1, len(words_)) / error), set()
+    for e, at in held.items():
+        q = len(at) / n
+        for w, of in words_.items():
+            both, p = len(at & of), len(at & of) / len(of)
+            if not both or q == 1 or math.log2(n * both / (len(at) * len(of))) < threshold * -math.log2(q) - 1e-9:
+                continue
+            gain = len(of) * (p * math.log2(p / q) + ((1 - p) * math.log2((1 - p) / (1 - q)) if p < 1 else 0))
+            if gain >= bits - 1e-9:
+                out.add((e, w))
+    return out
+
+
+def planted_people(n=40, seed=6):
+    """Texts with people's values, names in texts with the value and without, words of all texts, copies, ties, and signs inside of names."""
+    r, v = random.Random(seed), vocabulary()
+    names = [f"{r.choice(['mc', 'Van', 'del'])}{w}{i}" + ("'brannig" if i % 3 == 0 else "-ley" if i % 3 == 1 else "") for i, w in enumerate(r.sample(v, n))]
+    texts = [" ".join(r.choice(v) for _ in range(30)) + f" {i}" for i in range(300)]
+    for i, name in enumerate(names):
+        value = (f"p{i}@hidden.org", f"10.0.0.{i}", f"+44 20 7946 {1000 + i}")[i % 3]
+        texts += [f"{r.choice(v)} {j} name:{name}/{r.choice(v)}\n{' '.join(r.choice(v) for _ in range(60))} {value} and {i}_{j}" for j in range(r.choice([1, 3, 5, 8]))]
+        texts += [f"{name.upper()} stands alone {r.choice(v)} {j}" for j in range(i % 3)]
+    return names, texts + texts[300:340] * 5 + [None, "", texts[-1]]
+
+
+def test_pii_terms_are_those_of_the_definition_and_found_wherever_they_stand(spark):
+    names, texts = planted_people()
+    told = {w for _, w in plain_told(texts)}
+    # names of people whose value stands in a few texts or more, the values' own parts, and nothing else
+    assert len(told & {n.lower() for n in names}) >= 15 and not told & set(vocabulary())
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    return {r["id"]: {s["value"] for s in r["more"]} for r in pii.find(spark, df).collect()}
-
-
-def test_pii_terms_of_a_value_though_a_document_lacks_it_or_few_have_it(spark):
-    r, v = random.Random(6), [w for w in vocabulary() if len(w) > 3][:50]
-    other = [" ".join(r.choice(v) for _ in range(30)) + f" {i}" for i in range(300)]
-    often = [f"{i}\n{r.choice(v)} Quibbleton vex@hidden.org\n{i}" for i in range(100)]
-    got = terms_of(spark, [*often, "here is Quibbleton alone", "Marblesby at two@hidden.org", "also Marblesby two@hidden.org", *other])
-    assert all("quibbleton" in got[i] for i in range(100)) and not got[100]
-    assert "marblesby" in got[101] and "marblesby" in got[102]
-    # words of all documents tell nothing
-    assert not set().union(*got.values()) & set(v)
-
-
-def test_pii_terms_of_copied_texts_and_of_words_with_signs_inside(spark):
-    r, v = random.Random(6), vocabulary()
-    other = [" ".join(r.choice(v) for _ in range(30)) + f" {i}" for i in range(300)]
-    often = [f"{i}\nQuibbleton, vex@hidden.org" for i in range(5)] * 10
-    signs = [f"{i}\nName:Marblesby/O'Brannigan<two@hidden.org>" for i in range(5)]
-    got = terms_of(spark, [*often, *signs, *other, *other[:100] * 3])
-    assert all("quibbleton" in got[i] for i in range(50))
-    assert all({"marblesby", "o'brannigan"} <= got[i] for i in range(50, 55))
+    got = pii.find(spark, df).collect()
+    assert set().union(*({s["value"] for s in r["more"]} for r in got)) <= told
+    away = 0
+    for r in got:
+        t = texts[r["id"]] or ""
+        free = [s for s in r["more"] if not any(b["start"] < s["stop"] and s["start"] < b["stop"] for b in r["base"])]
+        assert free == r["more"] and all(t[s["start"] : s["stop"]].lower() == s["value"] for s in free)
+        for w in told & {n.lower() for n in names}:
+            assert t.lower().count(w) == sum(s["value"] == w for s in free), (w, t)
+        away += bool(free) and not r["base"]
+    assert away >= 10  # a term reveals its value where that isn't written
+
+
+def test_pii_terms_need_evidence(spark):
+    one = ["Quibbleton vex@hidden.org"] + [f"{i} is another text of few words" for i in range(200)]
+    assert not plain_told(one)
+    assert not any(r["more"] for r in pii.find(spark, spark.createDataFrame(list(enumerate(one)), "doc_id bigint, text string")).collect())
+
+
+def test_places_of_many_matches(spark):
+    text = " ".join(f"{i}" for i in range(5000))
+    got = spark.createDataFrame([(text,)], "t string").select(pii.matches(F.col("t"), "[0-9]+", 2).alias("m")).first()["m"]
+    assert [(s["start"], s["stop"]) for s in got] == [m.span() for m in re.finditer("[0-9]+", text)]
 
 
 # --- empty tables -----------------------------------------------------------------------------------------------------
