@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,10 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     return c
 
 
-def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.argmin((c * c).sum(axis=1) - 2 * (x @ c.T), axis=1)
+def nearest(x: np.ndarray, c: np.ndarray, chunk: int = 4096) -> np.ndarray:
+    """The number of each row's nearest centroid, chunk by chunk."""
+    size = (c * c).sum(axis=1)
+    return np.concatenate([np.argmin(size - 2 * (x[lo : lo + chunk] @ c.T), axis=1) for lo in range(0, max(1, len(x)), chunk)])
 
 
 @dataclass
@@ -73,43 +76,67 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)
 
 
-def search(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", lists: int = 128, probe_share: float = 0.7, parts: int = 16, codes: int = 256, sample: int = 16_384, block: int = 8192, seed: int = 3) -> DataFrame:
+def probes_for(index: Index, x: np.ndarray, k: int, recall: float, seed: int, held: int = 256) -> int:
+    """The lists to probe: the least number that finds the share `recall` of the k nearest of `held` rows of the sample, by brute force over the sample.
+
+    Neighbours in all rows are nearer than those in the sample, and so more often in a near list: the number errs to the safe side."""
+    q = index.pad(x[np.random.default_rng(seed).permutation(len(x))[:held]])
+    x = index.pad(x)
+    lists = nearest(x, index.coarse)
+    c = index.coarse
+    place = np.argsort(np.argsort((c * c).sum(axis=1) - 2 * (q @ c.T), axis=1), axis=1)
+    m = min(k + 1, len(x))
+    near = np.argpartition(-(q @ x.T), m - 1, axis=1)[:, :m]
+    # the nearest row is the query itself, in its own list
+    at = np.sort(np.take_along_axis(place, lists[near], 1), axis=1)[:, 1:].ravel()
+    return int(np.sort(at)[min(len(at) - 1, int(np.ceil(recall * len(at))))]) + 1 if len(at) else 1
+
+
+def search(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", recall: float = 0.97, parts: int = 16, codes: int = 256, sample: int = 131_072, block: int = 8192, seed: int = 3) -> DataFrame:
     """query_id, rank, id, score: the k nearest rows found for each query row, its own id left out; score is the cosine in double precision.
 
     Equal vectors are one entry of the index, with their k + 1 smallest ids, so that a vector of a third of all rows is searched, and
-    searches, once. The index is fitted on at most `sample` distinct vectors, those first by a digest, which alone reach the driver; every distinct vector is
-    then assigned and coded, and its quantisation error is kept with its code. A query probes a share of the lists: its dot products with the codes of each
-    (asymmetric tables) lie within that error of the true ones, and every entry that can so be among the k + 1 best of its block of a list is compared by exact cosine;
-    the best k + 1 of each block go on. No entry of a probed list is lost, however many are alike. The share is large because it must hold a recall of 0.9 on vectors
-    with hardly any clusters (on 51,282 such vectors: 0.956); clustered vectors need a tenth of it. Lists are dealt in blocks of about `block` entries. With up to 16 lists
-    all are probed. Vectors that usable() rules out, or of another dimension than the most common, take no part.
+    searches, once. There are about as many lists as the square root of the entries. The index is fitted on 64 distinct vectors for each list, at most `sample`, those first by
+    a digest, which alone reach the driver; every distinct vector is then assigned and coded, and its quantisation error is kept with its code. A query probes as many lists
+    as hold the share `recall` of the nearest rows of the sample (probes_for()): few where vectors lie in clusters, most where they don't. Its dot products with the codes of each
+    list (asymmetric tables) lie within that error of the true ones, and every entry that can so be among the k + 1 best of its block of a list is compared by exact cosine;
+    the best k + 1 of each block go on. No entry of a probed list is lost, however many are alike. Lists are dealt in blocks of about `block` entries.
+    Vectors of different dimensions have no cosine: each dimension is searched by itself. Vectors that usable() rules out take no part.
     Null ids take no part; repeated ids take part as rows. Ties go to the smaller id. An empty table gives an empty table."""
-    scratch = Scratch(spark, "ann")
     v = F.col(vector).cast("array<double>")
     ok = rows.select(F.col(id_col).alias("id"), v.alias("v"), is_query.alias("q")).where(F.col("id").isNotNull()).where(usable(F.col("v")))
-    top = ok.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
+    counts = sorted((r["dim"], r["n"]) for r in ok.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect())
+    found = [search_dim(spark, ok.where(F.size("v") == dim), dim, n, k, recall, parts, codes, sample, block, seed) for dim, n in counts]
     kind = rows.schema[id_col].dataType.simpleString()
-    if top is None:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, id {kind}, score double")
-    dim = top["dim"]
-    ok = ok.where(F.size("v") == dim).withColumn("key", F.unhex(F.md5(F.to_json("v"))))
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], f"query_id {kind}, rank int, id {kind}, score double")
+
+
+def search_dim(spark: SparkSession, ok: DataFrame, dim: int, n: int, k: int, recall: float, parts: int, codes: int, sample: int, block: int, seed: int) -> DataFrame:
+    """search() over id, v, q: usable vectors of one dimension, about n rows."""
+    scratch = Scratch(spark, "ann")
+    kind = ok.schema["id"].dataType.simpleString()
+    lists = max(1, round(n**0.5))
+    sample = min(sample, 64 * lists)
+    ok = ok.withColumn("key", F.unhex(F.md5(F.to_json("v"))))
     least = ok.select("key", "id").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("n") <= k + 1)
     least = scratch.put(least.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")), "ids")
     entries = scratch.put(ok.groupBy("key").agg(F.any_value("v").alias("v"), F.bool_or(F.coalesce("q", F.lit(False))).alias("q")), "entries")
-    drawn = entries.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(sample).select("v").collect()
-    x = np.array([r["v"] for r in drawn])
-    x = (x / np.abs(x).max(axis=1, keepdims=True))
-    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    index = train(x, min(lists, max(1, len(x) // 32)), min(parts, dim), min(codes, max(1, len(x))), seed)
-    probes = max(min(16, len(index.coarse)), round(probe_share * len(index.coarse)))
-    sent = spark.sparkContext.broadcast(index)
-
-    def length_one(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    drawn = entries.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(sample).select("v").toArrow()
+    def scaled(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        """Rows, each by the power of two of its largest component: no square leaves the range of doubles, and no digit is lost."""
         flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
         y = np.asarray(flat.flatten(), float).reshape(-1, dim)
-        y = y / np.abs(y).max(axis=1, keepdims=True)
+        return np.ldexp(y, -np.frexp(np.abs(y).max(axis=1, keepdims=True))[1])
+
+    def length_one(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        y = scaled(vectors)
         return y / np.linalg.norm(y, axis=1, keepdims=True)
 
+    x = length_one(drawn.column("v")).astype(np.float32)
+    index = train(x, min(lists, max(1, len(x) // 32)), min(parts, dim), min(codes, max(1, len(x))), seed)
+    probes = probes_for(index, x, k, recall, seed)
+    sent = spark.sparkContext.broadcast(index)
+
     def unit(b: pa.RecordBatch, i: int) -> np.ndarray:
         return sent.value.pad(length_one(b.column(i)).astype(np.float32))
 
@@ -122,8 +149,7 @@ def search(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 5, i
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(rest.astype(np.float32)), b.column(1)], names=["key", "list", "code", "rest", "v"])
 
     coded = scratch.put(entries.select("key", "v").mapInArrow(assign, "key binary, list int, code binary, rest float, v array<double>"), "coded")
-    sizes = coded.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()
-    blocks = {r["list"]: -(-r["n"] // block) for r in sizes}
+    blocks = scratch.put(coded.groupBy(F.col("list").alias("blist")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "blocks", 1)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,20 +162,20 @@ def search(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 5, i
             yield pa.RecordBatch.from_arrays([b.column(0).take(rep), b.column(1).take(rep), pa.array(at.ravel())], names=["qkey", "qv", "qlist"])
 
     asked = entries.where("q").select(F.col("key").alias("qkey"), F.col("v").alias("qv")).mapInArrow(probe, "qkey binary, qv array<double>, qlist int")
-    asked = scratch.put(asked.where(F.col("qlist").isin(list(blocks))), "asked")
-    shares = {r["qlist"]: -(-r["n"] // block) for r in asked.groupBy("qlist").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not shares:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, id {kind}, score double")
+    # two rows for each list at most, so that all tasks can have them
+    asked = scratch.put(asked.join(F.broadcast(blocks), F.col("qlist") == F.col("blist")).drop("blist"), "asked")
+    shares = scratch.put(asked.groupBy(F.col("qlist").alias("slist")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("shares")), "shares", 1)
 
-    def by_list(numbers: dict[int, int], c: str) -> Column:
-        return F.element_at(F.create_map(*(F.lit(int(y)) for pair in numbers.items() for y in pair)), F.col(c))
+    def dealt(key: str, numbers: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(numbers)).cast("int")
 
-    def every(numbers: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), numbers - 1))
+    def every(numbers: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(numbers) - 1))
 
     # a list's entries go to its blocks and its queries to its shares; each block meets each share once
-    both = coded.where(F.col("list").isin(list(shares))).withColumn("block", F.pmod(F.xxhash64("key"), by_list(blocks, "list")).cast("int")).withColumn("share", every(by_list(shares, "list")))
-    spread = asked.withColumn("share", F.pmod(F.xxhash64("qkey"), by_list(shares, "qlist")).cast("int")).withColumn("qblock", every(by_list(blocks, "qlist")))
+    both = coded.join(F.broadcast(blocks), F.col("list") == F.col("blist")).join(F.broadcast(shares), F.col("list") == F.col("slist"))
+    both = both.withColumn("block", dealt("key", "blocks")).withColumn("share", every("shares")).select(*coded.columns, "block", "share")
+    spread = asked.join(F.broadcast(shares), F.col("qlist") == F.col("slist")).withColumn("share", dealt("qkey", "shares")).withColumn("qblock", every("blocks")).select("qkey", "qv", "qlist", "share", "qblock")
     found_type = "qkey binary, key binary, near double"
 
     def scan(_, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -191,7 +217,7 @@ def search(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 5, i
     def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                x, y = (np.asarray(b.column(i).flatten(), float).reshape(-1, dim) for i in (2, 3))
+                x, y = (scaled(b.column(i)) for i in (2, 3))
                 score = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], names=["qkey", "key", "score"])
 

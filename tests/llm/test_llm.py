@@ -509,6 +509,30 @@ def test_nearest_of_a_large_group_of_near_copies(spark):
     assert hits >= 0.99 * 5 * 20
 
 
+def test_nearest_of_very_long_and_very_short_vectors(spark):
+    rows = [(0, [1.0, 0.9]), (1, [2.0**900, 2.0**900]), (2, [1e-200, -1e-200]), (3, [1.0, 1.0]), (4, [-3.0, 0.5]), (5, [5e-324, 0.0]), (6, [2.0**-900, 2.0**-900])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [(r["id"], r["score"]) for r in ann.search(spark, df, F.col("vec_id") == 0, k=6).orderBy("rank").collect()]
+    from fractions import Fraction
+
+    def cosine(x, y):
+        x, y = ([Fraction(c) / max(map(abs, map(Fraction, v))) for c in v] for v in (x, y))
+        return float(sum(a * b for a, b in zip(x, y, strict=True))) / (float(sum(a * a for a in x)) ** 0.5 * float(sum(b * b for b in y)) ** 0.5)
+
+    want = sorted(((-cosine(rows[0][1], v), i) for i, v in rows[1:]))
+    assert [g[0] for g in got[:3]] == [1, 3, 6] and sorted(g[0] for g in got) == [1, 2, 3, 4, 5, 6]
+    assert [g[1] for g in got] == pytest.approx([-s for s, _ in want])
+
+
+def test_each_dimension_is_searched_by_itself(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(6)] + [(i, [float(i), 1.0, 2.0]) for i in range(6, 9)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.search(spark, df, F.col("vec_id") >= 0).collect():
+        got[r["query_id"]].add(r["id"])
+    assert all(got[i] == set(range(6)) - {i} for i in range(6)) and all(got[i] == {6, 7, 8} - {i} for i in range(6, 9))
+
+
 def test_few_vectors_give_all(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 0.0]), (3, [0.0, 1.0])], "vec_id bigint, embedding array<float>")
     got = sorted(tuple(r) for r in ann.search(spark, df, F.col("vec_id") % 50 == 0).collect())
