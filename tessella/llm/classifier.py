@@ -95,15 +95,24 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % folds == 0, F.lit(False))
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text: str = "text", max_rows: int = 6000, folds: int = 5) -> Model:
-    """Fits on at most max_rows labelled documents outside the held-out fold, those first in the order of a digest of their ids.
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text: str = "text", max_rows: int = 6000, max_bytes: int = 64 << 20, folds: int = 5) -> Model:
+    """Fits on at most max_rows labelled documents outside the held-out fold, those first in the order of a digest of their ids and texts,
+    and on no more of them than have max_bytes bytes of text together.
 
-    Only they reach the driver. Null ids and labels other than 0 and 1 are left out."""
+    Only they reach the driver, which learns their sizes first. A document that is labelled twice or has two rows is one for each label and row. Null ids and labels
+    other than 0 and 1 are left out."""
     told = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(id_col), folds)).select(F.col(id_col).alias("_id"), F.col(label).alias("_label"))
-    told = told.orderBy(F.xxhash64(F.col("_id"), F.lit(1)), "_id", "_label").limit(max_rows)
+    order = (F.xxhash64("_id", F.lit(1)), F.col("_id"), F.col("_label"))
+    told = told.orderBy(*order).limit(max_rows)
     ids = spark.createDataFrame(told.collect(), told.schema)
-    got = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("binary").alias("_text")).join(F.broadcast(ids), "_id").select("_text", "_label", "_id").limit(2 * max_rows).collect()
-    got.sort(key=lambda r: (r["_id"], r["_text"] or b""))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("binary").alias("_text")).join(F.broadcast(ids), "_id")
+    rows = rows.withColumns({"_size": F.coalesce(F.octet_length("_text"), F.lit(0)), "_tie": F.xxhash64("_text")})
+    order = (*order, F.col("_tie"))
+    first = rows.select("_id", "_label", "_tie", "_size").orderBy(*order).limit(max_rows).collect()
+    taken, size = 0, 0
+    while taken < len(first) and size + first[taken]["_size"] <= max_bytes:
+        size, taken = size + first[taken]["_size"], taken + 1
+    got = rows.orderBy(*order).limit(taken).select("_text", "_label").collect() if taken else []
     return fit([bytes(r["_text"]) if r["_text"] is not None else None for r in got], [r["_label"] for r in got])
 
 
