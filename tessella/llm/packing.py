@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,10 @@ def plan(counts: dict[int, int], capacity: tuple[int, int, int], weights: tuple[
     capacity: tokens, documents and attention cost (sum of squared lengths) of a sequence. Among the sequences with room in all
     three, rule "norm" takes the one whose weighted residual after placing is least, rule "dot" the one whose residual has the largest weighted
     dot product with the piece. Sequences with equal contents count as one group with a multiplicity, so the work depends on the number
-    of different lengths, at most capacity[0], and not on the number of pieces."""
+    of different lengths, at most capacity[0], and not on the number of pieces. A piece that no empty sequence can hold is a ValueError."""
     full, w = np.array(capacity, float), np.array(weights, float)
+    if any(size > capacity[0] or size * size > capacity[2] for size in counts) or capacity[1] < 1:
+        raise ValueError("a piece is over the capacity of an empty sequence")
     left, used, many, base = (np.zeros((64, 3)), np.zeros(64, np.int64), np.zeros(64, np.int64), np.zeros(64, np.int64))
     n, out = 0, Plan()
 
@@ -119,10 +122,11 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, len
     """PIECES with sequence_id and offset: the pieces of all documents in as few sequences as vector best fit finds.
 
     A sequence holds at most `length` ids, max_documents pieces (default: length) and max_cost attention cost (default: length squared), which
-    by default bind no tighter than tokens do. Only the counts of each length, at most `length` rows, reach the driver, and only the plan is
+    by default bind no tighter than tokens do; pieces are cut so that one keeps within max_cost. Only the counts of each length, at most `length` rows, reach the driver, and only the plan is
     sent out; its size follows the number of lengths and not the rows. Ranks within a length are numbered in slots of about slot_rows pieces,
     so that a length of a third of all pieces is dealt out. A repeated row is one more document. An empty table gives an empty table."""
     capacity = (length, max_documents or length, max_cost or length * length)
+    length = min(length, isqrt(capacity[2]))
     scratch = Scratch(spark, "packing")
     cut = scratch.put(pieces(spark, docs, tokenizer or default_tokenizer(), length, end_id, id_col, text), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
