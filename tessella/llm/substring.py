@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, hash_memo, mix, tidy, windows, word_hashes
+from .common import Scratch, bound_batches, fresh, hash_memo, mix, tidy, windows, word_hashes
 from .minhash import bands_of, near_groups, sketch_of, small
 
 #: 6 bands of 2: paragraphs of similarity 0.8 share no band with odds of 0.002, at 0.9 of 5e-5; paragraphs that share nothing never meet.
@@ -134,7 +134,7 @@ def line_texts(docs: DataFrame, id_col: str, text: str, wanted: DataFrame) -> Da
     """key, text (binary) of the paragraphs in wanted: key, id, start, n_words."""
     asked = wanted.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start", "n_words", "key")).alias("asked"))
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("text")).join(small(asked), F.col("id").eqNullSafe(F.col("_id"))).select("text", "asked")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("text")).join(small(asked, F.size("asked") * 64), F.col("id").eqNullSafe(F.col("_id"))).select("text", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = hash_memo()
@@ -156,8 +156,7 @@ def repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text:
     """doc_id, kind, start, n_words, cluster, first_doc_id, cluster_docs, kept: the repeated paragraphs and pieces of all documents.
 
     A paragraph (kind 0) is a line of min_words words or more; two are linked if their sets of k-word shingles have an exact Jaccard
-    similarity of percent % or more, and clusters are components of links. Candidates share a band, and each is verified against one of its
-    band's paragraphs, for two rounds with another one. As passages also repeat inside of longer paragraphs that differ otherwise, lines, and whole texts across their line ends, are cut by their content
+    similarity of percent % or more, and clusters are components of links. Candidates share a band, and are measured as near_groups() says. As passages also repeat inside of longer paragraphs that differ otherwise, lines, and whole texts across their line ends, are cut by their content
     into pieces (kind 1; 13 words on average, piece_words at least), which repeat when equal word by word: a passage of 50 words holds two such
     pieces or more in all but a few cases. Clusters in min_docs documents or more are returned: first_doc_id is the smallest id, and kept is true in the first place of that document.
     Texts without words, null or empty, have none. A null id is one document. Repeated rows with one id count as one document."""
@@ -189,7 +188,8 @@ def repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text:
 def drop_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with the words of repeated paragraphs and pieces cut out of all documents but the first of each cluster; other bytes stay."""
     hits = repeats(spark, docs, id_col, text, **options).where("not kept and not doc_id <=> first_doc_id")
-    spans = hits.groupBy(F.col("doc_id").alias("_span_id")).agg(F.collect_list(F.struct("start", "n_words")).alias("_spans"))
+    sid, sp = fresh(docs, "_span_id", "_spans")
+    spans = hits.groupBy(F.col("doc_id").alias(sid)).agg(F.collect_list(F.struct("start", "n_words")).alias(sp))
     place, schema = docs.columns.index(text), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +200,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     bound_batches(spark)
-    joined = docs.join(spans, docs[id_col].eqNullSafe(spans["_span_id"]), "left").select(*docs.columns, "_spans")
+    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col(sid)), "left").select(*[F.col(f"`{c}`") for c in docs.columns], sp)
     return joined.mapInArrow(tidy(run), schema)
 
 
