@@ -89,43 +89,29 @@ def reported_forms(t: Column) -> list[tuple[str, Column]]:
     return [(FALLBACK, cat("根据", entity(f[0]), "，论文报告的", kind_zh(f[1]), "为 ", f[2], "。")), (OBJECT, cat("根据", entity(o[0]), "，论文报告的", entity(o[2]), "的", kind_zh(o[1]), "为 ", o[3], "。"))]
 
 
-def plain(t: Column) -> Column:
-    """The rendering of a statement without According to, or its terms."""
-    return X.ordered_case([(t.rlike(p), zh) for p, zh in forms(t)], entity(t))
-
-
 def translations(df: DataFrame, statement: str = "statement", is_data: Column | None = None) -> DataFrame:
     """df with statement_zh and method (template or term_fallback).
 
-    Anchors are peeled off level by level, so a statement behind two of them is rendered like one behind none. A data statement keeps its quote word by
-    word behind its anchor; with no column is_data none is one."""
-    t = X.strip(F.col(statement))
+    Anchors are peeled off, two at most, so a statement behind two of them is rendered like one behind none; what is left is matched to a form once. A data
+    statement keeps its quote word by word behind its anchor; with no column is_data none is one."""
     data = is_data if is_data is not None else F.lit(False)
-    rows = df.withColumn("_t0", t)
-    hit = F.col("_t0").rlike(FALLBACK) | F.col("_t0").rlike(OBJECT)
-    label, rest = F.regexp_extract("_t0", ACCORDING, 1), F.regexp_extract("_t0", ACCORDING, 2)
-    quote = cat("根据", entity(label), "，论文原文报告：", terms_only(F.regexp_replace(rest, r"\.+$", "")), "。")
-    levels = []
+    rows = df.withColumn("_t0", X.strip(F.col(statement)))
     for i in range(2):
-        rows = rows.withColumn(f"_t{i + 1}", X.strip(F.when(F.col(f"_t{i}").rlike(ACCORDING), F.regexp_extract(f"_t{i}", ACCORDING, 2)).otherwise("")))
-        levels.append(cat("根据", entity(F.regexp_extract(f"_t{i}", ACCORDING, 1)), "，"))
-    for i in range(3):
-        rows = rows.withColumn(f"_p{i}", X.ordered_case([(F.col(f"_t{i}").rlike(p), zh) for p, zh in [*reported_forms(F.col(f"_t{i}")), *forms(F.col(f"_t{i}"))]], F.when(F.col(f"_t{i}") != "", entity(F.col(f"_t{i}")))))
-    matched = [X.ordered_case([(F.col(f"_t{i}").rlike(p), F.lit(True)) for p, _ in [*reported_forms(F.col(f"_t{i}"))]], F.lit(False)) for i in range(3)]
-
-    def render(i: int) -> Column:
-        own = F.col(f"_p{i}")
-        if i == 2:
-            return own
-        return F.when(~matched[i] & F.col(f"_t{i}").rlike(ACCORDING), F.concat(levels[i], render(i + 1))).otherwise(own)
-
-    known = F.lit(False)
-    for p, _ in [*reported_forms(F.col("_t0")), *forms(F.col("_t0"))]:
-        known = known | F.col("_t0").rlike(p)
-    anchored = F.col("_t0").rlike(ACCORDING)
-    zh = F.when(data & ~hit & anchored, quote).otherwise(render(0))
-    method = F.when(anchored | known, "template").otherwise("term_fallback")
-    return rows.withColumns({"statement_zh": zh, "method": method}).drop(*(f"_t{i}" for i in range(3)), *(f"_p{i}" for i in range(3)))
+        t = F.col(f"_t{i}")
+        peeled = t.rlike(ACCORDING) & ~t.rlike(FALLBACK) & ~t.rlike(OBJECT)
+        rows = rows.withColumn(f"_a{i}", F.when(peeled, F.regexp_extract(t, ACCORDING, 1)))
+        rows = rows.withColumn(f"_t{i + 1}", F.when(F.col(f"_a{i}").isNotNull(), X.strip(F.regexp_extract(t, ACCORDING, 2))).otherwise(t))
+    core = F.col("_t2")
+    known = [*reported_forms(core), *forms(core)]
+    rows = rows.withColumn("_form", X.ordered_case([(core.rlike(p), F.lit(i)) for i, (p, _) in enumerate(known)], F.lit(-1)))
+    own = X.ordered_case([(F.col("_form") == i, zh) for i, (_, zh) in enumerate(known)], F.when(core != "", entity(core)))
+    before = F.concat(*(F.when(F.col(f"_a{i}").isNull(), "").otherwise(cat("根据", entity(F.col(f"_a{i}")), "，")) for i in range(2)))
+    rest = F.regexp_replace(F.regexp_extract("_t0", ACCORDING, 2), r"\.+$", "")
+    quote = cat("根据", entity(F.col("_a0")), "，论文原文报告：", terms_only(rest), "。")
+    anchored = F.col("_a0").isNotNull()
+    zh = F.when(data & anchored, quote).otherwise(F.concat(before, own))
+    method = F.when(anchored | (F.col("_form") >= 0), "template").otherwise("term_fallback")
+    return rows.withColumns({"statement_zh": zh, "method": method}).drop("_t0", "_t1", "_t2", "_a0", "_a1", "_form")
 
 
 def translate_drafts(drafts: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from ..session import Tables
 from ..sources import sinks
 from ..streaming import ingest
 from . import corpus
+from . import oracles as O
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -49,7 +50,8 @@ r AS (SELECT doc_id AS id, {TOKENS} AS toks FROM documents WHERE length(trim(tex
 st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM r),
 po AS (SELECT id, term, len(any_value(toks)) AS dl, count(*) AS tf FROM (SELECT id, toks, unnest(toks) AS term FROM r) GROUP BY id, term),
 w0 AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM po, st GROUP BY term),
-w AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM w0) ELSE raw END AS idf FROM w0),
+wm AS (SELECT avg(raw) AS mean FROM w0),
+w AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM w0, wm),
 q AS (SELECT item_id AS query_id, term, count(*) AS qf FROM (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY item_id, term),
 s AS (SELECT query_id, id, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score, any_value(dl) AS dl FROM po JOIN q USING (term) JOIN w USING (term), st GROUP BY query_id, id),
 h AS (SELECT query_id, id, score, dl, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s),
@@ -312,7 +314,7 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.chunk_stats(chunked(spark, sf_dir), ["doc_id"])
 
 
-@query()
+@query(O.TOC_RANGE_JOIN)
 def toc_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as lines on pages by size; every fiftieth name, slightly changed, is a contents entry."""
     part = table(spark, sf_dir, "part")
@@ -339,7 +341,7 @@ def forward_fill_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.partition_coverage(rows).withColumnRenamed("doc_id", "conv_id")
 
 
-@query()
+@query(O.WORD_BUDGETS)
 def word_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.word_budget(F.col("text"), 60).alias("words60"), X.char_budget(F.col("text"), 300).alias("chars300"))
 
@@ -401,48 +403,48 @@ def semantics(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return held[sf_dir]
 
 
-@query()
+@query(O.EVIDENCE_COLLECT)
 def evidence_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantics(spark, sf_dir)["evidence"].select("doc_id", "unit", "n", "evidence_id", "role", "assignment", "evidence_type", "paragraph_id")
 
 
-@query()
+@query(O.OBSERVATIONS)
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantics(spark, sf_dir)["observations"]
 
 
-@query()
+@query(O.INTERPRETATIONS)
 def interpretations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantics(spark, sf_dir)["interpretations"]
 
 
-@query()
+@query(O.EXPERIMENTS)
 def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = semantics(spark, sf_dir)["experiments"]
     return x.select("doc_id", "unit", "intervention", *(F.array_join(c, "; ").alias(c) for c in ("control_groups", "experimental_groups", "dependent_variables", "subjects", "statistical_results")), "research_question")
 
 
-@query()
+@query(O.CONCLUSIONS)
 def conclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantics(spark, sf_dir)["conclusions"].withColumn("interpretation_ids", F.array_join("interpretation_ids", ","))
 
 
-@query()
+@query(O.SEMANTIC_GATE)
 def semantic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantics(spark, sf_dir)["verdicts"].withColumn("missing", F.array_join("missing", "; "))
 
 
-@query()
+@query(O.STATUS_PIVOT)
 def status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.status_counts(semantics(spark, sf_dir)["verdicts"])
 
 
-@query()
+@query(O.EVIDENCE_STORE)
 def evidence_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.type_histogram(S.evidence_store(semantics(spark, sf_dir)["evidence"]))
 
 
-@query()
+@query(O.BACKGROUND)
 def background(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.background(corpus.papers(spark, sf_dir)).select("doc_id", "part", "text", "source", F.size("paragraph_ids").alias("n"))
 
@@ -459,43 +461,43 @@ def numeric_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.numeric_findings(ev).select("doc_id", F.col("unit").cast("int").alias("ord"), "kind", "value")
 
 
-@query()
+@query(O.BLUEPRINT_ROWS)
 def blueprint_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = semantics(spark, sf_dir)["blueprints"]
     return b.select("doc_id", "blueprint_id", "question_type", "focus", "expected_answer", F.array_join("evidence_ids", ",").alias("evidence_ids"), "confidence")
 
 
-@query()
+@query(O.BLUEPRINT_TYPES)
 def blueprint_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.type_counts(semantics(spark, sf_dir)["blueprints"])
 
 
-@query()
+@query(O.SKIP_COUNTS)
 def skip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.skip_counts(semantics(spark, sf_dir))
 
 
-@query()
+@query(O.NUMERIC_POOL)
 def numeric_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.numeric_pool(semantics(spark, sf_dir)["blueprints"])
 
 
-@query()
+@query(O.DRAFT_SETS)
 def draft_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantics(spark, sf_dir)["drafts"].select("doc_id", "draft_id", "statement", "is_correct", "perturbation", F.array_join("evidence_ids", ",").alias("evidence_ids"))
 
 
-@query()
+@query(O.PERTURBATION_COUNTS)
 def perturbation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.perturbation_counts(semantics(spark, sf_dir)["drafts"])
 
 
-@query()
+@query(O.TRANSLATED_SETS)
 def translated_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantics(spark, sf_dir)["translated"].select("doc_id", "draft_id", "statement_zh", "method")
 
 
-@query()
+@query(O.REVIEW_OVERVIEW)
 def review_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     sem = semantics(spark, sf_dir)
     return V.overview(sem["translated"], sem["evidence"], sem["blueprints"]).select("doc_id", "set_id", "label", "statement", "is_correct", "evidence_id", "preview", "focus")
@@ -533,13 +535,7 @@ def perturbations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements(spark, sf_dir).select("id", *(c.alias(k) for k, c in made.items()))
 
 
-def _terms_sql(c: str) -> str:
-    for en, zh in sorted(P.TERMS.items(), key=lambda kv: -len(kv[0])):
-        c = f"regexp_replace({c}, '{en}', '{zh}', 'gi')"
-    return f"trim({c})"
-
-
-@query(f"WITH {STATEMENTS} SELECT id, {_terms_sql('t')} AS zh FROM s")
+@query(f"WITH {STATEMENTS} SELECT id, {O.terms_sql('t')} AS zh FROM s")
 def translate_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements(spark, sf_dir).select("id", T.terms_only(F.col("t")).alias("zh"))
 
@@ -550,10 +546,12 @@ def translate_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.translations(statements(spark, sf_dir), "t").select("id", "statement_zh", "method")
 
 
-@query()
+@query(f"WITH {STATEMENTS} SELECT id, NULL::VARCHAR AS rejected, CASE WHEN contains(t, 'increase') THEN 'increase' ELSE 'decrease' END AS rejected_of_flipped FROM s")
 def translation_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.translations(statements(spark, sf_dir), "t")
-    return rows.select("id", T.rejection(F.col("t"), F.col("statement_zh")).alias("rejected"))
+    """A statement's own translation stands for it, and that of its flipped statement doesn't."""
+    rows = T.translations(statements(spark, sf_dir), "t").select("id", "t", F.col("statement_zh").alias("own"), D.direction_flip(F.col("t")).alias("flipped"))
+    rows = T.translations(rows, "flipped")
+    return rows.select("id", T.rejection(F.col("t"), F.col("own")).alias("rejected"), T.rejection(F.col("t"), F.col("statement_zh")).alias("rejected_of_flipped"))
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
