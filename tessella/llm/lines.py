@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BLANKS, Scratch, ascii_lower, fresh
+from .minhash import small
 
 
 def line_key(line: Column) -> Column:
@@ -39,12 +40,13 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     null or empty. In the keeper all copies of a line stay. Repeated rows are alike in all they keep. Columns of any other name pass through."""
     key, keeper, drop, left = fresh(docs, "_key", "_keeper", "_drop", "_id")
     scratch = Scratch(spark, "lines")
-    shared = scratch.put(shared_lines(docs, id_col, text, min_chars, min_docs).select(F.col("key").alias(key), F.col("keeper").alias(keeper)), "shared")
+    # keys of shared lines are few, and documents that lose some get a list of these; both go to all tasks within a bound of bytes, so that neither lines nor texts move
+    shared = small(scratch.put(shared_lines(docs, id_col, text, min_chars, min_docs).select(F.col("key").alias(key), F.col("keeper").alias(keeper)), "shared"))
     keys = F.array_distinct(F.filter(F.transform(text_lines(F.col(text)), line_key), lambda k: F.char_length(k) >= min_chars))
     seen = docs.select(F.col(id_col).alias(left), F.explode(F.transform(keys, key_hash)).alias(key))
     lists = seen.join(shared, key).where(~F.col(left).eqNullSafe(F.col(keeper))).groupBy(left).agg(F.collect_set(key).alias(drop))
-    lists = scratch.put(lists, "lists")
-    out = docs.join(lists, docs[id_col].eqNullSafe(lists[left]), "left")
+    lists = small(scratch.put(lists, "lists"), F.size(drop) * 32)
+    out = docs.join(lists, F.col(id_col).eqNullSafe(F.col(left)), "left")
     stays = F.filter(text_lines(F.col(text)), lambda x: ~((F.char_length(line_key(x)) >= min_chars) & F.array_contains(F.col(drop), key_hash(line_key(x)))))
     done = out.withColumn(left, F.when(F.col(drop).isNotNull() & F.col(text).isNotNull(), stays))
     more = []
