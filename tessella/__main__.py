@@ -4,9 +4,9 @@ ingest      root/raw/{doc_id}/lines.json and toc.json -> clean, headings, nodes,
 index       chunks -> index/ (records, vectors, manifest); done once for the same chunks and settings
 search      hits of --query as JSON lines
 gate        the verdict on --query; exit 0 if the evidence suffices, 2 if not
-figures     paragraphs -> evidence, experiments, conclusions, verdicts, figures.json, report.md tables
+figures     paragraphs -> conclusions, verdicts, and the report's figures, evidence, experiments, report and manifest as tables; figures look up chunks if there is an index
 questions   paragraphs -> blueprints, drafts, their Chinese rendering
---doc and --figure restrict what is printed, not what is written."""
+--doc, --figure and --type (of blueprints) restrict what is printed, not what is written."""
 
 from __future__ import annotations
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .operators import blueprints as B
 from .operators import drafts as D
+from .operators import figures as G
 from .operators import gate as E
 from .operators import layout as L
 from .operators import retrieval as R
@@ -27,13 +28,13 @@ from .operators import semantics as S
 from .operators import translate as T
 from .session import Tables, get_session
 from .sources import artifacts as A
-from .sources import sinks
+from .sources import reports, sinks
 
 DIM = 64
 
 
 def stage(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}")
+    return sinks.read_stage(spark, root, name)
 
 
 def ingest(spark: SparkSession, root: str) -> DataFrame:
@@ -63,12 +64,26 @@ def gate(spark: SparkSession, root: str, query: str, top: int = 10) -> DataFrame
     return E.gate(E.evaluate(q, hits))
 
 
+def looked_up(spark: SparkSession, root: str, paragraphs: DataFrame) -> DataFrame:
+    """The chunks that search finds for each figure and none of whose paragraphs are its evidence already, as rows that semantics.reconstruct() takes."""
+    _, recs, vectors = sinks.open_index(spark, f"{root}/index", DIM)
+    reg = G.registry(paragraphs)
+    unit = ["doc_id", "figure_id", "unit"]
+    asked = G.figure_queries(reg["figures"]).withColumn("query_id", F.concat_ws("|", "doc_id", "unit"))
+    hits = R.retrieve(R.hash_embeddings(asked.select("query_id", "text"), dim=DIM, name="q"), recs, vectors, "hybrid", 5)
+    evidence = S.figure_evidence(paragraphs, reg, G.partition(paragraphs, reg["figures"]))
+    covered = evidence.select(F.concat_ws("|", "doc_id", "unit").alias("query_id"), "paragraph_id").distinct()
+    free = R.hydrate(R.supplement(hits, A.paragraph_links(stage(spark, root, "chunks")), covered), recs.drop("doc_id")).join(asked.select(*unit, "query_id"), "query_id")
+    first = F.coalesce(F.get("paragraph_ids", F.lit(0)), F.lit(""))
+    return free.select("doc_id", "unit", "figure_id", "text", first.alias("paragraph_id"), F.col("rank").alias("ord"), F.lit("other").alias("section_type"), F.coalesce(F.get("pages", F.lit(0)), F.lit(0)).alias("page_no"))
+
+
 def figures(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    sem = S.reconstruct(stage(spark, root, "paragraphs"), put=Tables(spark).put)
-    for name in ("evidence", "experiments", "conclusions", "verdicts"):
-        sinks.write_stage(sem[name], root, name)
-    sinks.write_stage(sinks.figure_documents(sem), root, "figures")
-    sinks.write_stage(sinks.report_markdown(sem), root, "report")
+    paragraphs = stage(spark, root, "paragraphs")
+    more = looked_up(spark, root, paragraphs) if sinks.read_manifest(spark, f"{root}/index") is not None else None
+    sem = S.reconstruct(paragraphs, more, put=Tables(spark).put)
+    for name, df in {"conclusions": sem["conclusions"], "verdicts": sem["verdicts"], **reports.report(sem, G.background(paragraphs), paragraphs)}.items():
+        sinks.write_stage(df, root, name)
     return sem
 
 
@@ -85,7 +100,7 @@ def questions(spark: SparkSession, root: str) -> DataFrame:
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("job", choices=["ingest", "index", "search", "gate", "figures", "questions"])
-    for name, kind in (("--root", str), ("--query", str), ("--mode", str), ("--top", int), ("--doc", str), ("--figure", str), ("--master", str)):
+    for name, kind in (("--root", str), ("--query", str), ("--mode", str), ("--top", int), ("--doc", str), ("--figure", str), ("--type", str), ("--master", str)):
         p.add_argument(name, type=kind)
     p.add_argument("--force", action="store_true")
     a = p.parse_args(args)
@@ -106,9 +121,10 @@ def main(args: list[str] | None = None) -> int:
         out = questions(spark, a.root)
     out = out.where(F.col("doc_id") == a.doc) if a.doc and "doc_id" in out.columns else out
     out = out.where(V.figure_matches(F.col("figure_id"), a.figure)) if a.figure and "figure_id" in out.columns else out
-    rows = out.toJSON().take(1000)  # what is printed
-    print("\n".join(rows))
-    return 2 if a.job == "gate" and '"sufficient":false' in "".join(rows) else 0
+    out = out.where(F.col("question_type") == a.type.upper()) if a.type and "question_type" in out.columns else out
+    for row in out.toJSON().toLocalIterator():
+        print(row)
+    return 2 if a.job == "gate" and out.where("not sufficient").limit(1).count() else 0
 
 
 if __name__ == "__main__":

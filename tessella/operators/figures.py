@@ -225,6 +225,12 @@ def title_from_caption(caption: Column, limit: int = 120) -> Column:
     return F.left(X.strip(F.substring_index(bare, ". ", 1)), F.lit(limit))
 
 
+def figure_queries(figures: DataFrame, words: int = 8) -> DataFrame:
+    """doc_id, figure_id, unit, text: what to search for a figure by, its id and the first content words of its caption."""
+    terms = F.slice(X.content_words(F.coalesce("caption_text", F.lit(""))), 1, words)
+    return figures.select("doc_id", "figure_id", F.col("key").alias("unit"), F.array_join(F.concat(F.array("figure_id"), terms), " ").alias("text"))
+
+
 def reading_index(paragraphs: DataFrame) -> DataFrame:
     """doc_id, section_type, n paragraphs."""
     return paragraphs.groupBy("doc_id", "section_type").agg(F.count(F.lit(1)).alias("n"))

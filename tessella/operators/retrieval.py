@@ -39,8 +39,10 @@ def records(chunks: DataFrame, min_chars: int = 10, tokenize=X.tokens) -> DataFr
     return chunks.where(F.length(X.strip(F.col("text"))) >= min_chars).withColumn("tokens", tokenize(F.col("text")))
 
 
-def chunk_set_hash(chunks: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:
-    """A hash of each key's set of ids: the first 16 digits of SHA-256 over the sorted ids, comma-joined."""
+def chunk_set_hash(chunks: DataFrame, keys: list[str | Column], id_col: str = "id") -> DataFrame:
+    """A hash of each key's set of ids: the first 16 digits of SHA-256 over the sorted ids, comma-joined.
+
+    A key's ids are one row's array: keys are documents, or as many."""
     ids = F.array_join(F.sort_array(F.collect_list(F.col(id_col).cast("string"))), ",")
     return chunks.groupBy(*keys).agg(F.left(F.sha2(F.encode(ids, "utf-8"), 256), F.lit(16)).alias("set_hash"))
 

@@ -17,7 +17,7 @@ from ..operators import review as V
 from ..operators import semantics as S
 from ..operators import translate as T
 from ..session import Tables
-from ..sources import sinks
+from ..sources import reports, sinks
 from ..streaming import ingest
 from . import corpus
 from . import oracles as O
@@ -505,12 +505,12 @@ def review_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def figure_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.figure_documents(semantics(spark, sf_dir))
+    return reports.figure_documents(semantics(spark, sf_dir), G.background(corpus.papers(spark, sf_dir)))
 
 
 @query()
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.report_markdown(semantics(spark, sf_dir))
+    return reports.report_markdown(semantics(spark, sf_dir), G.background(corpus.papers(spark, sf_dir)))
 
 
 # --- statements -------------------------------------------------------------------------------------------------------

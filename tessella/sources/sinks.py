@@ -1,4 +1,4 @@
-"""Writers of artifacts: stage tables by document, indexes with a manifest written last, nested JSON and Markdown reports."""
+"""Writers of artifacts: stage tables by document, indexes with a manifest written last."""
 
 from __future__ import annotations
 
@@ -8,16 +8,37 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.retrieval import manifest_matches
+from ..operators.retrieval import chunk_set_hash, manifest_matches
+from ..session import Tables
 
 
-def write_stage(df: DataFrame, root: str, name: str) -> None:
-    """A stage's table at root/name, one folder for each document; documents of this run take the place of their own former rows alone."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(f"{root}/{name}")
+#: Folders of a stage's table. A document's rows are in the folder of its id's hash, so that their number doesn't follow the documents'.
+BUCKETS = 256
+
+
+def write_stage(df: DataFrame, root: str, name: str, kind: str = "parquet", buckets: int = BUCKETS) -> None:
+    """A stage's table at root/name in folders of document hashes. Documents of this run take the place of their own former rows alone.
+
+    Folders that the run's documents hash to are read back without those documents and written again with them; others stay as they are."""
+    spark, path = df.sparkSession, f"{root}/{name}"
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    new = Tables(spark).put(df.withColumn("part", part), "stage")
+    fs, p = _fs(spark, path)
+    if fs.exists(p):
+        old = spark.read.schema(new.schema).format(kind).load(path)
+        ids = new.select("doc_id").distinct()
+        parts = [r[0] for r in new.select("part").distinct().collect()]
+        kept = old.where(F.col("part").isin(parts)).join(ids, "doc_id", "left_anti").select(*new.columns)
+        new = new.unionByName(Tables(spark).put(kept, "kept"))
+    new.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").format(kind).save(path)
 
 
 def write_json(df: DataFrame, root: str, name: str) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").json(f"{root}/{name}")
+    write_stage(df, root, name, "json")
+
+
+def read_stage(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{name}").drop("part")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -44,7 +65,10 @@ def write_index(records: DataFrame, vectors: DataFrame, root: str, config_hash:
 
     Returns built or skipped. No records is an error."""
     spark = records.sparkSession
-    n, h = records.agg(F.count(F.lit(1)), F.sum(F.xxhash64("id").cast("decimal(38,0)"))).first()
+    # a set's hash for each document, as wide as a document; their sum doesn't depend on an order
+    sets = chunk_set_hash(records, ["doc_id"] if "doc_id" in records.columns else [F.pmod(F.xxhash64("id"), F.lit(4096)).alias("doc_id")])
+    h = sets.agg(F.sum(F.conv(F.left("set_hash", F.lit(15)), 16, 10).cast("decimal(38,0)"))).first()[0]
+    n = records.count()
     if not n:
         raise ValueError("no chunk is long enough to index")
     wanted = {"config_hash": config_hash, "chunk_set_hash": str(h), **embedder}
@@ -66,42 +90,5 @@ def open_index(spark: SparkSession, root: str, dim: int | None = None) -> tuple[
     return manifest, spark.read.parquet(f"{root}/records"), spark.read.parquet(f"{root}/vectors")
 
 
-def preview(text: Column, limit: int = 96) -> Column:
-    t = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
-    return F.when(F.length(t) > limit, F.concat(F.rtrim(F.left(t, F.lit(limit - 1))), F.lit("…"))).otherwise(t)
-
-
-def figure_documents(sem: dict[str, DataFrame]) -> DataFrame:
-    """doc_id, figure_id, n, json: each figure's slots, verdict and conclusions as JSON without empty blocks; evidence by id."""
-    of = sem["units"].where("panel = ''").join(sem["experiments"], ["doc_id", "unit"]).join(sem["verdicts"], ["doc_id", "unit"])
-    told = sem["conclusions"].groupBy("doc_id", "unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "statement"))), lambda x: x["statement"]).alias("told"))
-    rows = of.join(told, ["doc_id", "unit"], "left")
-
-    def some(c: str) -> Column:
-        return F.when(F.size(c) > 0, F.col(c))
-
-    body = F.struct(
-        "figure_id", "status", "confidence", F.when(F.col("caption") != "", F.col("caption")).alias("caption"), F.when(F.col("research_question") != "", F.col("research_question")).alias("research_question"),
-        F.struct(some("experimental_groups").alias("experimental"), some("control_groups").alias("control")).alias("groups"),
-        F.struct(some("independent_variables").alias("independent"), some("dependent_variables").alias("dependent")).alias("variables"),
-        some("told").alias("conclusions"), some("missing").alias("missing_information"), some("evidence_ids").alias("evidence_ids"),
-    )
-    return rows.select("doc_id", "figure_id", F.col("fig_n").alias("n"), F.to_json(body, {"ignoreNullFields": "true"}).alias("json"))
-
-
-def report_markdown(sem: dict[str, DataFrame]) -> DataFrame:
-    """doc_id, markdown: a line for each figure, observation, interpretation and conclusion, in order; without a time, so that reruns agree."""
-    figs = sem["units"].where("panel = ''").join(sem["verdicts"], ["doc_id", "unit"])
-    head = figs.select("doc_id", "fig_n", F.lit(0).alias("k"), F.lit(0).alias("i"), F.format_string("## %s (%s, %.2f)", "figure_id", "status", "confidence").alias("line"))
-    keys = figs.select("doc_id", "unit", "fig_n")
-
-    def lines(name: str, order: str, k: int, mark: str) -> DataFrame:
-        return sem[name].join(keys, ["doc_id", "unit"]).select("doc_id", "fig_n", F.lit(k).alias("k"), F.col(order).alias("i"), F.concat(F.lit(f"- {mark}: "), "statement").alias("line"))
-
-    every = head.union(lines("observations", "i", 1, "OBS")).union(lines("interpretations", "i", 2, "INT")).union(lines("conclusions", "c", 3, "CON"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fig_n", "k", "i", "line"))), lambda x: x["line"]), "\n")
-    return every.groupBy("doc_id").agg(body.alias("body")).select("doc_id", F.concat(F.lit("# "), "doc_id", F.lit("\n"), "body", F.lit("\n")).alias("markdown"))
-
-
 def type_histogram(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("doc_id", "evidence_type").agg(F.count(F.lit(1)).alias("n"))

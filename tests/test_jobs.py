@@ -25,4 +25,5 @@ def test_jobs(spark, tmp_path, capsys):
     assert jobs.main(["gate", "--root", root, "--query", "quantum tunnelling"]) == 2
     zh = jobs.questions(spark, root).collect()
     assert any(r["is_correct"] and "significantly increases" in r["statement"] for r in zh) and all(r["statement_zh"] for r in zh)
-    assert {r["figure_id"] for r in spark.read.parquet(f"{root}/figures").collect()} == {"Figure 2", "Figure 3"}
+    told = json.loads(jobs.stage(spark, root, "figures").first()["json"])
+    assert [f["figure_id"] for f in told["figures"]] == ["Figure 2", "Figure 3"] and told["summary"]["figures"]["total"] == 2
