@@ -42,14 +42,13 @@ FROM (
 """
 
 
-def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    for n in names:
-        spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
+def over_part(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """SQL over the table `part` of a folder, which is named in this query alone."""
+    return spark.sql(sql.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(spark, sf_dir, "part")
-    return spark.sql(PARAGRAPHS)
+    return over_part(spark, sf_dir, PARAGRAPHS)
 
 
 def oracle_cte(name: str = "papers") -> str:

@@ -195,10 +195,9 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("idx", "line"))
 
 
-@query(f"WITH {DOC_LINES} SELECT doc_id, idx::INT AS idx, regexp_replace(line, '[0-9０-９]', 'N', 'g') AS mask, trim(regexp_replace(line, '[ \\t\\x{{00a0}}\\x{{3000}}]+', ' ', 'g'), ' ' || chr(13)) AS folded FROM l WHERE line <> '' AND line = trim(line)")
+@query(f"WITH {DOC_LINES} SELECT doc_id, idx::INT AS idx, trim(regexp_replace(line, '[0-9０-９]', 'N', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS mask, trim(regexp_replace(line, '[ \\t\\x{{00a0}}\\x{{3000}}]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS folded FROM l")
 def line_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = doc_lines(spark, sf_dir).where("line <> '' and line = trim(line)")
-    return rows.select("doc_id", "idx", L.digit_mask(F.col("line")).alias("mask"), L.fold_blanks(F.col("line")).alias("folded"))
+    return doc_lines(spark, sf_dir).select("doc_id", "idx", L.digit_mask(F.col("line")).alias("mask"), L.fold_blanks(F.col("line")).alias("folded"))
 
 
 @query(f"""WITH {DOC_LINES}, p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM l GROUP BY source), m AS (SELECT *, trim(regexp_replace(line, '[0-9]', 'N', 'g')) AS mask FROM l),
@@ -390,17 +389,20 @@ def sentence_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def semantics(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All tables of the papers, written once for a session and folder."""
+    """All tables of the papers, written once for a session and a state of the folder's parts: the files' names, sizes and times."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/part.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    state = (sf_dir, tuple((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files))
     held = getattr(spark, "_tessella_papers", {})
-    if sf_dir not in held:
+    if state not in held:
         put = Tables(spark).put
         sem = S.reconstruct(put(corpus.papers(spark, sf_dir), "papers"), put=put)
         sem["blueprints"] = put(B.blueprints(sem), "blueprints")
         sem["drafts"] = put(D.draft_sets(sem["blueprints"], sem, put=put), "drafts")
         sem["translated"] = put(T.translate_drafts(sem["drafts"]), "translated")
-        held = {**held, sf_dir: sem}
+        held = {**held, state: sem}
         spark._tessella_papers = held
-    return held[sf_dir]
+    return held[state]
 
 
 @query(O.EVIDENCE_COLLECT)
@@ -520,8 +522,7 @@ STATEMENTS = """s AS (SELECT p_partkey AS id, concat('Treatment ', chr(CAST(65 +
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus.register(spark, sf_dir, "part")
-    return spark.sql(f"WITH {STATEMENTS} SELECT * FROM s")
+    return corpus.over_part(spark, sf_dir, f"WITH {STATEMENTS} SELECT * FROM s")
 
 
 @query(rf"""WITH {STATEMENTS}, f AS (SELECT *, CASE WHEN contains(t, 'significantly') THEN regexp_replace(t, '^(.+?) significantly (increase|decrease)s (.+)$', '\1 does not significantly \2 \3') END AS significance_flip,

@@ -132,13 +132,13 @@ def read_trees(spark: SparkSession, path: str) -> DataFrame:
 
 def tree_paths(tree: DataFrame) -> DataFrame:
     """Rows of TREE with path, the titles of chapters and sections from the top; by recursion over parent_id."""
-    tree.createOrReplaceTempView("tessella_tree")
-    return tree.sparkSession.sql("""
+    sql = """
         WITH RECURSIVE walk AS (
-          SELECT t.*, CAST(array() AS ARRAY<STRING>) AS path FROM tessella_tree t WHERE parent_id = ''
+          SELECT t.*, CAST(array() AS ARRAY<STRING>) AS path FROM {tree} t WHERE parent_id = ''
           UNION ALL
-          SELECT t.*, CASE WHEN t.node_type IN ('chapter', 'section') THEN concat(w.path, array(t.title)) ELSE w.path END FROM tessella_tree t JOIN walk w ON t.doc_id = w.doc_id AND t.parent_id = w.node_id)
-        SELECT * FROM walk""")
+          SELECT t.*, CASE WHEN t.node_type IN ('chapter', 'section') THEN concat(w.path, array(t.title)) ELSE w.path END FROM {tree} t JOIN walk w ON t.doc_id = w.doc_id AND t.parent_id = w.node_id)
+        SELECT * FROM walk"""
+    return tree.sparkSession.sql(sql, tree=tree)
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
