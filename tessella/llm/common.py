@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -22,8 +23,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows an Arrow batch may hold; texts of 100 kB then make 50 MB.
-BATCH_ROWS = 512
+#: Rows and bytes an Arrow batch may hold, whichever is reached first; one row is always taken whole.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def ascii_lower(c: Column) -> Column:
@@ -37,10 +38,12 @@ def n_words(c: Column) -> Column:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size to BATCH_ROWS, so that a batch of long texts stays small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lowers the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes, so that a batch of long texts stays small. Lower settings stay."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if not 0 < int(re.sub(r"\D", "", spark.conf.get(size))) <= BATCH_BYTES or not re.fullmatch(r"\d+b?", spark.conf.get(size)):
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
