@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 #: Papers as SQL that both engines run: doc_id, ord, paragraph_id, section_title, section_type, text, page_no.
-#: Every part is a results paragraph; every seventh part's paper also gets a caption, a discussion and a continuation.
+#: Every part is a results paragraph; every seventh part's paper also gets a caption, a discussion and a continuation. Figures 6 to 8 of each
+#: paper have an association with its discussion, a caption alone, and neither caption nor result.
 PARAGRAPHS = """
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part, k, j) AS INT) AS ord, concat(doc_id, '-', CAST(part AS STRING), '-', CAST(k AS STRING), '-', CAST(j AS STRING)) AS paragraph_id,
   section_title, section_type, text, CAST(1 + part AS INT) AS page_no
@@ -38,6 +39,16 @@ FROM (
   SELECT p_brand, 4, p_partkey, 0, 'Discussion', 'discussion',
     concat('Our findings for Figure ', CAST(p_partkey % 5 + 1 AS STRING), ' suggest that Treatment ', chr(CAST(65 + p_size % 4 AS INT)), ' promotes gene expression in cultured cells.')
   FROM part WHERE p_partkey % 11 = 0
+  UNION ALL
+  SELECT p_brand, 5, min(p_partkey), 0, 'Results', 'results', 'Treatment E was associated with increased expression of gene V compared with control (Figure 6).' FROM part GROUP BY p_brand
+  UNION ALL
+  SELECT p_brand, 5, min(p_partkey), 1, 'Results', 'results', 'Figure 6. Relative expression of gene V in control and treatment groups.' FROM part GROUP BY p_brand
+  UNION ALL
+  SELECT p_brand, 5, min(p_partkey), 2, 'Results', 'results', 'Figure 7. Relative expression of gene V in control and treatment groups.' FROM part GROUP BY p_brand
+  UNION ALL
+  SELECT p_brand, 5, min(p_partkey), 3, 'Results', 'results', 'Figure 8 shows the apparatus of the assay.' FROM part GROUP BY p_brand
+  UNION ALL
+  SELECT p_brand, 6, min(p_partkey), 0, 'Discussion', 'discussion', 'Our findings for Figure 6 suggest that Treatment E promotes gene expression in cultured cells.' FROM part GROUP BY p_brand
 ) q
 """
 

@@ -90,7 +90,9 @@ sk AS (
   UNION ALL SELECT doc_id, 'EXPERIMENTAL_DESIGN', CASE WHEN len(groups) = 0 OR control = '' OR dv = '' THEN 'incomplete_design_slots' WHEN ids = '' THEN 'no_design_evidence' END FROM lv WHERE panel = ''
   UNION ALL SELECT l.doc_id, 'SIMPLE_PREDICTION', CASE WHEN status <> 'SUFFICIENT' THEN 'figure_not_sufficient' WHEN len(groups) = 0 OR control = '' THEN 'missing_group_comparison' WHEN intervention = '' OR dv = '' THEN 'missing_intervention_or_endpoint'
     WHEN NOT h5 THEN 'no_directed_observation' WHEN NOT EXISTS (SELECT 1 FROM ob WHERE ob.doc_id = l.doc_id AND ob.unit = l.unit AND relationship = 'causal') THEN 'non_causal_relationship' END FROM lv l WHERE panel = ''
-  UNION ALL SELECT doc_id, 'DATA_STATEMENT', 'no_literal_numeric_value' FROM lv l WHERE NOT EXISTS (SELECT 1 FROM ds1 WHERE ds1.doc_id = l.doc_id AND ds1.unit = l.unit))"""
+  UNION ALL SELECT doc_id, 'DATA_STATEMENT', 'no_literal_numeric_value' FROM lv l WHERE NOT EXISTS (SELECT 1 FROM ds1 WHERE ds1.doc_id = l.doc_id AND ds1.unit = l.unit)
+  UNION ALL SELECT doc_id, unnest(['RESULT_INTERPRETATION', 'EXPERIMENTAL_DESIGN', 'SIMPLE_PREDICTION', 'DATA_STATEMENT']), 'figure_insufficient' FROM vd WHERE panel = '' AND status = 'INSUFFICIENT'
+  UNION ALL SELECT doc_id, unnest(['RESULT_INTERPRETATION', 'DATA_STATEMENT']), 'panel_insufficient' FROM vd v WHERE panel <> '' AND status = 'INSUFFICIENT' AND EXISTS (SELECT 1 FROM vd w WHERE w.doc_id = v.doc_id AND w.num = v.num AND w.panel = '' AND w.status <> 'INSUFFICIENT'))"""
 
 EVIDENCE_COLLECT = f"WITH {EVIDENCE} SELECT doc_id, unit, n::INT AS n, evidence_id, role, assignment, evidence_type, paragraph_id FROM ev"
 OBSERVATIONS = f"WITH {STATEMENTS} SELECT doc_id, unit, i::INT AS i, statement, direction, significance, relationship, p_value, evidence_id FROM ob"
@@ -204,3 +206,18 @@ TRANSLATED_SETS = f"""WITH {DRAFTS}, st AS (SELECT doc_id, set_id || '_' || lpad
 zh AS (SELECT *, {_zh_forms()} AS formed FROM st)
 SELECT doc_id, draft_id, CASE WHEN anchored AND abbr = 'ds' THEN '根据' || label || '，论文原文报告：' || {terms_sql(r"regexp_replace(t, '\.+$', '')")} || '。' WHEN anchored THEN '根据' || label || '，' || coalesce(formed, {entity_sql('t')}) ELSE coalesce(formed, {entity_sql('t')}) END AS statement_zh,
   CASE WHEN anchored OR formed IS NOT NULL THEN 'template' ELSE 'term_fallback' END AS method FROM zh"""
+
+#: Paragraphs are packed while they fit; one over 1200 characters is cut into its sentences, and those again. A piece of such a paragraph starts with the last sentence of the piece before it.
+CHUNKS = r"""WITH RECURSIVE l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS idx, trim(unnest(string_split(text, chr(10)))) AS x FROM documents),
+s AS (SELECT doc_id, idx, generate_subscripts(ss, 1) AS j, unnest(ss) AS x FROM (SELECT doc_id, idx, list_filter(list_transform(string_split(regexp_replace(x, '([。！？；!?;])', '\1' || chr(1), 'g'), chr(1)), lambda y: trim(y)), lambda y: y <> '') AS ss FROM l WHERE length(x) > 1200)),
+i AS (SELECT doc_id, idx, 0 AS j, 0 AS part, 'P' AS kind, x FROM l WHERE x <> '' AND length(x) <= 1200 UNION ALL SELECT doc_id, idx, j, 0, 'S', x FROM s WHERE length(x) <= 1200
+  UNION ALL SELECT doc_id, idx, j, part, 'H', substr(x, (1200 * part + 1)::BIGINT, 1200) FROM (SELECT *, unnest(range(0, ceil(length(x) / 1200.0)::BIGINT)) AS part FROM s WHERE length(x) > 1200)),
+p AS (SELECT *, length(x) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY idx, j, part) AS k FROM i),
+w AS (SELECT doc_id, k, idx, kind, n, 1::BIGINT AS piece, n AS cur FROM p WHERE k = 1
+  UNION ALL SELECT p.doc_id, p.k, p.idx, p.kind, p.n, w.piece + CASE WHEN t THEN 0 ELSE 1 END, p.n + CASE WHEN t THEN w.cur ELSE 0 END
+  FROM (SELECT w.*, p.k AS k2, w.cur + p.n <= 600 AND p.kind = w.kind AND p.kind <> 'H' AND (p.kind = 'P' OR p.idx = w.idx) AS t FROM w JOIN p ON p.doc_id = w.doc_id AND p.k = w.k + 1) w JOIN p ON p.doc_id = w.doc_id AND p.k = w.k2),
+g AS (SELECT w.doc_id, piece, any_value(w.kind) AS kind, min(w.idx) AS idx, sum(w.n) AS n, count(DISTINCT w.idx) AS paras, length(trim(max_by(p.x, p.k))) AS last FROM w JOIN p USING (doc_id, k) GROUP BY ALL),
+o AS (SELECT *, CASE WHEN kind <> 'P' AND lag(idx) OVER d = idx AND n + lag(last) OVER d <= 1200 THEN n + lag(last) OVER d ELSE n END AS size FROM g WINDOW d AS (PARTITION BY doc_id ORDER BY piece)),
+c AS (SELECT doc_id::VARCHAR AS doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY piece) AS seq, size, paras FROM o)"""
+GREEDY_CHUNKS = f"{CHUNKS} SELECT doc_id, seq::INT AS seq, left(sha1(doc_id || '|正文|' || seq), 16) AS chunk_id, size::INT AS char_count, paras::INT AS n_paragraphs FROM c"
+CHUNK_STATS = f"{CHUNKS} SELECT doc_id, count(*) AS n_chunks, min(size)::INT AS min_chars, max(size)::INT AS max_chars, round(avg(size), 1) AS avg_chars FROM c GROUP BY doc_id"

@@ -303,12 +303,12 @@ def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.chunks(tree)
 
 
-@query()
+@query(O.GREEDY_CHUNKS)
 def greedy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked(spark, sf_dir).select("doc_id", "seq", "chunk_id", "char_count", F.size("paragraph_ids").alias("n_paragraphs"))
 
 
-@query()
+@query(O.CHUNK_STATS)
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.chunk_stats(chunked(spark, sf_dir), ["doc_id"])
 
