@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Scratch, ascii_lower, fresh
-from .minhash import small
+from .common import BLANKS, Scratch, ascii_lower, fresh, small
 
 
 def line_key(line: Column) -> Column:

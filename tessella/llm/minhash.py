@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, Memo, Scratch, ascii_lower, bound_batches, fresh, hash_memo, mix, shingle_set, tidy
+from .common import GAP, Memo, Scratch, ascii_lower, bound_batches, fresh, hash_memo, mix, shingle_set, small, tidy
 from .components import connected_components
 
 #: 25 bands of 5: at a similarity of 0.85 a pair shares no band with odds of 4e-7, at 0.8 with 5e-5. Bits of a sketch: one a register.
@@ -151,16 +151,6 @@ def linked(pairs: DataFrame, percent: int) -> DataFrame:
 
 #: Members of a bucket that all its others are verified against before pairs are looked at one by one.
 PIVOTS = 6
-#: Bytes of rows that are broadcast at most; a larger table is joined by a shuffle. A row of keys counts as ROW_BYTES.
-FEW, ROW_BYTES = 64 << 20, 96
-
-
-def small(df: DataFrame, more: Column | None = None) -> DataFrame:
-    """A written table, marked for a broadcast if it has FEW bytes or less. more: the bytes of a row's arrays."""
-    size = F.lit(ROW_BYTES) if more is None else more + ROW_BYTES
-    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= FEW else df
-
-
 def lone_shingles(texts: DataFrame, k: int) -> DataFrame:
     """ukey, u: how many shingles of a text no other of the texts has. Without any there is no row."""
 

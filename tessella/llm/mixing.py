@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, n_words, ranged
-from .minhash import small
+from .common import Scratch, fresh, n_words, ranged, small
 
 #: Rows for which there is one more slot. A source's shuffled documents are summed slot by slot, so that a source of a third of all rows is dealt out.
 SLOT_ROWS, LEAST_SLOTS = 4_000, 64

@@ -7,8 +7,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh
-from .minhash import small
+from .common import Scratch, fresh, small
 
 #: The kinds in the order of a tie, and their patterns. Loops that nothing after them can shorten are possessive, and a match
 #: starts where its run of characters starts or where the match before ended, as no later start of that run can do better; so long runs take one pass.

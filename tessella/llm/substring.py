@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, fresh, hash_memo, mix, tidy, windows, word_hashes
-from .minhash import bands_of, near_groups, sketch_of, small
+from .common import Scratch, bound_batches, fresh, hash_memo, mix, small, tidy, windows, word_hashes
+from .minhash import bands_of, near_groups, sketch_of
 
 #: 6 bands of 2: paragraphs of similarity 0.8 share no band with odds of 0.002, at 0.9 of 5e-5; paragraphs that share nothing never meet.
 BANDS, ROWS = 6, 2
