@@ -47,9 +47,10 @@ def chunk_set_hash(chunks: DataFrame, keys: list[str | Column], id_col: str = "i
     return chunks.groupBy(*keys).agg(F.left(F.sha2(F.encode(ids, "utf-8"), 256), F.lit(16)).alias("set_hash"))
 
 
-def postings(recs: DataFrame, id_col: str = "id") -> DataFrame:
-    """id, term, tf, dl."""
+def postings(recs: DataFrame, id_col: str = "id", only: DataFrame | None = None) -> DataFrame:
+    """id, term, tf, dl. only: the terms (one column) that are wanted; others go before postings are counted, and so before they are shuffled."""
     each = recs.select(F.col(id_col).alias("id"), F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    each = each if only is None else each.join(only, "term", "left_semi")
     return each.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -58,9 +59,14 @@ def corpus_stats(recs: DataFrame) -> DataFrame:
     return recs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
 
 
-def term_weights(posts: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
-    """term, df, idf. A negative idf becomes epsilon times the mean of the raw idf of all terms."""
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats.select("n")))
+def document_frequencies(recs: DataFrame) -> DataFrame:
+    """term, df. A document sends each of its terms once, and a task its vocabulary."""
+    return recs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def term_weights(frequencies: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """term, df, idf. A negative idf becomes epsilon times the mean of the raw idf of all terms. frequencies: term, df."""
+    df = frequencies.join(F.broadcast(stats.select("n")))
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -74,13 +80,12 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
 def bm25(queries: DataFrame, recs: DataFrame, k: int, config: RetrievalConfig = RetrievalConfig(), order_col: str = "id") -> DataFrame:
     """query_id, id, score, rank: the k best records by BM25, scores over 0 alone, ties by order_col.
 
-    queries: query_id, tokens; repeated query terms count as often. Postings are cut to the queries' terms before they are scored. For a null or
+    queries: query_id, tokens; repeated query terms count as often. Postings are cut to the queries' terms before they are counted. For a null or
     empty query there are no rows."""
-    posts = postings(recs)
     stats = corpus_stats(recs)
-    weights = term_weights(posts, stats, config.epsilon)
+    weights = term_weights(document_frequencies(recs), stats, config.epsilon)
     asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    hits = posts.join(asked, "term").join(weights, "term").join(F.broadcast(stats.select("avgdl")))
+    hits = postings(recs, only=asked.select("term").distinct()).join(asked, "term").join(weights, "term").join(F.broadcast(stats.select("avgdl")))
     norm = F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl"))
     scored = hits.groupBy("query_id", "id").agg(F.sum(F.col("qf") * F.col("idf") * F.col("tf") * (config.k1 + 1) / norm).alias("score"))
     return top_k(scored, ["query_id"], [F.desc(F.round("score", 9)), F.col(order_col)], k).where("score > 0")

@@ -74,7 +74,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM w")
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = records(spark, sf_dir)
-    return R.term_weights(R.postings(recs), R.corpus_stats(recs)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.term_weights(R.document_frequencies(recs), R.corpus_stats(recs)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {BM25} SELECT h.query_id, h.id, h.rank::INT AS rank, d.lang, d.source, left(d.text, 80) AS preview FROM hits h JOIN documents d ON h.id = d.doc_id WHERE h.rank <= 5")
