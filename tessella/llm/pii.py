@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import log2
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, small
@@ -137,20 +137,19 @@ def disclosing(base: DataFrame, docs: DataFrame, copies: DataFrame, n: int, text
     return pairs.where((mutual >= threshold * info) & (evidence(F.col("both"), F.col("nt"), F.col("ne") / all_) >= bits)).select("entity", "term")
 
 
-def term_spans(docs: DataFrame, told: DataFrame, id_col: str, text: str) -> DataFrame:
-    """_id, _digest, terms: the spans (kind 4) of the told terms in each different pair of an id and a text that holds one. told: term."""
+def term_spans(docs: DataFrame, told: DataFrame, id_col: str, text: str, scratch: Scratch, files: int) -> DataFrame:
+    """_id, _digest, terms: the spans (kind 4) of the told terms in each different pair of an id and a text that holds one. told: term.
+
+    A row's terms are placed where its text is, and only those that are told leave it."""
     told = small(told.select(F.col("term").alias("_told")))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_body")).withColumn("_digest", F.xxhash64("_body"))
     holders = rows.select("_id", "_digest", F.explode(terms(F.col("_body"))).alias("_word")).join(told, F.col("_word") == F.col("_told"), "left_semi")
-    holders = holders.select(F.col("_id").alias("_hid"), F.col("_digest").alias("_hdigest")).distinct()
-    rows = rows.join(holders, F.col("_id").eqNullSafe(F.col("_hid")) & (F.col("_digest") == F.col("_hdigest")), "left_semi").dropDuplicates(["_id", "_digest"])
-    # a text's terms are placed by a running sum over its rows, which may be as many as it has
-    found, gaps = F.regexp_extract_all("_body", F.lit(TERM), F.lit(0)), F.split("_body", TERM, -1)
-    each = rows.select("_id", "_digest", F.posexplode(F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"))).alias("_at", "_p"))
-    stop = F.sum(F.char_length("_p.m") + F.char_length("_p.g")).over(Window.partitionBy("_id", "_digest").orderBy("_at"))
-    each = each.select("_id", "_digest", F.col("_p.m").alias("_m"), stop.alias("_stop")).join(told, F.lower("_m") == F.col("_told"), "left_semi")
-    span = F.struct((F.col("_stop") - F.char_length("_m")).alias("start"), F.lit(4).alias("kind"), F.col("_stop").alias("stop"), F.lower("_m").alias("value")).cast(SPAN)
-    return each.groupBy("_id", "_digest").agg(F.array_sort(F.collect_list(span)).alias("terms"))
+    holders = holders.groupBy(F.col("_id").alias("_hid"), F.col("_digest").alias("_hdigest")).agg(F.collect_set("_word").alias("_words"))
+    holders = small(scratch.put(holders, "holders", files), F.aggregate("_words", F.lit(0), lambda a, w: a + F.octet_length(w) + 32))
+    rows = rows.join(holders, F.col("_id").eqNullSafe(F.col("_hid")) & (F.col("_digest") == F.col("_hdigest")))
+    found = F.transform(matches(F.col("_body"), TERM, 4), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), F.lower(s["value"]).alias("value")))
+    each = rows.select("_id", "_digest", F.filter(found, lambda s: F.array_contains("_words", s["value"])).cast(f"array<{SPAN}>").alias("terms"))
+    return each.dropDuplicates(["_id", "_digest"])
 
 
 def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8, error: float = 0.05) -> DataFrame:
@@ -172,7 +171,7 @@ def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str
     none = F.array().cast(f"array<{SPAN}>")
     if told.isEmpty():
         return base.select("id", "digest", "base", none.alias("more"))
-    spans = scratch.put(term_spans(docs, told, id_col, text), "spans", few)
+    spans = scratch.put(term_spans(docs, told, id_col, text, scratch, few), "spans", few)
     out = base.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     free = F.filter("terms", lambda w: ~F.exists("base", lambda o: (o["start"] < w["stop"]) & (w["start"] < o["stop"])))
     return out.select("id", "digest", "base", F.coalesce(free, none).alias("more"))
