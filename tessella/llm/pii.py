@@ -152,7 +152,7 @@ def term_spans(docs: DataFrame, told: DataFrame, id_col: str, text: str, scratch
     return each.dropDuplicates(["_id", "_digest"])
 
 
-def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8, error: float = 0.05) -> DataFrame:
+def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.9, error: float = 0.05) -> DataFrame:
     """id, digest (of the text), base, more for each row of docs: arrays of spans (start, kind, stop, value), in code points, stop exclusive.
 
     base: what the four patterns find and their checks pass. more (kind 4): terms that the corpus ties to a base value (see disclosing()), wherever

@@ -67,7 +67,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*map(F.lit, (*pii.KINDS, "term")))
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
-    return rows.select(F.col("id").alias("doc_id"), *counts, F.sha2(F.encode(pii.joined(F.col("base"), names), "utf-8"), 256).alias("base_sha256"), pii.joined(F.array_sort(F.concat("base", "more")), names).alias("spans"), (F.size("base") + F.size("more") > 0).alias("flagged"))
+    return rows.select(F.col("id").alias("doc_id"), *counts, F.sha2(F.encode(pii.joined(F.col("base"), names), "utf-8"), 256).alias("base_sha256"), pii.joined(F.array_sort(F.concat("base", "more")), names).alias("spans"), (F.size("base") > 0).alias("flagged"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -587,7 +587,7 @@ def test_pii_over_the_corpus_and_a_revealing_term(spark, docs):
     assert "[email]" in cut[5000] and "Quibbleton" not in cut[5000] and cut[0] == corpus()[0][1] and cut[1000] is None
 
 
-def plain_told(texts, threshold=0.8, error=0.05):
+def plain_told(texts, threshold=0.9, error=0.05):
     """(entity, term) by the definition: mutual information and Chernoff's bound over different texts, for all pairs."""
     import regex
 
