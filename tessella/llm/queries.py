@@ -1,12 +1,12 @@
-"""The ten operators as queries over the test tables, and their SQL where SQL can express them."""
+"""The operators as queries over the test tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, classifier, lines, minhash, mixing, packing, pii, quality, substring, token_files
-from .common import Scratch
+from . import ann, classifier, fim, lines, minhash, mixing, packing, pii, quality, runs, substring, token_files, urls
+from .common import WORD, Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,17 +70,111 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), *counts, F.sha2(F.encode(pii.joined(F.col("base"), names), "utf-8"), 256).alias("base_sha256"), pii.joined(F.array_sort(F.concat("base", "more")), names).alias("spans"), (F.size("base") > 0).alias("flagged"))
 
 
+def sha256_of(text: Column) -> Column:
+    return F.sha2(F.encode(text, "utf-8"), 256)
+
+
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and put together in its form, and the text that is rebuilt from that."""
+    rows, _ = fim.transform(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), seed=1, plain_from=90, spm_below=20)
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha256_of(F.col("output")).alias("output_sha256"), sha256_of(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def repeated_block(text: Column, doc_id: Column) -> Column:
+    """The words of a text, joined by spaces, with every tenth document's words (by crc32 of its id) from some place on replaced by repetitions of those there."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"))
+    n, h = F.size(words), F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    block = F.slice(words, a + 1, p)
+    tail = F.slice(F.flatten(F.array_repeat(block, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least 24 words and three periods in every document, whose planted repetitions are made first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", repeated_block(F.col("text"), F.col("doc_id")).alias("text"))
+    rows, _ = runs.with_runs(spark, docs, min_length=24, min_repeats=3)
+    first = F.element_at("runs", 1)
+    # the greatest length / period, compared as a fraction; runs stand by start and period, and only a greater one takes the place
+    best = F.when(F.size("runs") > 0, F.aggregate("runs", first, lambda a, r: F.when(r["length"] * a["period"] > a["length"] * r["period"], r).otherwise(a)))
+    lines_ = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    rows = rows.withColumn("best", best)
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        sha256_of(F.when(F.size("runs") > 0, F.concat(lines_, F.lit("\n"))).otherwise("")).alias("runs_sha256"), sha256_of(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+#: The rules of op13.
+URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict: its rule's, else that of its host's template, learned from the pages that rules fit."""
+    rows, _ = urls.judge(spark, table(spark, sf_dir, "pages").select("page_id", "url"), ["page_id"], URL_RULES)
+    return rows.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_substring_dedup, op3_best_fit_packing, op4_quality_rules, op5_mixing, op6_nearest, op7_token_files, op8_quality_classifier, op9_line_dedup, op10_pii, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_substring_dedup, op3_best_fit_packing, op4_quality_rules, op5_mixing, op6_nearest, op7_token_files, op8_quality_classifier, op9_line_dedup, op10_pii, op11_fill_in_middle, op12_periodic_runs, op13_url_filters, pipeline)}
 
 SIZES = r"SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents"
 
+
+
+def template_sql(levels: int) -> str:
+    """The SQL of op13 for paths of up to so many segments: a table of literal segments and one of rows for each level."""
+    cases = " ".join(
+        f"WHEN (host = '{d}' OR ends_with(host, '.{d}')) AND starts_with(path, '/{p}') THEN '{r}'" for r, _ in sorted(URL_RULES, key=lambda x: -len(x[0])) for d, p in [r.split("/", 1)]
+    )
+    verdicts = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in URL_RULES)
+    kinds = {"e": "IS NULL", "d": "SIMILAR TO '[0-9]+'", "l": "SIMILAR TO '[A-Za-z]+'"}
+
+    def chi(names: str) -> str:
+        b, r = (" + ".join(f"{n}{k}" for k in names) for n in ("b", "r"))
+        parts = " + ".join(f"CASE WHEN b{k} + r{k} > 0 THEN (b{k} * ({r}) - r{k} * ({b})) * (b{k} * ({r}) - r{k} * ({b})) / (b{k} + r{k}) ELSE 0 END" for k in names)
+        value = f"(CASE WHEN {b} > 0 AND {r} > 0 THEN ({parts}) / (({b}) * ({r})) ELSE 0 END)"
+        return f"({value} < {6.635 if names == 'gx' else 11.345} OR {value} < 0.01::DOUBLE * ({b} + {r}))"
+
+    ctes = [
+        "u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        r"p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)",
+        f"q AS (SELECT *, CASE {cases} END AS rule FROM p)",
+        f"t0 AS MATERIALIZED (SELECT *, CASE rule {verdicts} END AS ruled, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs, '' AS node FROM q)",
+    ]
+    for i in range(levels):
+        nxt = f"segs[{i + 2}]"
+        counts = ", ".join([f"count(*) FILTER ({nxt} {c})::DOUBLE AS b{k}" for k, c in kinds.items()] + [f"count(*) FILTER ({nxt} NOT SIMILAR TO '[0-9]+|[A-Za-z]+')::DOUBLE AS bm"])
+        ctes += [
+            f"c{i} AS (SELECT host, node, segs[{i + 1}] AS seg, count(*) AS n, count(*) FILTER (ruled = 'allow')::DOUBLE AS bg, count(*) FILTER (ruled = 'block')::DOUBLE AS bx, {counts} FROM t{i} WHERE len(segs) > {i} GROUP BY ALL)",
+            f"k{i} AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY host, node) AS total FROM c{i}) WHERE n >= 3 AND n * 100 >= total * 2)",
+            f"r{i} AS (SELECT *, sum(n) OVER w - n AS others, {', '.join(f'sum(b{x}) OVER w - b{x} AS r{x}' for x in 'edlmgx')} FROM k{i} WINDOW w AS (PARTITION BY host, node))",
+            f"s{i} AS (SELECT host, node, seg, CASE WHEN others > 0 AND {chi('edlm')} AND {chi('gx')} THEN '+' ELSE '=' || seg END AS step FROM r{i})",
+            f"t{i + 1} AS MATERIALIZED (SELECT t.* REPLACE (t.node || CASE WHEN len(segs) > {i} THEN '/' || coalesce(step, '*') ELSE '' END AS node) FROM t{i} t LEFT JOIN s{i} s ON t.host = s.host AND t.node = s.node AND segs[{i + 1}] = seg)",
+        ]
+    return f"""
+WITH {", ".join(ctes)},
+v AS (SELECT host, node, (count(*) FILTER (ruled = 'allow') + 1.0::DOUBLE) / (count(ruled) + 2.0::DOUBLE) AS purity FROM t{levels} GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity < 0.25::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, node AS template, purity FROM t{levels} JOIN v USING (host, node)"""
+
+
 ORACLE_SQL = {
+    "op11_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+r AS (SELECT *, len(t) AS n, ('0x' || h[1:8])::BIGINT % (len(t) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(t) + 1) AS y, ('0x' || h[17:24])::BIGINT % 100 AS h3, ('0x' || h[25:32])::BIGINT % 100 AS h4 FROM d),
+f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT *, array_to_string(t[1:least(x, y)], '') AS prefix, array_to_string(t[least(x, y) + 1:greatest(x, y)], '') AS middle, array_to_string(t[greatest(x, y) + 1:], '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
+    "op13_url_filters": template_sql(4),
     "op5_mixing": rf"""
 WITH RECURSIVE d AS ({SIZES}),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
