@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, hash_memo, mix, word_hashes
+from .common import bound_batches, fresh, hash_memo, mix, word_hashes
 
 BITS = 17
 #: Character n-grams, counted in bytes of UTF-8.
@@ -97,7 +98,7 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text: str = "text", max_rows: int = 6000, max_bytes: int = 64 << 20, folds: int = 5) -> Model:
     """Fits on at most max_rows labelled documents outside the held-out fold, those first in the order of a digest of their ids and texts,
-    and on no more of them than have max_bytes bytes of text together.
+    and on no more of them than have max_bytes bytes of text together: a text that no longer fits is passed over, and those after it are taken as long as they fit.
 
     Only they reach the driver, which learns their sizes first. A document that is labelled twice or has two rows is one for each label and row. Null ids and labels
     other than 0 and 1 are left out."""
@@ -109,15 +110,23 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str =
     rows = rows.withColumns({"_size": F.coalesce(F.octet_length("_text"), F.lit(0)), "_tie": F.xxhash64("_text")})
     order = (*order, F.col("_tie"))
     first = rows.select("_id", "_label", "_tie", "_size").orderBy(*order).limit(max_rows).collect()
-    taken, size = 0, 0
-    while taken < len(first) and size + first[taken]["_size"] <= max_bytes:
-        size, taken = size + first[taken]["_size"], taken + 1
-    got = rows.orderBy(*order).limit(taken).select("_text", "_label").collect() if taken else []
+    taken, size = [], 0
+    for r in first:
+        if size + r["_size"] <= max_bytes:
+            size += r["_size"]
+            taken.append((r["_id"], r["_label"], r["_tie"]))
+    if not taken:
+        return fit([], [])
+    wanted = spark.createDataFrame([(*t, n) for t, n in Counter(taken).items()], T.StructType([*(rows.schema[c] for c in ("_id", "_label", "_tie")), T.StructField("_times", T.IntegerType())]))
+    # rows that are alike in all of these are as many as were found above, so that taking a row's times takes no other text
+    rank = F.row_number().over(Window.partitionBy("_id", "_label", "_tie").orderBy("_size"))
+    got = rows.join(F.broadcast(wanted), ["_id", "_label", "_tie"]).withColumn("_rank", rank).where("_rank <= _times").orderBy(*order).select("_text", "_label").collect()
     return fit([bytes(r["_text"]) if r["_text"] is not None else None for r in got], [r["_label"] for r in got])
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, name: str = "score", text: str = "text") -> DataFrame:
-    """docs with a double column of the given name: the probability of label 1 by the whole text. Empty and null texts are scored alike."""
+    """docs with a double column of the given name, changed where docs has one of it (see common.fresh): the probability of label 1 by the whole text. Empty and null texts are scored alike."""
+    (name,) = fresh(docs, name)
     bound_batches(spark)
     sent = spark.sparkContext.broadcast((model.gains().astype(np.float64), model.bias.astype(np.float64)))
     place = docs.columns.index(text)

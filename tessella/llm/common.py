@@ -8,12 +8,15 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The words of every operator here are runs of anything but these six ASCII characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,13 +95,29 @@ class Scratch:
             self.fs.delete(self.path(self.where(name)), True)
 
 
-#: Bytes of rows that are broadcast at most; a larger table is joined by a shuffle. A row of keys counts as ROW_BYTES.
-FEW, ROW_BYTES = 64 << 20, 96
+#: Bytes of rows that are broadcast at most; a larger table is joined by a shuffle. A row counts as ROW_BYTES beside its fields.
+FEW, ROW_BYTES = 64 << 20, 32
 
 
-def small(df: DataFrame, more: Column | None = None) -> DataFrame:
-    """A written table, marked for a broadcast if it has FEW bytes or less. more: the bytes of a row's arrays."""
-    size = F.lit(ROW_BYTES) if more is None else more + ROW_BYTES
+def field_bytes(value: Column, kind: T.DataType) -> Column:
+    """About what a field takes in memory, as long: 16 bytes, and the bytes of strings, binaries and all elements and fields below it."""
+    fixed = F.lit(16).cast("long")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value).cast("long"), F.lit(0)) + fixed
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+            return F.coalesce(F.aggregate(value, F.lit(0).cast("long"), lambda a, x: a + field_bytes(x, kind.elementType)), F.lit(0)) + fixed
+        return F.coalesce(F.size(value).cast("long"), F.lit(0)) * 16 + fixed
+    if isinstance(kind, T.MapType):
+        return field_bytes(F.map_keys(value), T.ArrayType(kind.keyType)) + field_bytes(F.map_values(value), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.StructType):
+        return reduce(add, (field_bytes(value[f.name], f.dataType) for f in kind), fixed)
+    return fixed
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table, marked for a broadcast if its rows, every field of them measured, have FEW bytes or less."""
+    size = reduce(add, (field_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(ROW_BYTES).cast("long"))
     return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= FEW else df
 
 

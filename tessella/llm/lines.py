@@ -44,7 +44,7 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     keys = F.array_distinct(F.filter(F.transform(text_lines(F.col(text)), line_key), lambda k: F.char_length(k) >= min_chars))
     seen = docs.select(F.col(id_col).alias(left), F.explode(F.transform(keys, key_hash)).alias(key))
     lists = seen.join(shared, key).where(~F.col(left).eqNullSafe(F.col(keeper))).groupBy(left).agg(F.collect_set(key).alias(drop))
-    lists = small(scratch.put(lists, "lists"), F.size(drop) * 32)
+    lists = small(scratch.put(lists, "lists"))
     out = docs.join(lists, F.col(id_col).eqNullSafe(F.col(left)), "left")
     stays = F.filter(text_lines(F.col(text)), lambda x: ~((F.char_length(line_key(x)) >= min_chars) & F.array_contains(F.col(drop), key_hash(line_key(x)))))
     done = out.withColumn(left, F.when(F.col(drop).isNotNull() & F.col(text).isNotNull(), stays))

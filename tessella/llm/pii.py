@@ -145,7 +145,7 @@ def term_spans(docs: DataFrame, told: DataFrame, id_col: str, text: str, scratch
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_body")).withColumn("_digest", F.xxhash64("_body"))
     holders = rows.select("_id", "_digest", F.explode(terms(F.col("_body"))).alias("_word")).join(told, F.col("_word") == F.col("_told"), "left_semi")
     holders = holders.groupBy(F.col("_id").alias("_hid"), F.col("_digest").alias("_hdigest")).agg(F.collect_set("_word").alias("_words"))
-    holders = small(scratch.put(holders, "holders", files), F.aggregate("_words", F.lit(0), lambda a, w: a + F.octet_length(w) + 32))
+    holders = small(scratch.put(holders, "holders", files))
     rows = rows.join(holders, F.col("_id").eqNullSafe(F.col("_hid")) & (F.col("_digest") == F.col("_hdigest")))
     found = F.transform(matches(F.col("_body"), TERM, 4), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), F.lower(s["value"]).alias("value")))
     each = rows.select("_id", "_digest", F.filter(found, lambda s: F.array_contains("_words", s["value"])).cast(f"array<{SPAN}>").alias("terms"))

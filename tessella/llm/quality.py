@@ -94,7 +94,7 @@ def judge(
     Returns the table and the names by role. A text without words, empty or null fails (n_words < min_words). A null host is a host
     of its own. Repeated rows are judged one by one and count one by one. An empty table gives an empty table."""
     cols, out = list(dict.fromkeys([*keep, text, host])), (*STATS, "n_lines", "base_failed", *RULES, "host_rate", "base_kept", "kept")
-    names = dict(zip([*out, "host_key"], fresh(docs, *out, "host_key"), strict=True))
+    names = dict(zip([*out, "host_key", "host_ok", "more_ok"], fresh(docs, *out, "host_key", "host_ok", "more_ok"), strict=True))
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines = (F.col(names[s]) for s in (*STATS, "n_lines"))
     failed = {
         "base_failed": (n_words < min_words) | (100 * n_repeat_words > max_repeat_percent * n_words),
@@ -107,10 +107,10 @@ def judge(
     scratch = Scratch(spark, "quality")
     rows = scratch.put(rows, "stats")
     hosts = host_verdicts(rows, host, names["base_failed"], max_rate, [names[r] for r in RULES])
-    hosts = scratch.put(hosts.select(F.col("host").alias(names["host_key"]), F.col("host_rate").alias(names["host_rate"]), "host_ok", "more_ok"), "hosts")
+    hosts = scratch.put(hosts.select(F.col("host").alias(names["host_key"]), F.col("host_rate").alias(names["host_rate"]), F.col("host_ok").alias(names["host_ok"]), F.col("more_ok").alias(names["more_ok"])), "hosts")
     both = rows.join(hosts, rows[host].eqNullSafe(hosts[names["host_key"]]), "left")
-    both = both.withColumn(names["base_kept"], ~F.col(names["base_failed"]) & F.coalesce(hosts["host_ok"], F.lit(True)))
-    both = both.withColumn(names["kept"], reduce(and_, (~F.col(names[r]) for r in RULES), F.col(names["base_kept"])) & F.coalesce(hosts["more_ok"], F.lit(True)))
+    both = both.withColumn(names["base_kept"], ~F.col(names["base_failed"]) & F.coalesce(F.col(names["host_ok"]), F.lit(True)))
+    both = both.withColumn(names["kept"], reduce(and_, (~F.col(names[r]) for r in RULES), F.col(names["base_kept"])) & F.coalesce(F.col(names["more_ok"]), F.lit(True)))
     return both.select(*keep, *(names[k] for k in out)), names
 
 

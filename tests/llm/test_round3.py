@@ -231,3 +231,40 @@ def test_url_filters_with_clashing_columns_deep_paths_and_no_rows(spark):
     deep = spark.createDataFrame([("http://a.org/" + "/".join(["s"] * 40),)] * 3, "url string")
     (row,) = urls.judge(spark, deep, [], [], max_levels=3)[0].select("template").distinct().collect()
     assert row[0] == "/=s/=s/=s/**"
+
+
+# --- faults of earlier operators ---------------------------------------------------------------------------------------
+
+
+def test_a_broadcast_is_bounded_by_all_bytes_of_its_rows(spark, monkeypatch):
+    from tessella.llm import common
+
+    monkeypatch.setattr(common, "FEW", 10_000)
+    wide = spark.createDataFrame([("x" * 6000, None, [], None)] * 2, "a string, b binary, c array<string>, d struct<e:string>")
+    deep = spark.createDataFrame([(["y" * 3000] * 4, {"k": "z" * 10}, [[1, 2]])], "a array<string>, b map<string,string>, c array<array<int>>")
+    few = spark.createDataFrame([(1, "short", [1.0] * 20, None)], "a int, b string, c array<double>, d struct<e:string,f:array<string>>")
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert not hinted(common.small(wide)) and not hinted(common.small(deep)) and hinted(common.small(few)) and hinted(common.small(few.where("false")))
+
+
+def test_quality_and_scores_with_every_name_of_theirs_taken(spark):
+    from tessella.llm import classifier, quality
+
+    good = " ".join(f"word{i}" for i in range(60))
+    taken = ["host_ok", "more_ok", "host_key", "kept", "score", "n_words", "host_rate", "Base_Failed", "_key"]
+    df = spark.createDataFrame([(1, good, "s", *range(9)), (2, "short", "s", *range(9))], "doc_id bigint, text string, source string, " + ", ".join(f"{c} int" for c in taken))
+    kept = quality.keep_good(spark, df)
+    assert kept.columns == df.columns and [r["doc_id"] for r in kept.collect()] == [1]
+    scored = classifier.score(spark, df, classifier.fit([b"a b", b"c d"], [0, 1]))
+    assert scored.columns == [*df.columns, "score_"] and all(0 <= r["score_"] <= 1 and r["score"] == 4 for r in scored.collect())
+
+
+def test_a_text_over_the_cap_is_passed_over(spark):
+    from tessella.llm import classifier
+
+    rows = [(i, ("good plain words here " if i % 2 else "### *** junk $$$ ") * 20) for i in range(60)]
+    first = min((i for i, _ in rows if i), key=lambda i: spark.range(1).select(F.xxhash64(F.lit(i).cast("bigint"), F.lit(1))).first()[0])
+    rows = [(i, t * 500 if i == first else t) for i, t in rows]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, quality int")
+    got = {r["doc_id"]: r["score"] for r in classifier.score(spark, docs, classifier.train(spark, docs, labels, max_bytes=60_000)).collect()}
+    assert min(s for i, s in got.items() if i % 2) > 0.9 and max(s for i, s in got.items() if not i % 2) < 0.1
