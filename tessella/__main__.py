@@ -1,7 +1,7 @@
 """Jobs over a folder of artifacts: python -m tessella JOB --root FOLDER [...]. Each reads the tables of the jobs before it and writes its own.
 
 ingest      root/raw/{doc_id}/lines.json and toc.json -> clean, headings, nodes, paragraphs, chunks
-index       chunks -> index/ (records, vectors, manifest); done once for the same chunks and settings
+index       chunks -> index/ (records, vectors, postings in blocks); documents that changed are written, others stay; new settings write all
 search      hits of --query as JSON lines
 gate        the verdict on --query; exit 0 if the evidence suffices, 2 if not
 figures     paragraphs -> conclusions, verdicts, and the report's figures, evidence, experiments, report and manifest as tables; figures look up chunks if there is an index
@@ -28,9 +28,10 @@ from .operators import semantics as S
 from .operators import translate as T
 from .session import Tables, get_session
 from .sources import artifacts as A
-from .sources import reports, sinks
+from .sources import inverted, reports, sinks
 
 DIM = 64
+EMBEDDER = {"embedder": "hash", "dim": DIM}
 
 
 def stage(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -47,15 +48,21 @@ def ingest(spark: SparkSession, root: str) -> DataFrame:
 
 
 def build_index(spark: SparkSession, root: str, force: bool = False) -> str:
+    """built, updated (documents that changed or went) or skipped."""
     chunks = stage(spark, root, "chunks").withColumn("id", F.col("chunk_id"))
-    recs = R.records(chunks)
-    return sinks.write_index(recs, R.hash_embeddings(recs.select("id", "text"), dim=DIM).select("id", "v"), f"{root}/index", R.RetrievalConfig().config_hash(), {"embedder": "hash", "dim": DIM}, force)
+    settings = {"config_hash": R.RetrievalConfig().config_hash(), **EMBEDDER}
+    return inverted.update_index(R.records(chunks), f"{root}/index", settings, lambda recs: R.hash_embeddings(recs.select("id", "text"), dim=DIM).select("id", "v"), force)
+
+
+def opened(spark: SparkSession, root: str) -> inverted.Index:
+    """The index, if queries are embedded as its records were."""
+    return inverted.open_index(spark, f"{root}/index", **EMBEDDER)
 
 
 def search(spark: SparkSession, root: str, query: str, mode: str = "hybrid", top: int = 5) -> DataFrame:
-    _, recs, vectors = sinks.open_index(spark, f"{root}/index", DIM)
+    index = opened(spark, root)
     q = R.hash_embeddings(spark.createDataFrame([(0, query)], "query_id int, text string"), dim=DIM, name="q")
-    return R.hydrate(R.retrieve(q, recs, vectors, mode, top), recs).orderBy("rank")
+    return R.hydrate(R.retrieve(q, None, index.vectors(), mode, top, index=index), index.records()).orderBy("rank")
 
 
 def gate(spark: SparkSession, root: str, query: str, top: int = 10) -> DataFrame:
@@ -66,21 +73,21 @@ def gate(spark: SparkSession, root: str, query: str, top: int = 10) -> DataFrame
 
 def looked_up(spark: SparkSession, root: str, paragraphs: DataFrame) -> DataFrame:
     """The chunks that search finds for each figure and none of whose paragraphs are its evidence already, as rows that semantics.reconstruct() takes."""
-    _, recs, vectors = sinks.open_index(spark, f"{root}/index", DIM)
+    index = opened(spark, root)
     reg = G.registry(paragraphs)
     unit = ["doc_id", "figure_id", "unit"]
     asked = G.figure_queries(reg["figures"]).withColumn("query_id", F.concat_ws("|", "doc_id", "unit"))
-    hits = R.retrieve(R.hash_embeddings(asked.select("query_id", "text"), dim=DIM, name="q"), recs, vectors, "hybrid", 5)
+    hits = R.retrieve(R.hash_embeddings(asked.select("query_id", "text"), dim=DIM, name="q"), None, index.vectors(), "hybrid", 5, index=index)
     evidence = S.figure_evidence(paragraphs, reg, G.partition(paragraphs, reg["figures"]))
     covered = evidence.select(F.concat_ws("|", "doc_id", "unit").alias("query_id"), "paragraph_id").distinct()
-    free = R.hydrate(R.supplement(hits, A.paragraph_links(stage(spark, root, "chunks")), covered), recs.drop("doc_id")).join(asked.select(*unit, "query_id"), "query_id")
+    free = R.hydrate(R.supplement(hits, A.paragraph_links(stage(spark, root, "chunks")), covered), index.records().drop("doc_id")).join(asked.select(*unit, "query_id"), "query_id")
     first = F.coalesce(F.get("paragraph_ids", F.lit(0)), F.lit(""))
     return free.select("doc_id", "unit", "figure_id", "text", first.alias("paragraph_id"), F.col("rank").alias("ord"), F.lit("other").alias("section_type"), F.coalesce(F.get("pages", F.lit(0)), F.lit(0)).alias("page_no"))
 
 
 def figures(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     paragraphs = stage(spark, root, "paragraphs")
-    more = looked_up(spark, root, paragraphs) if sinks.read_manifest(spark, f"{root}/index") is not None else None
+    more = looked_up(spark, root, paragraphs) if inverted.commits(spark, f"{root}/index") else None
     sem = S.reconstruct(paragraphs, more, put=Tables(spark).put)
     for name, df in {"conclusions": sem["conclusions"], "verdicts": sem["verdicts"], **reports.report(sem, G.background(paragraphs), paragraphs)}.items():
         sinks.write_stage(df, root, name)

@@ -42,16 +42,26 @@ def equivalents(term: Column) -> Column:
     return F.concat(F.array(term), F.coalesce(F.try_element_at(table, term), F.array().cast("array<string>")))
 
 
-def evaluate(queries: DataFrame, hits: DataFrame, config: EvidenceConfig = EvidenceConfig()) -> DataFrame:
+def wanted_tokens(queries: DataFrame) -> DataFrame:
+    """query_id, term, token: the informative terms of queries (query_id, tokens), each with the tokens that stand for it."""
+    each = queries.select("query_id", F.explode(informative_tokens(F.col("tokens"))).alias("term"))
+    return each.select("query_id", "term", F.explode(equivalents(F.col("term"))).alias("token"))
+
+
+def evaluate(queries: DataFrame, hits: DataFrame, config: EvidenceConfig = EvidenceConfig(), found: DataFrame | None = None) -> DataFrame:
     """query_id, terms, covered, focus, coverage_score, sufficient, missing, message for each query.
 
     queries: query_id, tokens. hits: query_id, rank, tokens (of the record), sparse_score. Of the first `pool` hits, the covered share of the terms
     by all and by the best one make half of the term part each; the top sparse score and the number of hits of depth_floor or more make
-    the rest. Scores are rounded to 4 places. A query without informative terms is insufficient."""
+    the rest. Scores are rounded to 4 places. A query without informative terms is insufficient. found: query_id, rank, term, which terms of
+    wanted_tokens() the hits hold, where an index knows it; hits need no tokens then."""
     terms = queries.select("query_id", informative_tokens(F.col("tokens")).alias("terms"))
     pool = hits.where(F.col("rank") <= config.pool)
-    each = terms.select("query_id", F.posexplode("terms").alias("at", "term"))
-    found = each.join(pool.select("query_id", "rank", "tokens"), "query_id").where(F.arrays_overlap(equivalents(F.col("term")), "tokens"))
+    if found is None:
+        each = terms.select("query_id", F.explode("terms").alias("term"))
+        found = each.join(pool.select("query_id", "rank", "tokens"), "query_id").where(F.arrays_overlap(equivalents(F.col("term")), "tokens"))
+    else:
+        found = found.where(F.col("rank") <= config.pool)
     best = found.groupBy("query_id", "rank").agg(F.count(F.lit(1)).alias("n")).groupBy("query_id").agg(F.max("n").alias("best"))
     union = found.groupBy("query_id").agg(F.collect_set("term").alias("covered"))
     score = F.coalesce("sparse_score", F.lit(0.0))

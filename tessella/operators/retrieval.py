@@ -64,10 +64,15 @@ def document_frequencies(recs: DataFrame) -> DataFrame:
     return recs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def raw_idf(n: Column, df: Column) -> Column:
+    """The logarithm of the odds that a record lacks a term; negative for terms of more than half of the records."""
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
 def term_weights(frequencies: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
     """term, df, idf. A negative idf becomes epsilon times the mean of the raw idf of all terms. frequencies: term, df."""
     df = frequencies.join(F.broadcast(stats.select("n")))
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = df.withColumn("raw", raw_idf(F.col("n"), F.col("df")))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
@@ -163,14 +168,17 @@ def fuse_hits(dense: DataFrame, sparse: DataFrame, top: int, k: int = 60) -> Dat
     return out.withColumn("sources", F.array_compact(leg))
 
 
-def retrieve(queries: DataFrame, recs: DataFrame, vectors: DataFrame, mode: str = "hybrid", top: int = 5, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """Hits of a batch of queries (query_id, text, q). In a single-leg mode the fused score is that leg's. Blank queries have no hits."""
+def retrieve(queries: DataFrame, recs: DataFrame | None, vectors: DataFrame, mode: str = "hybrid", top: int = 5, config: RetrievalConfig = RetrievalConfig(), index=None) -> DataFrame:
+    """Hits of a batch of queries (query_id, text, q). In a single-leg mode the fused score is that leg's. Blank queries have no hits.
+
+    index: a stored index (sources.inverted.Index) that serves the sparse leg; recs isn't read then and may be None."""
     if mode not in ("hybrid", "dense", "sparse"):
         raise ValueError(f"no such mode: {mode}")
     live = queries.where(X.strip(F.coalesce("text", F.lit(""))) != "").withColumn("tokens", X.tokens(F.col("text")))
     none = F.lit(None).cast("double")
     dense = knn(live.select("query_id", "q"), vectors, config.dense_top_k if mode == "hybrid" else top) if mode != "sparse" else None
-    sparse = bm25(live.select("query_id", "tokens"), recs, config.sparse_top_k if mode == "hybrid" else top, config) if mode != "dense" else None
+    search = (lambda q, k: bm25(q, recs, k, config)) if index is None else (lambda q, k: index.search(q, k, config).drop("dl"))
+    sparse = search(live.select("query_id", "tokens"), config.sparse_top_k if mode == "hybrid" else top) if mode != "dense" else None
     if mode == "hybrid":
         return fuse_hits(dense, sparse, top, config.rrf_k)
     one = dense if mode == "dense" else sparse
@@ -188,11 +196,6 @@ def supplement(hits: DataFrame, links: DataFrame, covered: DataFrame) -> DataFra
     return hits.join(seen, ["query_id", "id"], "left_anti")
 
 
-def manifest_matches(manifest: dict | None, **wanted) -> bool:
-    """Whether an index was built with these settings, so that building it again can be left out."""
-    return manifest is not None and all(manifest.get(k) == v for k, v in wanted.items())
-
-
 def hash_embeddings(df: DataFrame, text: str = "text", dim: int = 64, name: str = "v") -> DataFrame:
     """df with a unit vector drawn from a generator seeded by the text's SHA-256: equal texts have equal vectors. Arrow batches, numpy."""
     from collections.abc import Iterator

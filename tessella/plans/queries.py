@@ -17,7 +17,7 @@ from ..operators import review as V
 from ..operators import semantics as S
 from ..operators import translate as T
 from ..session import Tables
-from ..sources import reports, sinks
+from ..sources import inverted, reports, sinks
 from ..streaming import ingest
 from . import corpus
 from . import oracles as O
@@ -46,15 +46,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 TOKENS = r"list_transform(regexp_extract_all(coalesce(text, ''), '\p{Han}+|[\p{Latin}\p{N}]+'), lambda x: lower(x))"
 BM25 = rf"""
-r AS (SELECT doc_id AS id, {TOKENS} AS toks FROM documents WHERE length(trim(text)) >= 10),
+r AS MATERIALIZED (SELECT doc_id AS id, {TOKENS} AS toks FROM documents WHERE length(trim(text)) >= 10),
 st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM r),
-po AS (SELECT id, term, len(any_value(toks)) AS dl, count(*) AS tf FROM (SELECT id, toks, unnest(toks) AS term FROM r) GROUP BY id, term),
-w0 AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM po, st GROUP BY term),
+po AS MATERIALIZED (SELECT id, term, any_value(dl) AS dl, count(*) AS tf FROM (SELECT id, len(toks) AS dl, unnest(toks) AS term FROM r) GROUP BY id, term),
+w0 AS MATERIALIZED (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM po, st GROUP BY term),
 wm AS (SELECT avg(raw) AS mean FROM w0),
-w AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM w0, wm),
-q AS (SELECT item_id AS query_id, term, count(*) AS qf FROM (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY item_id, term),
+w AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM w0, wm),
+q AS MATERIALIZED (SELECT item_id AS query_id, term, count(*) AS qf FROM (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY item_id, term),
 s AS (SELECT query_id, id, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score, any_value(dl) AS dl FROM po JOIN q USING (term) JOIN w USING (term), st GROUP BY query_id, id),
-h AS (SELECT query_id, id, score, dl, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s),
+h AS MATERIALIZED (SELECT query_id, id, score, dl, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s),
 hits AS (SELECT * FROM h WHERE score > 0)"""
 
 
@@ -66,30 +66,52 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), X.tokens(F.col("text")).alias("tokens"))
 
 
+def files_state(spark: SparkSession, path: str) -> tuple:
+    """A table's files by name, size and time: what is derived from them holds as long as this is the same."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in found))
+
+
+def index(spark: SparkSession, sf_dir: str) -> inverted.Index:
+    """The stored index of the documents. The first query of a session that needs it builds it, with one document for each record; it is built anew when the table's files change."""
+    state, held = (sf_dir, files_state(spark, f"{sf_dir}/documents.parquet")), getattr(spark, "_tessella_index", {})
+    if state not in held:
+        root = f"{Tables(spark).at}/index"
+        inverted.update_index(records(spark, sf_dir).withColumn("doc_id", F.col("id")), root)
+        held = {**held, state: root}
+        spark._tessella_index = held
+    return inverted.open_index(spark, held[state])
+
+
 @query(f"WITH {BM25} SELECT query_id, id, rank::INT AS rank, round(score, 5) AS score FROM hits WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).search(asked(spark, sf_dir), 10).select("query_id", "id", "rank", F.round("score", 5).alias("score"))
+
+
+@query(f"WITH {BM25} SELECT query_id, id, rank::INT AS rank, round(score, 5) AS score FROM hits WHERE rank <= 10")
+def bm25_unindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hits from the texts, for corpora that are searched once."""
     return R.bm25(asked(spark, sf_dir), records(spark, sf_dir), 10).select("query_id", "id", "rank", F.round("score", 5).alias("score"))
 
 
 @query(f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM w")
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recs = records(spark, sf_dir)
-    return R.term_weights(R.document_frequencies(recs), R.corpus_stats(recs)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return index(spark, sf_dir).term_weights().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {BM25} SELECT h.query_id, h.id, h.rank::INT AS rank, d.lang, d.source, left(d.text, 80) AS preview FROM hits h JOIN documents d ON h.id = d.doc_id WHERE h.rank <= 5")
 def hydrate_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = R.bm25(asked(spark, sf_dir), records(spark, sf_dir), 5)
+    hits = index(spark, sf_dir).search(asked(spark, sf_dir), 5)
     docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
     return R.hydrate(hits, docs).select("query_id", "id", "rank", "lang", "source", F.left("text", F.lit(80)).alias("preview"))
 
 
 def two_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 20 by BM25, and the same by length, shortest first."""
-    recs = records(spark, sf_dir)
-    sparse = R.bm25(asked(spark, sf_dir), recs, 20)
-    short = sparse.join(recs.select("id", F.size("tokens").alias("dl")), "id").select("query_id", "id", (1000.0 / F.col("dl")).alias("score"), F.row_number().over(Window.partitionBy("query_id").orderBy("dl", "id")).alias("rank"))
-    return sparse.withColumn("leg", F.lit("sparse")).unionByName(short.withColumn("leg", F.lit("short")))
+    sparse = Tables(spark).put(index(spark, sf_dir).search(asked(spark, sf_dir), 20), "hits")
+    short = sparse.select("query_id", "id", (1000.0 / F.col("dl")).alias("score"), F.row_number().over(Window.partitionBy("query_id").orderBy("dl", "id")).alias("rank"))
+    return sparse.drop("dl").withColumn("leg", F.lit("sparse")).unionByName(short.withColumn("leg", F.lit("short")))
 
 
 LEGS = "legs AS (SELECT query_id, id, score, rank, 'sparse' AS leg FROM hits WHERE rank <= 20 UNION ALL SELECT query_id, id, 1000.0 / dl, row_number() OVER (PARTITION BY query_id ORDER BY dl, id), 'short' FROM hits WHERE rank <= 20)"
@@ -122,14 +144,14 @@ def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = records(spark, sf_dir)
     vectors = R.hash_embeddings(recs.select("id", "text"), dim=64).select("id", "v")
     queries = R.hash_embeddings(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), dim=64, name="q")
-    return R.retrieve(queries, recs, vectors, "hybrid", 5).select("query_id", "id", "rank", F.round("fused_score", 8).alias("score"), F.array_join("sources", ",").alias("sources"))
+    return R.retrieve(queries, None, vectors, "hybrid", 5, index=index(spark, sf_dir)).select("query_id", "id", "rank", F.round("fused_score", 8).alias("score"), F.array_join("sources", ",").alias("sources"))
 
 
 @query(f"""WITH {BM25}, cov AS (SELECT DISTINCT h.query_id, d.source FROM hits h JOIN documents d ON d.doc_id = h.id WHERE h.rank = 1)
 SELECT h.query_id, h.id, h.rank::INT AS rank FROM hits h JOIN documents d ON d.doc_id = h.id WHERE h.rank <= 5 AND NOT EXISTS (SELECT 1 FROM cov WHERE cov.query_id = h.query_id AND cov.source = d.source)""")
 def supplement_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits whose source the best hit doesn't cover already."""
-    hits = R.bm25(asked(spark, sf_dir), records(spark, sf_dir), 5)
+    hits = Tables(spark).put(index(spark, sf_dir).search(asked(spark, sf_dir), 5), "hits")
     links = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("paragraph_id"))
     covered = hits.where("rank = 1").join(links, "id").select("query_id", "paragraph_id").distinct()
     return R.supplement(hits, links, covered).select("query_id", "id", "rank")
@@ -149,9 +171,9 @@ g AS (SELECT t.query_id, len(terms) AS n_terms, coalesce(covered, 0) AS n_covere
 
 
 def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recs = records(spark, sf_dir)
-    hits = R.bm25(asked(spark, sf_dir), recs, 8).join(recs.select("id", "tokens"), "id").withColumnRenamed("score", "sparse_score")
-    return E.gate(E.evaluate(asked(spark, sf_dir), hits))
+    ix, queries = index(spark, sf_dir), asked(spark, sf_dir)
+    hits = Tables(spark).put(ix.search(queries, 8).withColumnRenamed("score", "sparse_score"), "hits")
+    return E.gate(E.evaluate(queries, hits, found=ix.holds(E.wanted_tokens(queries), hits)))
 
 
 @query(f"WITH {GATE} SELECT query_id, n_terms::INT AS n_terms, n_covered::INT AS n_covered, focus::INT AS focus, round(score, 3) AS coverage_score, score >= 0.79995 AS sufficient FROM g")
@@ -166,7 +188,7 @@ def gate_missing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BM25} SELECT h.query_id, h.rank::INT AS rank, h.id, left(d.text, 80) AS preview, round(h.score, 5) AS score FROM hits h JOIN documents d ON d.doc_id = h.id WHERE rank <= 5")
 def evidence_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = R.bm25(asked(spark, sf_dir), records(spark, sf_dir), 8).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id").withColumnRenamed("score", "fused_score")
+    hits = index(spark, sf_dir).search(asked(spark, sf_dir), 8).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id").withColumnRenamed("score", "fused_score")
     return E.evidence_window(hits).withColumn("score", F.round("score", 5))
 
 

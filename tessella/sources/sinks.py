@@ -1,15 +1,12 @@
-"""Writers of artifacts: stage tables by document, indexes with a manifest written last."""
+"""Writers of artifacts: stage tables by document, and indexes."""
 
 from __future__ import annotations
 
-import json
-from datetime import datetime, timezone
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.retrieval import chunk_set_hash, manifest_matches
 from ..session import Tables
+from . import inverted
 
 
 #: Folders of a stage's table. A document's rows are in the folder of its id's hash, so that their number doesn't follow the documents'.
@@ -46,48 +43,16 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def read_manifest(spark: SparkSession, root: str) -> dict | None:
-    fs, p = _fs(spark, f"{root}/manifest.json")
-    return json.loads("".join(r[0] for r in spark.read.text(f"{root}/manifest.json", wholetext=True).collect())) if fs.exists(p) else None
-
-
-def write_manifest(spark: SparkSession, root: str, manifest: dict) -> None:
-    fs, p = _fs(spark, f"{root}/manifest.json")
-    out = fs.create(p, True)
-    try:
-        out.write(bytearray(json.dumps(manifest, ensure_ascii=False, indent=1).encode()))
-    finally:
-        out.close()
-
-
 def write_index(records: DataFrame, vectors: DataFrame, root: str, config_hash: str, embedder: dict, force: bool = False) -> str:
-    """Writes records, vectors and last the manifest, which marks the index as whole. With a manifest of the same settings and chunks nothing is done.
-
-    Returns built or skipped. No records is an error."""
-    spark = records.sparkSession
-    # a set's hash for each document, as wide as a document; their sum doesn't depend on an order
-    sets = chunk_set_hash(records, ["doc_id"] if "doc_id" in records.columns else [F.pmod(F.xxhash64("id"), F.lit(4096)).alias("doc_id")])
-    h = sets.agg(F.sum(F.conv(F.left("set_hash", F.lit(15)), 16, 10).cast("decimal(38,0)"))).first()[0]
-    n = records.count()
-    if not n:
-        raise ValueError("no chunk is long enough to index")
-    wanted = {"config_hash": config_hash, "chunk_set_hash": str(h), **embedder}
-    if not force and manifest_matches(read_manifest(spark, root), **wanted):
-        return "skipped"
-    records.write.mode("overwrite").parquet(f"{root}/records")
-    vectors.write.mode("overwrite").parquet(f"{root}/vectors")
-    write_manifest(spark, root, {**wanted, "num_chunks": n, "created_at": datetime.now(timezone.utc).isoformat(timespec="seconds")})
-    return "built"
+    """Brings the index at root up to date with records and vectors (id, v) that are there already; see inverted.update_index. Records without doc_id are documents of their own."""
+    records = records if "doc_id" in records.columns else records.withColumn("doc_id", F.col("id"))
+    return inverted.update_index(records, root, {"config_hash": config_hash, **embedder}, lambda changed: vectors.join(changed.select("id"), "id", "left_semi"), force)
 
 
 def open_index(spark: SparkSession, root: str, dim: int | None = None) -> tuple[dict, DataFrame, DataFrame]:
-    """manifest, records, vectors; an index without manifest or of another dimension is an error."""
-    manifest = read_manifest(spark, root)
-    if manifest is None:
-        raise FileNotFoundError(f"no index at {root}")
-    if dim is not None and manifest.get("dim") != dim:
-        raise ValueError(f"the index has dimension {manifest.get('dim')}, the embedder {dim}")
-    return manifest, spark.read.parquet(f"{root}/records"), spark.read.parquet(f"{root}/vectors")
+    """manifest, records, vectors; an index that isn't there, or is of another dimension, is an error."""
+    index = inverted.open_index(spark, root, **({} if dim is None else {"dim": dim}))
+    return {**index.last["settings"], "num_chunks": index.n}, index.records(), index.vectors()
 
 
 def type_histogram(evidence: DataFrame) -> DataFrame:
