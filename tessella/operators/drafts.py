@@ -69,11 +69,12 @@ def with_quote(rows: DataFrame) -> DataFrame:
 
 
 def data_statement() -> Column:
-    """Over with_quote(): the sentence quoted behind its figure, or the value by its kind where it can't be quoted; null for a panel taken for a value."""
+    """Over with_quote(): the sentence quoted behind its figure, or the value by its kind, and by its object where one is known, where it can't be quoted; null for a panel taken for a value."""
     value, quote = F.col("data_value"), F.col("x_quote")
     anchor = F.concat("figure_id", F.regexp_replace("panel_id", "^[0-9]+", ""))
     label = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in P.KIND_LABELS.items() for x in kv)), F.coalesce("kind", F.lit(""))), F.lit("value"))
-    plain = F.concat(F.lit("According to "), anchor, F.lit(", the reported "), label, F.lit(" is "), F.regexp_replace(value, r"\.+$", ""), F.lit("."))
+    of = F.when(F.coalesce("object", F.lit("")) != "", F.concat(F.lit(" for "), "object")).otherwise("")
+    plain = F.concat(F.lit("According to "), anchor, F.lit(", the reported "), label, of, F.lit(" is "), F.regexp_replace(value, r"\.+$", ""), F.lit("."))
     said = F.when(quote.isNotNull() & (quote != ""), F.concat(F.lit("According to "), anchor, F.lit(", "), quote, F.lit("."))).otherwise(plain)
     return F.when(F.coalesce(value, F.lit("")) != "", F.when(~(F.col("x_bad") & value.rlike(P.PANEL_LABEL_VALUE)), said))
 
@@ -240,15 +241,19 @@ def perturbed(t: Column) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("p"), F.lit(k).alias("type"), made[k].alias("text"), (cond["evidence_id"] if k == "CONDITION_MUTATION" else nothing).alias("extra")) for i, k in enumerate(ORDER)))
 
 
-def draft_sets(bps: DataFrame, sem: dict[str, DataFrame], max_false: int = MAX_FALSE, put: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+def draft_sets(bps: DataFrame, sem: dict[str, DataFrame], max_false: int = MAX_FALSE, put: Callable[[DataFrame, str], DataFrame] = lambda df, name: df, objects: DataFrame | None = None) -> DataFrame:
     """doc_id, set_id, nn, draft_id, blueprint_id, figure_id, unit, question_type, statement, is_correct, perturbation, evidence_ids, confidence.
 
     A set is its true statement and the first false ones that differ from it and each other; a set without a false one goes, and its number with it.
-    put: writes the true statements with their context before they are perturbed, which keeps either plan small."""
-    rows = with_quote(contexts(select_blueprints(bps), sem, bps)).withColumn("true_text", true_statement()).where("true_text is not null and size(evidence_ids) > 0")
+    put: writes the quotes and then the true statements with their context before they are perturbed, which keeps each plan small. objects: doc_id, blueprint_id, object (remote.objects),
+    what the values of data statements that can't be quoted measure."""
+    chosen = contexts(select_blueprints(bps), sem, bps)
+    keys = ["doc_id", "blueprint_id"]
+    chosen = chosen.withColumn("object", F.lit(None).cast("string")) if objects is None else chosen.join(objects.select(*keys, "object"), keys, "left")
+    rows = put(with_quote(chosen), "quotes").withColumn("true_text", true_statement()).where("true_text is not null and size(evidence_ids) > 0")
     rows = rows.withColumn("set_k", F.row_number().over(Window.partitionBy("doc_id", "unit").orderBy("set_n")))
     rows = rows.withColumn("set_id", F.concat(F.lit("qd_"), "unit", F.lit("_"), F.format_string("%03d", "set_k")))
-    rows = put(rows.drop("x_body", "x_bad", "x_quote", "treatments", "all_figures", "evidence_store"), "true_statements")
+    rows = put(rows.drop("x_body", "x_bad", "x_quote", "object", "treatments", "all_figures", "evidence_store"), "true_statements")
     keep = ["doc_id", "set_id", "blueprint_id", "figure_id", "unit", "question_type", "true_text", "evidence_ids", "confidence"]
     each = rows.select(*keep, F.explode(perturbed(F.col("true_text"))).alias("c")).where("c.text is not null and c.text <> true_text")
     once = each.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "set_id", "c.text").orderBy("c.p"))).where("k = 1")

@@ -5,20 +5,23 @@ DataFrame functions alone: an answer that fails its checks leaves the determinis
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import Tables
 from . import drafts as D
 from . import gate as E
 from . import retrieval as R
@@ -123,38 +126,70 @@ def embedder(model: str, dim: int, base_url: str = "", key: str = "", batch: int
 
 
 AGAIN = "\n\nThe last answer was no JSON object. Answer with one JSON object and nothing else."
+#: Prompts of a wave, whose answers are kept once all are there; prompts of a task; calls that a task has open; characters of an answer.
+WAVE, OF_TASK, OPEN, LONGEST = 4096, 64, 8, 1 << 16
+ANSWERS = "digest string, answer string, answer_error string"
 
 
-def answers(df: DataFrame, chat: Callable[[str], str], prompt: str, attempts: int = 2, backoff: float = 1.0) -> DataFrame:
-    """df with answer (the JSON object in the model's reply, from its first { to its last }) and answer_error (why there is none).
+def asked(prompts: DataFrame, chat: Callable[[str], str], attempts: int = 2, backoff: float = 1.0) -> DataFrame:
+    """digest, answer, answer_error, paid of prompts (digest, prompt). A task has up to OPEN calls open at a time.
 
-    A reply without an object is asked for again. A null prompt isn't asked. Prompts that are equal within a batch are asked once."""
-    schema = T.StructType([*df.schema.fields, T.StructField("answer", T.StringType()), T.StructField("answer_error", T.StringType())])
-    place = df.columns.index(prompt)
+    answer is the JSON object in the model's reply, from its first { to its last }; a reply without one is asked for again. paid: whether the model replied at all, so that asking again would only cost."""
 
-    def one(text: str | None) -> tuple[str | None, str | None]:
-        if text is None:
-            return None, None
+    def one(text: str) -> tuple[str | None, str | None, bool]:
         for i in range(max(1, attempts)):
             try:
                 reply = tried(partial(chat, text + (AGAIN if i else "")), attempts, backoff)
             except Refused as refused:
-                return None, str(refused)
+                return None, str(refused), False
+            if len(reply) > LONGEST:
+                return None, "answer too long", True
             found = reply[reply.find("{") : reply.rfind("}") + 1] if "{" in reply else ""
             try:
                 if isinstance(json.loads(found), dict):
-                    return found, None
+                    return found, None, True
             except ValueError:
                 continue
-        return None, "no JSON object"
+        return None, "no JSON object", True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(place).to_pylist()
-            known = {t: one(t) for t in dict.fromkeys(texts)}
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([known[t][i] for t in texts], pa.string()) for i in range(2))], names=schema.names)
-
-    return df.mapInArrow(run, schema)
+        with ThreadPoolExecutor(OPEN) as pool:
+            for b in batches:
+                told = list(pool.map(one, b.column("prompt").to_pylist()))
+                kinds = (pa.string(), pa.string(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column("digest"), *(pa.array([t[i] for t in told], k) for i, k in enumerate(kinds))], names=["digest", "answer", "answer_error", "paid"])
+
+    return prompts.select("digest", "prompt").mapInArrow(run, f"{ANSWERS}, paid boolean")
+
+
+def kept_answers(spark: SparkSession, store: str) -> DataFrame:
+    """digest, answer, answer_error of a store; none if it isn't there yet."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], ANSWERS)
+    return spark.read.schema(ANSWERS).parquet(store).dropDuplicates(["digest"])
+
+
+def answers(df: DataFrame, chat: Callable[[str], str], prompt: str, attempts: int = 2, backoff: float = 1.0, store: str | None = None, model: str = "") -> DataFrame:
+    """df with answer (the JSON object in the model's reply) and answer_error (why there is none). A null prompt isn't asked.
+
+    Each different prompt is asked once, wherever its rows stand and however often the result is read: this function asks, by digest, in waves of WAVE prompts, each a job whose
+    answers are written before the next begins. With a store, a folder that outlives the session, a run that failed goes on behind its last wave, and prompts that this model
+    has answered before are not asked again; `model` names it. Calls that failed (no reply at all) are not kept, and are asked again by the next run."""
+    spark = df.sparkSession
+    at = f"{store or Tables(spark).at + '/answers'}/{hashlib.sha256(model.encode()).hexdigest()[:16]}"
+    digest = F.sha2(F.encode(F.col(prompt), "utf-8"), 256)
+    new = df.where(F.col(prompt).isNotNull()).select(digest.alias("digest"), F.col(prompt).alias("prompt")).dropDuplicates(["digest"])
+    new = Tables(spark).put(new.join(kept_answers(spark, at), "digest", "left_anti"), "prompts")
+    n, failed = new.count(), []
+    waves = -(-n // WAVE)
+    for i in range(waves):
+        part = new.where(F.pmod(F.xxhash64("digest"), F.lit(waves)) == i).repartition(max(1, -(-min(n, WAVE) // OF_TASK)), "digest")
+        told = Tables(spark).put(asked(part, chat, attempts, backoff), "wave")
+        told.where("paid").drop("paid").write.mode("append").parquet(at)
+        failed.append(told.where("not paid").drop("paid"))
+    told = reduce(DataFrame.unionByName, failed, kept_answers(spark, at))
+    return df.withColumn("digest_", digest).join(told.withColumnRenamed("digest", "digest_"), "digest_", "left").drop("digest_")
 
 
 # --- judge of evidence ------------------------------------------------------------------------------------------------
@@ -170,14 +205,16 @@ def judge_prompts(queries: DataFrame, hits: DataFrame, window: int = 8, chars: i
 
 
 def judged(report: DataFrame, prompts: DataFrame, chat: Callable[[str], str], **options) -> DataFrame:
-    """A gate's report (query_id, sufficient, coverage_score, missing, ...) where the judge's verdict stands in place of the count of terms, with level and answer_error.
+    """A gate's report (query_id, sufficient, coverage_score, missing, ...) after its second level, with level and answer_error.
 
-    Without a usable verdict the row stays as it was, of level heuristic."""
-    told = answers(prompts, chat, "prompt", **options).select("query_id", E.parse_verdict(F.col("answer")).alias("v"), "answer_error")
+    The judge is asked only for queries whose evidence the count of terms found insufficient; its verdict stands in place of that, of level heuristic+llm. All other rows
+    stay as they were, of level heuristic: those that sufficed, and those without a usable verdict."""
+    open_ = report.where(~F.col("sufficient")).select("query_id")
+    told = answers(prompts.join(open_, "query_id", "left_semi"), chat, "prompt", **options).select("query_id", E.parse_verdict(F.col("answer")).alias("v"), "answer_error")
     rows = report.join(told, "query_id", "left")
     seen = F.col("v").isNotNull()
     new = {"sufficient": F.col("v")["sufficient"], "coverage_score": F.round(F.col("v")["coverage_score"], 4), "missing": F.coalesce(F.col("v")["missing"], F.array().cast("array<string>"))}
-    return rows.withColumns({**{k: F.when(seen, c).otherwise(F.col(k)) for k, c in new.items()}, "level": F.when(seen, "llm").otherwise("heuristic")}).drop("v")
+    return rows.withColumns({**{k: F.when(seen, c).otherwise(F.col(k)) for k, c in new.items()}, "level": F.when(seen, "heuristic+llm").otherwise("heuristic")}).drop("v")
 
 
 # --- normaliser of experiments ----------------------------------------------------------------------------------------
@@ -196,13 +233,18 @@ def patches(exps: DataFrame, evidence: DataFrame, chat: Callable[[str], str], **
 def patched(exps: DataFrame, conclusions: DataFrame, evidence: DataFrame, proposed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Experiments and conclusions with the patches that hold, and the reasons why others don't (doc_id, unit, rejected).
 
-    A patch holds if each conclusion of it does (semantics.patch_rejected): known evidence, and numbers, p-values and direction that stand in its texts. Its fields replace those
-    of the draft where they aren't empty; the draft's conclusions stay, and those with other statements follow them."""
+    A patch holds as a whole: if each conclusion of it does (semantics.patch_rejected), and if the numbers and p-values of its question, hypothesis, intervention and variables stand in the
+    evidence, conclusions or none. Its fields replace those of the draft where they aren't empty; the draft's conclusions stay, and those with other statements follow them."""
     base = evidence.groupBy(*UNIT).agg(F.collect_set("evidence_id").alias("known_ids"), F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"])).alias("evidence_text"))
     rows = proposed.where("patch is not null").join(base, UNIT)
     each = rows.select(*UNIT, "known_ids", "evidence_text", F.posexplode("patch.conclusions").alias("k", "x")).select(*UNIT, "k", "known_ids", "evidence_text", F.col("x.statement").alias("statement"), F.coalesce("x.relationship", F.lit("unspecified")).alias("relationship"), F.coalesce("x.direction", F.lit("unspecified")).alias("direction"), F.coalesce("x.evidence_ids", F.array().cast("array<string>")).alias("cites"))
     checked = S.patch_rejected(each)
-    why = checked.where("rejected is not null").groupBy(*UNIT).agg(F.min_by("rejected", "k").alias("rejected"))
+    none = F.array().cast("array<string>")
+    told_fields = F.concat(F.array(*(F.coalesce(F.col(f"patch.{c}"), F.lit("")) for c in ("research_question", "hypothesis", "intervention"))), *(F.coalesce(F.col(f"patch.{c}"), none) for c in ("dependent_variables", "independent_variables")))
+    fields = rows.select(*UNIT, "evidence_text", F.posexplode(told_fields).alias("at", "field"))
+    wrong = fields.withColumn("rejected", S.unproved(F.coalesce("field", F.lit("")), F.col("evidence_text"))).where("rejected is not null")
+    wrong = wrong.select(*UNIT, (F.col("at") + 1_000_000).alias("k"), F.concat("rejected", F.lit(" of a field not in evidence")).alias("rejected"))
+    why = checked.where("rejected is not null").select(*UNIT, "k", "rejected").unionByName(wrong).groupBy(*UNIT).agg(F.min_by("rejected", "k").alias("rejected"))
     good = rows.join(why, UNIT, "left_anti")
     out = exps.join(good.select(*UNIT, "patch"), UNIT, "left")
     fields = [f.name for f in T._parse_datatype_string(PATCH).fields if f.name in exps.columns]
@@ -231,11 +273,21 @@ def translated(drafts: DataFrame, chat: Callable[[str], str], **options) -> Data
 
 
 def objects(bps: DataFrame, evidence: DataFrame, chat: Callable[[str], str], **options) -> DataFrame:
-    """doc_id, blueprint_id, object: for data blueprints that can't quote their sentence, what the value measures in a verbatim phrase of its evidence; null if the answer is none."""
-    rows = bps.where("question_type = 'DATA_STATEMENT'").where(D.needs_object(F.col("data_value"), F.col("sentence")))
-    texts = evidence.select("doc_id", F.col("evidence_id").alias("_eid"), "text").dropDuplicates(["doc_id", "_eid"])
-    rows = rows.withColumn("_eid", F.get("evidence_ids", F.lit(0))).join(texts, ["doc_id", "_eid"])
-    prompt: Column = F.concat(F.lit("What does the value "), "data_value", F.lit(" measure? Answer with a JSON object with the member object, words of the text alone.\n"), "text")
-    rows = answers(rows.select("doc_id", "blueprint_id", "text", prompt.alias("prompt")), chat, "prompt", **options)
-    phrase = F.trim(F.get_json_object("answer", "$.object"))
-    return rows.select("doc_id", "blueprint_id", F.when(D.object_allowed(phrase, F.col("text")), phrase).alias("object"))
+    """doc_id, blueprint_id, object, refused: for data blueprints that can't quote their sentence, what the value measures, in words that stand in the sentence or in an evidence text
+    it cites. object is null where there is none, and refused says why: error (no answer) or rejected (no phrase of the texts, empty, or too long)."""
+    rows = bps.where("question_type = 'DATA_STATEMENT' and coalesce(data_value, '') <> ''").where(D.needs_object(F.col("data_value"), F.coalesce("sentence", F.lit(""))))
+    texts = evidence.select("doc_id", "evidence_id", "text").dropDuplicates(["doc_id", "evidence_id"])
+    cited = rows.select("doc_id", "blueprint_id", F.posexplode("evidence_ids").alias("at", "evidence_id")).join(texts, ["doc_id", "evidence_id"])
+    cited = cited.groupBy("doc_id", "blueprint_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]).alias("cited"))
+    rows = rows.select("doc_id", "blueprint_id", "data_value", F.coalesce("sentence", F.lit("")).alias("sentence")).join(cited, ["doc_id", "blueprint_id"], "left")
+    rows = rows.withColumn("texts", F.concat(F.array("sentence"), F.coalesce("cited", F.array().cast("array<string>"))))
+    prompt: Column = F.concat(F.lit("What does the value "), "data_value", F.lit(" measure? Answer with a JSON object with the member object, words of the text alone.\n"), F.array_join("texts", "\n"))
+    rows = answers(rows.select("doc_id", "blueprint_id", "texts", prompt.alias("prompt")), chat, "prompt", **options)
+    rows = rows.withColumn("phrase", F.trim(F.get_json_object("answer", "$.object")))
+    good = F.coalesce(F.exists("texts", lambda t: D.object_allowed(F.col("phrase"), t)), F.lit(False))
+    return rows.select("doc_id", "blueprint_id", F.when(good, F.col("phrase")).alias("object"), F.when(F.col("answer").isNull(), "error").when(~good, "rejected").alias("refused"))
+
+
+def object_counts(found: DataFrame) -> DataFrame:
+    """doc_id, tried, extracted, rejected, errors of objects()."""
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tried"), F.count("object").alias("extracted"), *(F.count_if(F.col("refused") == r).alias(n) for r, n in (("rejected", "rejected"), ("error", "errors"))))

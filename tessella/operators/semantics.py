@@ -5,6 +5,8 @@ A unit is a figure or a panel, named by its key (f02, f02a). Continuation eviden
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -317,25 +319,33 @@ def status_counts(verdict: DataFrame) -> DataFrame:
 # --- normalizer's answers ---------------------------------------------------------------------------------------------
 
 
+def unproved(s: Column, text: Column) -> Column:
+    """Which numbers of s don't stand in the evidence's text: p-values or others; null if all do."""
+    numbers = X.all_matches(s, r"[0-9]+(?:\.[0-9]+)?")
+    squeeze = F.regexp_replace(F.lower(text), r"(?U)\s+", "")
+    p = F.transform(X.all_matches(s, P.P_VALUE), lambda v: F.regexp_replace(F.lower(v), r"(?U)\s+", ""))
+    return X.ordered_case([(~F.forall(p, lambda v: F.contains(squeeze, v)), F.lit("p-value")), (~F.forall(numbers, lambda v: F.contains(text, v)), F.lit("number"))], F.lit(None).cast("string"))
+
+
 def patch_rejected(patches: DataFrame) -> DataFrame:
     """patches with `rejected`: why a proposed statement can't be taken over, null if it can. patches: statement, direction, cites, known_ids, evidence_text.
 
-    It must cite known evidence, and its numbers, p-values and direction must stand in the evidence's text."""
+    It must cite known evidence, and its numbers and p-values must stand in the evidence's text. So must a direction: words of increase or decrease in the
+    statement itself need some in the text, and the direction that it is declared to have needs a sentence of it."""
     s, text = F.col("statement"), F.col("evidence_text")
-    numbers = X.all_matches(s, r"[0-9]+(?:\.[0-9]+)?")
-    squeeze = F.regexp_replace(F.lower(text), r"(?U)\s+", "")
-    p = F.transform(X.all_matches(s, P.P_VALUE), lambda v: F.regexp_replace(F.lower(v), r"(?U)\s+", ""))
+    patches = patches.withColumn("_unproved", unproved(s, text))
+    no_words = reduce(or_, (s.rlike(p) & ~text.rlike(p) for p in (P.INCREASE, P.DECREASE)))
+    declared = F.col("direction").isin("increase", "decrease") & ~F.exists(X.sentences(text), lambda t: direction(t) == F.col("direction"))
     why = X.ordered_case(
         [
             (F.size("cites") == 0, F.lit("no evidence cited")),
             (~F.forall("cites", lambda c: F.array_contains("known_ids", c)), F.lit("unknown evidence cited")),
-            (~F.forall(p, lambda v: F.contains(squeeze, v)), F.lit("p-value not in evidence")),
-            (~F.forall(numbers, lambda v: F.contains(text, v)), F.lit("number not in evidence")),
-            (F.col("direction").isin("increase", "decrease") & ~F.exists(X.sentences(text), lambda t: direction(t) == F.col("direction")), F.lit("direction not in evidence")),
+            (F.col("_unproved").isNotNull(), F.concat("_unproved", F.lit(" not in evidence"))),
+            (no_words | declared, F.lit("direction not in evidence")),
         ],
         F.lit(None).cast("string"),
     )
-    return patches.withColumn("rejected", why)
+    return patches.withColumn("rejected", why).drop("_unproved")
 
 
 def reconstruct(paragraphs: DataFrame, retrieved: DataFrame | None = None, put: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> dict[str, DataFrame]:

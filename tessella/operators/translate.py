@@ -37,6 +37,9 @@ KINDS = "percentage|fold change|p value|concentration|time"
 FALLBACK = rf"^According to (.+?), the reported ({KINDS}) is (.+?)\.?$"
 OBJECT = rf"^According to (.+?), the reported ({KINDS}) for (.+?) is (.+?)\.?$"
 ACCORDING = r"^According to (.+?), (.+)$"
+#: One anchor after another from a statement's start on; something follows the last.
+ANCHOR = r"\G(?U:\s)*According to (.+?), (?=.+$)"
+ANCHORS = r"^(?:(?U:\s)*According to .+?, (?=.+$))+"
 
 
 def kind_zh(kind: Column) -> Column:
@@ -92,26 +95,26 @@ def reported_forms(t: Column) -> list[tuple[str, Column]]:
 def translations(df: DataFrame, statement: str = "statement", is_data: Column | None = None) -> DataFrame:
     """df with statement_zh and method (template or term_fallback).
 
-    Anchors are peeled off, two at most, so a statement behind two of them is rendered like one behind none; what is left is matched to a form once. A data
-    statement keeps its quote word by word behind its anchor; with no column is_data none is one."""
+    Anchors are peeled off, however many there are, so that a statement behind them is rendered like one behind none; what is left is matched to a form once. A data
+    statement keeps its quote word by word behind its first anchor; with no column is_data none is one."""
     data = is_data if is_data is not None else F.lit(False)
     rows = df.withColumn("_t0", X.strip(F.col(statement)))
-    for i in range(2):
-        t = F.col(f"_t{i}")
-        peeled = t.rlike(ACCORDING) & ~t.rlike(FALLBACK) & ~t.rlike(OBJECT)
-        rows = rows.withColumn(f"_a{i}", F.when(peeled, F.regexp_extract(t, ACCORDING, 1)))
-        rows = rows.withColumn(f"_t{i + 1}", F.when(F.col(f"_a{i}").isNotNull(), X.strip(F.regexp_extract(t, ACCORDING, 2))).otherwise(t))
-    core = F.col("_t2")
+    t = F.col("_t0")
+    # a reported value's own anchor belongs to its form, and takes those before it along
+    peeled = ~t.rlike(FALLBACK) & ~t.rlike(OBJECT)
+    rows = rows.withColumn("_a", F.when(peeled, X.all_matches(t, ANCHOR, 1)).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("_core", F.when(F.size("_a") > 0, X.strip(F.regexp_replace(t, ANCHORS, ""))).otherwise(t))
+    core = F.col("_core")
     known = [*reported_forms(core), *forms(core)]
     rows = rows.withColumn("_form", X.ordered_case([(core.rlike(p), F.lit(i)) for i, (p, _) in enumerate(known)], F.lit(-1)))
     own = X.ordered_case([(F.col("_form") == i, zh) for i, (_, zh) in enumerate(known)], F.when(core != "", entity(core)))
-    before = F.concat(*(F.when(F.col(f"_a{i}").isNull(), "").otherwise(cat("根据", entity(F.col(f"_a{i}")), "，")) for i in range(2)))
+    before = F.array_join(F.transform("_a", lambda a: cat("根据", entity(a), "，")), "")
     rest = F.regexp_replace(F.regexp_extract("_t0", ACCORDING, 2), r"\.+$", "")
-    quote = cat("根据", entity(F.col("_a0")), "，论文原文报告：", terms_only(rest), "。")
-    anchored = F.col("_a0").isNotNull()
+    quote = cat("根据", entity(F.get("_a", F.lit(0))), "，论文原文报告：", terms_only(rest), "。")
+    anchored = F.size("_a") > 0
     zh = F.when(data & anchored, quote).otherwise(F.concat(before, own))
     method = F.when(anchored | (F.col("_form") >= 0), "template").otherwise("term_fallback")
-    return rows.withColumns({"statement_zh": zh, "method": method}).drop("_t0", "_t1", "_t2", "_a0", "_a1", "_form")
+    return rows.withColumns({"statement_zh": zh, "method": method}).drop("_t0", "_a", "_core", "_form")
 
 
 def translate_drafts(drafts: DataFrame) -> DataFrame:
