@@ -1,11 +1,12 @@
 """Jobs over a folder of artifacts: python -m tessella JOB --root FOLDER [...]. Each reads the tables of the jobs before it and writes its own.
 
-ingest      root/raw/{doc_id}/lines.json and toc.json -> clean, headings, nodes, paragraphs, chunks
+ingest      root/raw/{doc_id}/lines.json and toc.json -> clean, headings, nodes, paragraphs, chunks; quarantine has the documents that can't be read, and why
 index       chunks -> index/ (records, vectors, postings in blocks); documents that changed are written, others stay; new settings write all
 search      hits of --query as JSON lines
 gate        the verdict on --query; exit 0 if the evidence suffices, 2 if not
 figures     paragraphs -> conclusions, verdicts, and the report's figures, evidence, experiments, report and manifest as tables; figures look up chunks if there is an index
 questions   paragraphs -> blueprints, drafts, their Chinese rendering
+review      the sets of --doc by figure, or --set with its evidence
 --doc, --figure and --type (of blueprints) restrict what is printed, not what is written."""
 
 from __future__ import annotations
@@ -39,11 +40,16 @@ def stage(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def ingest(spark: SparkSession, root: str) -> DataFrame:
-    """Writes the tables of all documents and returns a row of counts for each."""
-    lines = A.read_lines(spark, f"{root}/raw/*/lines.json")
-    toc = A.read_toc(spark, f"{root}/raw/*/toc.json")
-    for name, df in L.ingest(lines, toc).items():
-        sinks.write_stage(df, root, name)
+    """Writes the tables of all documents that can be read, and those that can't with their reasons (quarantine); returns a row of counts for each document that has chunks.
+
+    A document that can't be read keeps the tables it had, and leaves quarantine with its next good run."""
+    lines, bad = A.lines_and_bad(spark, f"{root}/raw/*/lines.json")
+    toc, bad_toc = A.toc_and_bad(spark, f"{root}/raw/*/toc.json")
+    bad = Tables(spark).put(bad.unionByName(bad_toc), "bad")
+    lines = Tables(spark).put(A.without(lines, bad_toc), "lines")
+    for name, df in L.ingest(lines, A.without(toc, bad)).items():
+        sinks.write_stage(df, root, name, ids=lines.select("doc_id").distinct())
+    sinks.write_stage(bad, root, "quarantine", ids=A.documents(spark, f"{root}/raw/*/lines.json"))
     return L.chunk_stats(stage(spark, root, "chunks"), ["doc_id"])
 
 
@@ -87,27 +93,36 @@ def looked_up(spark: SparkSession, root: str, paragraphs: DataFrame) -> DataFram
 
 def figures(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     paragraphs = stage(spark, root, "paragraphs")
-    more = looked_up(spark, root, paragraphs) if inverted.commits(spark, f"{root}/index") else None
+    try:
+        more = looked_up(spark, root, paragraphs)
+    except (FileNotFoundError, ValueError):  # no index, or one of another embedder: figures go without
+        more = None
     sem = S.reconstruct(paragraphs, more, put=Tables(spark).put)
     for name, df in {"conclusions": sem["conclusions"], "verdicts": sem["verdicts"], **reports.report(sem, G.background(paragraphs), paragraphs)}.items():
         sinks.write_stage(df, root, name)
     return sem
 
 
+def reviewed(spark: SparkSession, root: str, doc: str, set_id: str | None = None) -> DataFrame:
+    """A document's sets by figure, or one set with its evidence, read from the folders of the document alone."""
+    translated = sinks.read_stage(spark, root, "drafts_zh", doc)
+    return V.sets_by_figure(translated) if set_id is None else V.question_set(translated, sinks.read_stage(spark, root, "evidence_rows", doc), doc, set_id)
+
+
 def questions(spark: SparkSession, root: str) -> DataFrame:
     sem, put = figures(spark, root), Tables(spark).put
     bps = put(B.blueprints(sem), "blueprints")
     drafts = put(D.draft_sets(bps, sem, put=put), "drafts")
     zh = put(T.translate_drafts(drafts), "zh")
-    for name, df in (("blueprints", bps), ("drafts", drafts), ("drafts_zh", zh)):
+    for name, df in (("blueprints", bps), ("drafts", drafts), ("drafts_zh", zh), ("evidence_rows", sem["evidence"])):
         sinks.write_stage(df, root, name)
     return zh
 
 
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    p.add_argument("job", choices=["ingest", "index", "search", "gate", "figures", "questions"])
-    for name, kind in (("--root", str), ("--query", str), ("--mode", str), ("--top", int), ("--doc", str), ("--figure", str), ("--type", str), ("--master", str)):
+    p.add_argument("job", choices=["ingest", "index", "search", "gate", "figures", "questions", "review"])
+    for name, kind in (("--root", str), ("--query", str), ("--mode", str), ("--top", int), ("--doc", str), ("--figure", str), ("--type", str), ("--set", str), ("--master", str)):
         p.add_argument(name, type=kind)
     p.add_argument("--force", action="store_true")
     a = p.parse_args(args)
@@ -121,6 +136,10 @@ def main(args: list[str] | None = None) -> int:
         out = search(spark, a.root, a.query, a.mode or "hybrid", a.top or 5).select("rank", "id", "fused_score", "sources", F.left("text", F.lit(120)).alias("text"))
     elif a.job == "gate":
         out = gate(spark, a.root, a.query, a.top or 10)
+    elif a.job == "review":
+        if not a.doc:
+            p.error("review needs --doc")
+        out = reviewed(spark, a.root, a.doc, a.set)
     elif a.job == "figures":
         sem = figures(spark, a.root)
         out = sem["verdicts"].join(sem["units"].select("doc_id", "unit", "figure_id"), ["doc_id", "unit"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.layout import LINES, TOC
+from ..session import Tables
 
 SPAN = "array<struct<text:string,font:string,size:double,flags:int,bbox:array<double>>>"
 RAW_LINE = f"index int, page_no int, block_no int, text string, bbox array<double>, spans {SPAN}, size double, font string, bold boolean, page_width double, page_height double"
@@ -53,6 +54,51 @@ def checked_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_some", some).withColumn("text", F.when(F.col("_some") == 1, F.col("text")).otherwise(bad.cast("string"))).drop("_some").where(X.strip(F.col("text")) != "")
 
 
+#: Documents that a stage can't take, each with the reason: they go beside the others' rows instead of ending the job.
+BAD = "doc_id string, stage string, reason string"
+SCANNED = "no text: a scan needs its text recognised first"
+
+
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id of all files, of which nothing else is read."""
+    return spark.read.format("binaryFile").load(path).select(doc_of("path").alias("doc_id"))
+
+
+def without(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    return rows.join(bad.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def lines_and_bad(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """read_lines() of the documents that can be read, and BAD rows of the others: malformed JSON, no lines, a line without its index or page, or no text at all."""
+    raw = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").schema(f"{RAW_LINE}, _bad string").json(path)
+    box = [F.element_at("bbox", i + 1).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]
+    rows = raw.select(doc_of().alias("doc_id"), F.col("index").alias("idx"), "page_no", "block_no", "text", *box, "size", "font", "bold", "page_width", "page_height", F.col("_bad").isNotNull().alias("_bad"))
+    rows = Tables(spark).put(rows, "raw_lines")
+    each = rows.groupBy("doc_id").agg(F.bool_or("_bad").alias("broken"), F.bool_or(F.col("idx").isNull() | F.col("page_no").isNull()).alias("unplaced"), F.bool_or(X.strip(F.col("text")) != "").alias("some"))
+    told = documents(spark, path).join(each, "doc_id", "left")
+    why = F.when(F.col("broken").isNull(), "no lines").when(F.col("broken"), "malformed JSON").when(F.col("unplaced"), "a line without index or page").when(~F.coalesce("some", F.lit(False)), SCANNED)
+    bad = Tables(spark).put(told.select("doc_id", F.lit("lines").alias("stage"), why.alias("reason")).where("reason is not null"), "bad")
+    return without(rows.drop("_bad"), bad).where(X.strip(F.col("text")) != ""), bad
+
+
+def toc_and_bad(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """read_toc() of the documents whose contents can be read, and BAD rows of the others."""
+    kind = "array<struct<level:int,title:string,page_no:int>>"
+    files = Tables(spark).put(spark.read.text(path, wholetext=True).select(doc_of().alias("doc_id"), F.from_json("value", kind).alias("t")), "toc")
+    bad = files.where("t is null or exists(t, x -> x.title is null or x.level is null)").select("doc_id", F.lit("toc").alias("stage"), F.lit("malformed JSON").alias("reason"))
+    good = without(files, bad).select("doc_id", F.posexplode("t").alias("ord", "e"))
+    return good.select("doc_id", "ord", "e.level", "e.title", "e.page_no"), bad
+
+
+def json_lines_and_bad(spark: SparkSession, path: str, schema: str, order: str = "ord", stage: str = "json lines") -> tuple[DataFrame, DataFrame]:
+    """read_json_lines() of the documents all of whose lines are objects, and BAD rows of the others with the first line that isn't."""
+    lines = spark.read.text(path, wholetext=True).select(doc_of().alias("doc_id"), F.posexplode(F.split("value", "\n")).alias(order, "line")).where(X.strip(F.col("line")) != "")
+    rows = Tables(spark).put(lines.select("doc_id", order, F.from_json("line", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")), "json_lines")
+    wrong = rows.where("r is null or r._bad is not null").groupBy("doc_id").agg(F.min(order).alias("at"))
+    bad = wrong.select("doc_id", F.lit(stage).alias("stage"), F.concat(F.lit("malformed JSON in line "), F.col("at") + 1).alias("reason"))
+    return without(rows, bad).select("doc_id", order, "r.*").drop("_bad"), bad
+
+
 def dominant_span(spans: F.Column) -> F.Column:
     """The span of the longest text without white space at its ends, the first of a tie."""
     return F.aggregate(spans, F.get(spans, F.lit(0)), lambda acc, s: F.when(F.length(X.strip(s["text"])) > F.length(X.strip(acc["text"])), s).otherwise(acc))
@@ -102,8 +148,20 @@ def read_if_there(spark: SparkSession, path: str, reader) -> DataFrame | None:
 TREE = "doc_id string, node_id string, parent_id string, ord int, node_type string, title string, level int, text string, pages array<int>"
 
 
+def trees_and_bad(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """read_trees() of the documents whose files hold a tree, and BAD rows of the others."""
+    rows = Tables(spark).put(_flat_trees(spark, path, strict=False), "trees")
+    bad = rows.where("node_type is null").select("doc_id", F.lit("tree").alias("stage"), F.col("text").alias("reason"))
+    return rows.where("node_type is not null"), bad
+
+
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of TREE from nested JSON at root/{doc_id}/document.json. A recursive record has no Spark type, so files are flattened in Arrow batches."""
+    """Rows of TREE from nested JSON at root/{doc_id}/document.json; a file that holds none is an error."""
+    return _flat_trees(spark, path, strict=True)
+
+
+def _flat_trees(spark: SparkSession, path: str, strict: bool) -> DataFrame:
+    """A recursive record has no Spark type, so files are flattened in Arrow batches. Without strict a file that holds no tree is a row without node_type, its text the reason."""
     import json
 
     import pyarrow as pa
@@ -120,7 +178,12 @@ def read_trees(spark: SparkSession, path: str) -> DataFrame:
             cols = [[] for _ in names]
             for doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 rows: list = []
-                flat(json.loads(text), "", rows)
+                try:
+                    flat(json.loads(text), "", rows)
+                except (ValueError, KeyError, TypeError, AttributeError, RecursionError) as error:
+                    if strict:
+                        raise
+                    rows = [(None, None, None, None, None, None, f"no tree: {type(error).__name__} {error}"[:200], None)]
                 for r in rows:
                     for c, v in zip(cols, (doc, *r), strict=True):
                         c.append(v)
