@@ -47,7 +47,7 @@ def ingest(spark: SparkSession, root: str) -> DataFrame:
     toc, bad_toc = A.toc_and_bad(spark, f"{root}/raw/*/toc.json")
     bad = Tables(spark).put(bad.unionByName(bad_toc), "bad")
     lines = Tables(spark).put(A.without(lines, bad_toc), "lines")
-    for name, df in L.ingest(lines, A.without(toc, bad)).items():
+    for name, df in L.ingest(lines, A.without(toc, bad), put=Tables(spark).put).items():
         sinks.write_stage(df, root, name, ids=lines.select("doc_id").distinct())
     sinks.write_stage(bad, root, "quarantine", ids=A.documents(spark, f"{root}/raw/*/lines.json"))
     return L.chunk_stats(stage(spark, root, "chunks"), ["doc_id"])

@@ -4,7 +4,7 @@ Every operator is keyed by doc_id; what one document needs together (a fold over
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -239,11 +239,11 @@ def body_x0(lines: DataFrame) -> DataFrame:
     return lines.where(F.length(X.strip(F.col("text"))) >= 15).groupBy("doc_id").agg(F.median("x0").alias("body_x0"))
 
 
-def paragraphs(lines: DataFrame, headings: DataFrame, config: ParserConfig = ParserConfig()) -> DataFrame:
+def paragraphs(lines: DataFrame, headings: DataFrame, config: ParserConfig = ParserConfig(), placed: DataFrame | None = None) -> DataFrame:
     """doc_id, head_idx, path, para, start_idx, text, page_no, pages: lines joined to paragraphs under their last heading.
 
-    A heading ends a paragraph; so does a line of another block whose predecessor ends a sentence or that is indented by more than indent_min."""
-    heads = paths(headings).select("doc_id", "idx", "path", F.lit(True).alias("is_head"))
+    A heading ends a paragraph; so does a line of another block whose predecessor ends a sentence or that is indented by more than indent_min. placed: paths(headings), where it is known already."""
+    heads = (paths(headings) if placed is None else placed).select("doc_id", "idx", "path", F.lit(True).alias("is_head"))
     w = Window.partitionBy("doc_id").orderBy("idx")
     rows = lines.join(heads, ["doc_id", "idx"], "left").join(body_x0(lines), "doc_id", "left")
     rows = rows.withColumns({"head_idx": F.last(F.when(F.col("is_head"), F.col("idx")), ignorenulls=True).over(w), "path": F.last("path", ignorenulls=True).over(w)})
@@ -293,24 +293,29 @@ def synthetic_chapters(sections: DataFrame) -> DataFrame:
     return out.select("doc_id", "first_ord", F.concat(F.lit("第"), F.col("number"), F.lit("章")).alias("title"), "n_children")
 
 
-def nodes(lines: DataFrame, headings: DataFrame, config: ParserConfig = ParserConfig()) -> DataFrame:
+def as_is(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
+def nodes(lines: DataFrame, headings: DataFrame, config: ParserConfig = ParserConfig(), put: Callable[[DataFrame, str], DataFrame] = as_is) -> DataFrame:
     """doc_id, ord, node_type, node_id, parent_id, title, level, text, path, pages, rule: the tree as rows in document order.
 
-    Sections without any chapter get synthetic chapters, and a document without headings one fallback chapter. A child's parent_id is its parent's node_id."""
-    heads = paths(headings)
-    paras = paragraphs(lines, headings, config)
+    Sections without any chapter get synthetic chapters, and a document without headings one fallback chapter. A child's parent_id is its parent's node_id. put: writes
+    what is used more than once (session.Tables.put)."""
+    heads = put(paths(headings), "paths")
+    paras = paragraphs(lines, headings, config, heads)
     none, text = F.lit(None).cast("string"), F.col("text")
     up = F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))
     hrows = heads.select("doc_id", F.col("idx").alias("ord"), F.when(F.col("level") == 1, "chapter").otherwise("section").alias("node_type"), text.alias("title"), "level", none.alias("text"), "path", up.alias("parent_path"), F.array().cast("array<int>").alias("pages"), "rule", F.lit(-1).alias("para"))
     prows = paras.select("doc_id", F.col("start_idx").alias("ord"), F.lit("paragraph").alias("node_type"), none.alias("title"), (F.size("path") + 1).alias("level"), "text", "path", F.col("path").alias("parent_path"), "pages", none.alias("rule"), "para")
-    rows = hrows.unionByName(prows)
+    rows = put(hrows.unionByName(prows), "tree_rows")
     kinds = rows.groupBy("doc_id").agg(F.bool_or(F.col("node_type") == "chapter").alias("has_chapter"), F.bool_or(F.col("node_type") == "section").alias("has_section"))
     rows = rows.join(kinds, "doc_id")
     # the fallback chapter stands above all paragraphs of a document without headings
     bare = ~F.col("has_chapter") & ~F.col("has_section")
     # synthetic chapters stand above the top sections of a document without chapters
     tops = rows.where("node_type = 'section' and not has_chapter and size(path) = 1").select("doc_id", "ord", "title")
-    chapters = synthetic_chapters(tops)
+    chapters = put(synthetic_chapters(tops), "synthetic")
     owner = chapter_keys(tops).where("key is not null").join(chapters.select("doc_id", F.col("first_ord").alias("of"), F.col("title").alias("chapter"), "n_children"), "doc_id").where("ord >= of")
     owner = owner.groupBy("doc_id", "ord").agg(F.max_by("chapter", "of").alias("chapter"))
     last = Window.partitionBy("doc_id").orderBy("ord")
@@ -322,7 +327,7 @@ def nodes(lines: DataFrame, headings: DataFrame, config: ParserConfig = ParserCo
     extra = chapters.select("doc_id", F.col("first_ord").alias("ord"), F.col("title"), F.lit("synthetic").alias("rule")).unionByName(kinds.where("not has_chapter and not has_section").select("doc_id", F.lit(-1).alias("ord"), F.lit("正文").alias("title"), F.lit("fallback").alias("rule")))
     extra = extra.select("doc_id", "ord", F.lit("chapter").alias("node_type"), node_id(F.col("doc_id"), F.concat(F.lit("synthetic/"), F.col("ord").cast("string"), F.lit("/"), F.col("title"))).alias("node_id"), "title", F.lit(1).alias("level"), none.alias("text"), F.array("title").alias("path"), F.array().cast("array<string>").alias("parent_path"), F.array().cast("array<int>").alias("pages"), "rule", F.lit(-1).alias("para"))
     keep = ["doc_id", "ord", "node_type", "node_id", "title", "level", "text", "path", "parent_path", "pages", "rule", "para"]
-    out = rows.select(*keep).unionByName(extra.select(*keep))
+    out = put(rows.select(*keep).unionByName(extra.select(*keep)), "placed_rows")
     parents = out.where("node_type <> 'paragraph'").groupBy("doc_id", F.col("path").alias("pp")).agg(F.min("node_id").alias("parent_id")).withColumnRenamed("doc_id", "pd")
     return out.join(parents, (F.col("doc_id") == F.col("pd")) & (F.col("parent_path") == F.col("pp")), "left").drop("pd", "pp", "parent_path", "para").withColumn("parent_id", F.coalesce("parent_id", node_id(F.col("doc_id"), F.lit(""))))
 
@@ -390,9 +395,9 @@ def chunk_stats(chunk_rows: DataFrame, by: list[str], size: str = "char_count")
     return chunk_rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_chunks"), F.min(size).alias("min_chars"), F.max(size).alias("max_chars"), F.round(F.avg(size), 1).alias("avg_chars"))
 
 
-def ingest(lines: DataFrame, toc: DataFrame, config: ParserConfig = ParserConfig()) -> dict[str, DataFrame]:
-    """All tables of a corpus of lines: clean, headings, nodes, paragraphs, chunks. Lazy; a caller writes those it wants."""
-    clean = clean_lines(lines, config)
-    heads = detect_headings(clean, toc, config)
-    tree = nodes(clean, heads, config)
+def ingest(lines: DataFrame, toc: DataFrame, config: ParserConfig = ParserConfig(), put: Callable[[DataFrame, str], DataFrame] = as_is) -> dict[str, DataFrame]:
+    """All tables of a corpus of lines: clean, headings, nodes, paragraphs, chunks. Lazy, and each computed for itself; with put (session.Tables.put) each is computed once."""
+    clean = put(clean_lines(lines, config), "clean")
+    heads = put(detect_headings(clean, toc, config), "headings")
+    tree = put(nodes(clean, heads, config, put), "nodes")
     return {"clean": clean, "headings": heads, "nodes": tree, "paragraphs": flatten(tree), "chunks": chunks(tree, config)}

@@ -39,7 +39,15 @@ def commits(spark: SparkSession, root: str) -> list[dict]:
     fs, p = _fs(spark, f"{root}/commits")
     if not fs.exists(p):
         return []
-    found = sorted((json.loads(r[0]) for r in spark.read.text(f"{root}/commits/*.json", wholetext=True).collect()), key=lambda c: c["run"])
+    found = []
+    for f in fs.listStatus(p):  # small files, one for each run
+        if f.getPath().getName().endswith(".json"):
+            stream = fs.open(f.getPath())
+            try:
+                found.append(json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+    found.sort(key=lambda c: c["run"])
     return found[max((i for i, c in enumerate(found) if c["base"]), default=0) :]
 
 
@@ -263,7 +271,8 @@ def _write(spark, root, number, records, changed, gone, old, base, settings, vec
         w = df.write.mode("overwrite")
         (w.partitionBy("part") if "part" in df.columns else w).parquet(path)
         out = spark.read.schema(df.schema).parquet(path)
-        tables.extend([name] if out.limit(1).count() else [])
+        if base or out.limit(1).count():  # a run that writes everything has rows in each of its tables
+            tables.append(name)
         return out
 
     mine = save(records, "records")

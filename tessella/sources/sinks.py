@@ -31,21 +31,21 @@ def write_stage(df: DataFrame, root: str, name: str, kind: str = "parquet", buck
     spark, at = df.sparkSession, f"{root}/{name}"
     runs, put = inverted.commits(spark, at), Tables(spark).put
     new = put(df, "stage")
-    whose = new.select("doc_id") if ids is None else new.select("doc_id").union(ids.select("doc_id"))
-    whose = put(whose.distinct(), "ids")
+    n = new.count()
+    whose = (new.select("doc_id") if ids is None else new.select("doc_id").union(ids.select("doc_id"))).distinct()
     together = not runs or len(runs) >= MOST_RUNS
     if runs and together:
         old = read_stage(spark, root, name).join(whose, "doc_id", "left_anti")
         new = put(new.unionByName(old), "all")
-        whose = whose.union(old.select("doc_id")).distinct()
-    parts = buckets or (runs[-1]["parts"] if not together else min(max(PARTS[0], -(-new.count() // PART_ROWS)), PARTS[1]))
+        n, whose = new.count(), whose.union(old.select("doc_id")).distinct()
+    parts = buckets or (runs[-1]["parts"] if not together else min(max(PARTS[0], -(-n // PART_ROWS)), PARTS[1]))
     number = runs[-1]["run"] + 1 if runs else 0
     for table, rows, form in (("rows", new, kind), ("ids", whose, "parquet")):
         w = rows.withColumn("part", part_of(F.col("doc_id"), parts)).repartition("part").sortWithinPartitions("part", "doc_id").write.mode("overwrite").partitionBy("part").format(form)
         for c in LOOKED_UP if form == "parquet" else ():
             w = w.option(f"parquet.bloom.filter.enabled#{c}", "true") if c in rows.columns else w
         w.save(f"{at}/{table}/run={number}")
-    inverted.commit(spark, at, {"run": number, "base": together, "parts": parts, "kind": kind, "schema": new.schema.json(), "empty": new.limit(1).count() == 0})
+    inverted.commit(spark, at, {"run": number, "base": together, "parts": parts, "kind": kind, "schema": new.schema.json(), "empty": n == 0})
 
 
 def write_json(df: DataFrame, root: str, name: str) -> None:
