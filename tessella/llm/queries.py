@@ -14,42 +14,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents by three-word shingles at a similarity of 0.85; nulls and empty texts are groups of one."""
     rows = minhash.grouped(spark, table(spark, sf_dir, "documents"), k=3, percent=85)
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that several documents share, by paragraph and by piece, with the places of each."""
     return substring.repeats(spark, table(spark, sf_dir, "documents"), k=5, percent=80)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens at most; a null text is its end token alone."""
     return packing.pack(spark, table(spark, sf_dir, "documents"), length=2048, end_id=0)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # kept is that of the query's SQL, which knows base_failed alone; the pipeline keeps by all rules
+    """Each document's counts and verdict: by its own rules, and by its host's rate of failures of each."""
     rows, _ = quality.judge(spark, table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["doc_id"])
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("base_kept").alias("kept"), F.round("host_rate", 6).alias("host_rate"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's share of the mix, by finish times over all sources; a null source is the last."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = mixing.mix(spark, docs, {k: k for k in ("size", "source_size", "target", "finish", "taken")}, weights=(5, 2, 1), percent=150, passes=2)
     return rows.select("doc_id", "size", "source_size", "target", "taken", "finish")
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one; vectors without a direction take no part."""
     rows = ann.search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
     return rows.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in ORC files, and what is read back from these."""
     path = Scratch(spark, "ids").where("orc")
     token_files.write_tokens(spark, table(spark, sf_dir, "documents"), path, end_id=2)
     return token_files.token_index(spark, path)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by a model that learned from labelled documents outside of the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = classifier.train(spark, docs, table(spark, sf_dir, "labels"))
     rows = classifier.score(spark, docs, model)
@@ -57,12 +64,14 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that it shares with two others or more, but for the last that holds each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = lines.drop_shared_lines(spark, docs, counts=("n_lines", "n_dropped"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("kept_sha256"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's spans of personal data: those of the patterns, and terms that disclose a value."""
     rows = pii.find(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = F.array(*map(F.lit, (*pii.KINDS, "term")))
     kinds = F.transform("base", lambda s: s["kind"])
@@ -196,19 +205,20 @@ WITH l AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr
 k AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
 SELECT l.doc_id, count(*) AS n_lines, count(k.key) AS n_dropped, sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE k.key IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN k ON l.key = k.key AND l.doc_id <> k.keeper GROUP BY l.doc_id""",
-    "op4_quality_rules": r"""
+    "op4_quality_rules": rf"""
 WITH w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
 g AS (SELECT doc_id, i, word, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 n AS (SELECT *, w3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, word, w2, w3) > 1 AS twice FROM g),
 c AS (SELECT doc_id, word, twice OR coalesce(lag(twice) OVER o, false) OR coalesce(lag(twice, 2) OVER o, false) AS hit FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 a AS (SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars, count(*) FILTER (hit) AS n_repeat_words FROM c GROUP BY doc_id),
-l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 b AS (SELECT d.doc_id, d.source, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols,
-  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN l USING (doc_id)),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
-h AS (SELECT source, count(*) AS docs, count(*) FILTER (base_failed) AS bad FROM f GROUP BY source),
-p AS (SELECT sum(bad) / sum(docs) AS m, sum((bad / docs) * (bad / docs) * docs) / sum(docs) - (sum(bad) / sum(docs)) * (sum(bad) / sum(docs)) AS v FROM h),
-s AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 2), 1e6) ELSE 1e6 END AS k FROM p),
-r AS (SELECT source, (bad + m * k) / (docs + k) AS host_rate FROM h, s)
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rate <= 0.5 AS kept, round(host_rate, 6) AS host_rate FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source""",
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN l USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 100 * n_symbols > 10 * n_words AS failed_1, 100 * n_dup_lines > 50 * n_lines AS failed_2, word_chars < 3 * n_words OR word_chars > 10 * n_words AS failed_3 FROM b),
+h AS (SELECT source, count(*) AS docs, count(*) FILTER (base_failed) AS bad_0, {", ".join(f"count(*) FILTER (failed_{i}) AS bad_{i}" for i in (1, 2, 3))} FROM f GROUP BY source),
+{", ".join(f"""p_{i} AS (SELECT sum(bad_{i}) / sum(docs) AS m, sum((bad_{i} / docs) * (bad_{i} / docs) * docs) / sum(docs) - (sum(bad_{i}) / sum(docs)) * (sum(bad_{i}) / sum(docs)) AS v FROM h),
+s_{i} AS (SELECT m AS m_{i}, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 2), 1e6) ELSE 1e6 END AS k_{i} FROM p_{i})""" for i in range(4))},
+r AS (SELECT source, {", ".join(f"(bad_{i} + m_{i} * k_{i}) / (docs + k_{i}) AS rate_{i}" for i in range(4))} FROM h, s_0, s_1, s_2, s_3)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR failed_1 OR failed_2 OR failed_3) AND greatest(rate_0, rate_1, rate_2, rate_3) <= 0.5 AS kept, round(rate_0, 6) AS host_rate FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source""",
 }
