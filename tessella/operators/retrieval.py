@@ -4,15 +4,20 @@ All operators take whole batches of queries. Query sides are joined by term or s
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
-#: Most query rows that exact kNN holds against the vectors in one pass; larger sets are dealt in groups of this many.
-QUERY_BLOCK = 4096
+#: Exact kNN: bytes of queries that are sent to all tasks at a time, and queries that are multiplied with a batch of vectors at a time.
+QUERY_BYTES, QUERY_BLOCK = 64 << 20, 512
 
 
 @dataclass(frozen=True)
@@ -119,23 +124,56 @@ def checked_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.join(F.broadcast(dims)).join(F.broadcast(twice)).select("id", ok.cast("array<float>").alias("v"))
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, max_queries: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, id, score, rank: exact cosine, the k largest, ties by id. queries: query_id, q; vectors: id, v.
+def knn(queries: DataFrame, vectors: DataFrame, k: int, max_bytes: int = QUERY_BYTES) -> DataFrame:
+    """query_id, id, score, rank: exact cosine in double precision, the k largest, ties by id. queries: query_id, q; vectors: id, v.
+
+    Queries are a stated set held against all vectors. They are sent to all tasks as one matrix, in as many groups as have max_bytes each: each group is one scan of the
+    vectors, whose Arrow batches are multiplied with it. A batch leaves k rows of a query at most, and a task no more than that of its batches. No vector is shuffled.
+    A zero or null query has no rows, and a zero or null vector is found by none; k <= 0 gives none. A vector of another dimension than the queries is an error."""
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", vectors.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    live = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).where(norm(F.col("q")) > 0)
+    size = live.agg(F.sum(F.size("q") * 8 + 64)).first()[0] or 0
+    groups = max(1, -(-size // max_bytes))
+    spark, parts = queries.sparkSession, []
+    for g in range(groups) if size and k > 0 else ():
+        own = (live.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g) if groups > 1 else live).toArrow()
+        if own.num_rows:
+            parts.append(vectors.select("id", F.col("v").cast("array<double>").alias("v")).mapInArrow(nearest(spark.sparkContext.broadcast(own), k), schema))
+    found = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
+    return top_k(found, ["query_id"], [F.desc("score"), F.col("id")], k)
+
+
+def matrix(column: pa.ChunkedArray | pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a column that have a direction, over their lengths, and their rows. dim: what each must have."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    rows = np.flatnonzero(column.is_valid())
+    sizes = np.diff(column.offsets.to_numpy())[rows]
+    if len(rows) and (dim or sizes[0]) != sizes.max() or len(rows) and sizes.min() != sizes.max():
+        raise ValueError("vectors differ in dimension")
+    flat = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    length = np.sqrt((flat * flat).sum(1))
+    good = length > 0
+    return flat[good] / length[good, None], rows[good]
+
+
+def nearest(sent, k: int) -> Callable:
+    """For mapInArrow over id, v: the k nearest of each query, and the ties of the last, for each batch. sent: the queries, broadcast."""
 
-    Queries are a stated set held against all vectors: they are dealt in blocks of at most max_queries, each block a broadcast of proven size, so that no
-    vector is shuffled and each task keeps k rows of a query. A zero query has no rows; k <= 0 gives none."""
-    live = queries.where(norm(F.col("q")) > 0).withColumn("q", normalize(F.col("q")))
-    n = live.count()
-    blocks = max(1, -(-n // max_queries))
-    parts = []
-    for i in range(blocks):
-        block = live.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else live
-        scored = vectors.join(F.broadcast(block)).select("query_id", "id", (dot(F.col("v"), F.col("q")) / norm(F.col("v"))).alias("score"))
-        parts.append(top_k(scored, ["query_id"], [F.desc("score"), F.col("id")], k))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, asked = matrix(sent.value.column("q"))
+        ids = sent.value.column("query_id").combine_chunks().take(pa.array(asked))
+        for b in batches:
+            v, rows = matrix(b.column("v"), q.shape[1])
+            for low in range(0, len(q) if len(v) else 0, QUERY_BLOCK):
+                block = q[low : low + QUERY_BLOCK]
+                rough = block @ v.T
+                # the product rounds by its own blocking; what may be among the k is summed again in one order, so that equal vectors have equal scores
+                least = np.partition(rough, -min(k, len(v)), axis=1)[:, -min(k, len(v))]
+                i, j = np.nonzero(rough >= least[:, None] - 1e-9)
+                score = np.concatenate([(block[i[a : a + 65_536]] * v[j[a : a + 65_536]]).sum(1) for a in range(0, len(i), 65_536)])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i + low)), b.column("id").take(pa.array(rows[j])), pa.array(score)], names=["query_id", "id", "score"])
+
+    return run
 
 
 def rrf(legs: DataFrame, k: int = 60, top: int = 5) -> DataFrame:
@@ -198,19 +236,12 @@ def supplement(hits: DataFrame, links: DataFrame, covered: DataFrame) -> DataFra
 
 def hash_embeddings(df: DataFrame, text: str = "text", dim: int = 64, name: str = "v") -> DataFrame:
     """df with a unit vector drawn from a generator seeded by the text's SHA-256: equal texts have equal vectors. Arrow batches, numpy."""
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))])
     place = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        import numpy as np
-
         for b in batches:
             out = []
             for t in b.column(place).to_pylist():

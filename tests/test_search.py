@@ -50,7 +50,7 @@ def test_knn(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [5.0, 0.0]), (3, [0.0, 0.0])], "query_id int, q array<double>")
     got = [(r["query_id"], r["id"], round(r["score"], 5)) for r in R.knn(q, v, 99).orderBy("query_id", "rank").collect()]
     assert got == [(i, x, s) for i in (1, 2) for x, s in (("a", 1.0), ("c", 0.70711), ("b", 0.0))]
-    assert R.knn(q, v, 0).count() == 0 and R.knn(q, v, 2, max_queries=1).count() == 4
+    assert R.knn(q, v, 0).count() == 0 and R.knn(q, v, 2, max_bytes=1).count() == 4
     for bad in ([("a", [1.0]), ("a", [1.0])], [("a", [1.0]), ("b", [1.0, 2.0])], [("a", [0.0])]):
         with pytest.raises(Exception, match="repeats|dimension|zero"):
             R.checked_vectors(spark.createDataFrame(bad, "id string, v array<double>")).collect()
@@ -185,3 +185,27 @@ def test_streamed_documents_become_postings(spark, tmp_path):
     q.awaitTermination()
     got = {(r["id"], r["term"]): r["tf"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {(1, "a"): 2, (1, "b"): 1, (2, "b"): 1}
+
+
+def test_knn_over_blocks_equals_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(R, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((80, 6))
+    x[40:60] = x[3]  # many equal vectors: ties go by id
+    rows = [(f"v{i:02d}", [float(y) for y in v]) for i, v in enumerate(x)] + [("zero", [0.0] * 6), ("null", None)]
+    v = spark.createDataFrame(rows, "id string, v array<double>").repartition(5)
+    q = spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows) if i % 10 == 3] + [(900, [0.0] * 6), (901, None)], "query_id int, q array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = []
+    for i in range(3, 80, 10):
+        order = sorted(range(80), key=lambda j: (-round(float(unit[i] @ unit[j]), 12), rows[j][0]))[:7]
+        want += [(i, rows[j][0], n + 1) for n, j in enumerate(order)]
+    got = R.knn(q, v, 7, max_bytes=200)
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in got.collect()) == sorted(want)
+    plan = R.knn(q, v, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and plan.count("MapInArrow") == 1
+    assert R.knn(q, v.where("false"), 7).count() == 0 and R.knn(q.where("false"), v, 7).count() == 0
+    with pytest.raises(Exception, match="dimension"):
+        R.knn(q, spark.createDataFrame([("a", [1.0])], "id string, v array<double>"), 1).collect()
