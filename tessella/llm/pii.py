@@ -113,16 +113,19 @@ def disclosing(base: DataFrame, docs: DataFrame, copies: DataFrame, n: int, text
     a term of just their texts could not reveal, and terms that are too rare or too common for every entity that is left."""
     held = base.where(F.size("base") > 0).groupBy("digest").agg(F.any_value(F.array_distinct(F.transform("base", entity))).alias("entities"), F.any_value("words").alias("words"))
     held = scratch.put(held, "held", tasks=tasks)
+    entities = held.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("ne"))
+    entities = scratch.put(entities, "entities", max(1, tasks // 50))
+    all_, many = F.lit(float(max(n, 1))), entities.count()
+    reach = (F.col("ne") < all_) & (F.col("ne") * F.log2(all_ / F.col("ne")) >= log2(max(1, many) / error))
+    if entities.where(reach).isEmpty():  # not even if the corpus had a single term; so its terms needn't be counted
+        return entities.where("false").select(F.col("e").alias("entity"), F.lit("").alias("term"))
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.xxhash64(body).alias("digest"), terms(body).alias("words"))
     rows = rows.join(small(copies), F.col("digest") == F.col("copy"), "left").select("words", (1 / F.coalesce("times", F.lit(1))).alias("part"))
     # words are summed for each task before they are shuffled, so that the shuffle holds a task's vocabulary and not its text
     seen = rows.select(F.explode("words").alias("term"), "part").groupBy("term").agg(F.round(F.sum("part")).cast("bigint").alias("nt"))
     seen = scratch.put(seen, "terms", tasks=tasks)
-    entities = held.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("ne"))
-    entities = scratch.put(entities, "entities", max(1, tasks // 50))
-    bits = log2(max(1, entities.count()) * max(1, seen.count()) / error)
-    all_ = F.lit(float(max(n, 1)))
+    bits = log2(max(1, many) * max(1, seen.count()) / error)
     most = F.pow(F.col("ne").cast("double"), F.lit(threshold)) * F.pow(all_, F.lit(1 - threshold))
     live = entities.where((F.col("ne") < all_) & (F.col("ne") * F.log2(all_ / F.col("ne")) >= bits)).withColumn("most", most)
     widest = live.agg(F.max("most")).first()[0]
