@@ -268,3 +268,25 @@ def test_a_text_over_the_cap_is_passed_over(spark):
     docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, quality int")
     got = {r["doc_id"]: r["score"] for r in classifier.score(spark, docs, classifier.train(spark, docs, labels, max_bytes=60_000)).collect()}
     assert min(s for i, s in got.items() if i % 2) > 0.9 and max(s for i, s in got.items() if not i % 2) < 0.1
+
+
+def test_token_files_have_stripes_row_indexes_run_lengths_and_bloom_filters(spark, tmp_path):
+    """What the ORC files' own footers say."""
+    from tessella.llm import token_files
+
+    docs = spark.createDataFrame([(i, f"some words of document {i}") for i in range(300)], "doc_id bigint, text string")
+    path = f"file://{tmp_path}/orc"
+    token_files.write_tokens(spark, docs, path, end_id=2)
+    orc, conf, seen = spark._jvm.org.apache.orc.OrcFile, spark._jsc.hadoopConfiguration(), 0
+    for f in sorted((tmp_path / "orc").rglob("*.orc")):
+        reader = orc.createReader(spark._jvm.org.apache.hadoop.fs.Path(str(f)), orc.readerOptions(conf))
+        rows, names = reader.rows(), list(reader.getSchema().getFieldNames())
+        place = names.index("doc_id") + 1
+        assert reader.getRowIndexStride() > 0 and reader.getStripes().size() >= 1
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            kinds = {(s.getColumn(), str(s.getKind())) for s in footer.getStreamsList()}
+            assert (place, "ROW_INDEX") in kinds and any(c == place and k.startswith("BLOOM_FILTER") for c, k in kinds)
+            assert str(footer.getColumnsList()[place].getKind()) == "DIRECT_V2"
+            seen += stripe.getNumberOfRows()
+    assert seen == 300
