@@ -284,13 +284,13 @@ def chapter_keys(sections: DataFrame) -> DataFrame:
 
 
 def synthetic_chapters(sections: DataFrame) -> DataFrame:
-    """doc_id, first_ord, title, n_children: the chapters that neighbouring sections of one key are wrapped in."""
+    """doc_id, first_ord, title, n_children, key, number: the chapters that neighbouring sections of one key are wrapped in."""
     w = Window.partitionBy("doc_id").orderBy("ord")
     rows = chapter_keys(sections)
     change = F.col("key").isNull() | ~F.col("key").eqNullSafe(F.lag("key").over(w))
     rows = rows.withColumn("island", F.sum(F.when(change, 1).otherwise(0)).over(w)).where("key is not null")
-    out = rows.groupBy("doc_id", "island").agg(F.min("ord").alias("first_ord"), F.min_by("number", "ord").alias("number"), F.count(F.lit(1)).alias("n_children"))
-    return out.select("doc_id", "first_ord", F.concat(F.lit("第"), F.col("number"), F.lit("章")).alias("title"), "n_children")
+    out = rows.groupBy("doc_id", "island").agg(F.min("ord").alias("first_ord"), F.min_by("number", "ord").alias("number"), F.min_by("key", "ord").alias("key"), F.count(F.lit(1)).alias("n_children"))
+    return out.select("doc_id", "first_ord", F.concat(F.lit("第"), F.col("number"), F.lit("章")).alias("title"), "n_children", "key", "number")
 
 
 def as_is(df: DataFrame, name: str) -> DataFrame:
@@ -324,8 +324,10 @@ def nodes(lines: DataFrame, headings: DataFrame, config: ParserConfig = ParserCo
     rows = rows.withColumn("lead", lead)
     key = F.concat(F.array_join("path", "/"), F.when(F.col("para") >= 0, F.concat(F.lit("/para-"), F.col("para").cast("string"))).otherwise(""))
     rows = rows.withColumns({"node_id": node_id(F.col("doc_id"), key), "parent_path": F.concat("lead", "parent_path"), "path": F.concat("lead", "path"), "level": F.col("level") + F.when(bare, 1).otherwise(0)})
-    extra = chapters.select("doc_id", F.col("first_ord").alias("ord"), F.col("title"), F.lit("synthetic").alias("rule")).unionByName(kinds.where("not has_chapter and not has_section").select("doc_id", F.lit(-1).alias("ord"), F.lit("正文").alias("title"), F.lit("fallback").alias("rule")))
-    extra = extra.select("doc_id", "ord", F.lit("chapter").alias("node_type"), node_id(F.col("doc_id"), F.concat(F.lit("synthetic/"), F.col("ord").cast("string"), F.lit("/"), F.col("title"))).alias("node_id"), "title", F.lit(1).alias("level"), none.alias("text"), F.array("title").alias("path"), F.array().cast("array<string>").alias("parent_path"), F.array().cast("array<int>").alias("pages"), "rule", F.lit(-1).alias("para"))
+    # fixed values: what the ids of chapters that no line names are made of
+    made = F.concat_ws("/", F.lit("synthetic"), "key", "number")
+    extra = chapters.select("doc_id", F.col("first_ord").alias("ord"), "title", F.lit("synthetic").alias("rule"), made.alias("place")).unionByName(kinds.where("not has_chapter and not has_section").select("doc_id", F.lit(-1).alias("ord"), F.lit("正文").alias("title"), F.lit("fallback").alias("rule"), F.lit("fallback").alias("place")))
+    extra = extra.select("doc_id", "ord", F.lit("chapter").alias("node_type"), node_id(F.col("doc_id"), F.col("place")).alias("node_id"), "title", F.lit(1).alias("level"), none.alias("text"), F.array("title").alias("path"), F.array().cast("array<string>").alias("parent_path"), F.array().cast("array<int>").alias("pages"), "rule", F.lit(-1).alias("para"))
     keep = ["doc_id", "ord", "node_type", "node_id", "title", "level", "text", "path", "parent_path", "pages", "rule", "para"]
     out = put(rows.select(*keep).unionByName(extra.select(*keep)), "placed_rows")
     parents = out.where("node_type <> 'paragraph'").groupBy("doc_id", F.col("path").alias("pp")).agg(F.min("node_id").alias("parent_id")).withColumnRenamed("doc_id", "pd")

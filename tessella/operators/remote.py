@@ -12,7 +12,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import partial, reduce
 
 import numpy as np
@@ -217,6 +217,32 @@ def judged(report: DataFrame, prompts: DataFrame, chat: Callable[[str], str], **
     return rows.withColumns({**{k: F.when(seen, c).otherwise(F.col(k)) for k, c in new.items()}, "level": F.when(seen, "heuristic+llm").otherwise("heuristic")}).drop("v")
 
 
+@dataclass(frozen=True)
+class Gate:
+    """The gate with its levels: the count of terms, and a judge where there is one. answers: options of answers(), such as store and model."""
+
+    config: E.EvidenceConfig = E.EvidenceConfig()
+    chat: Callable[[str], str] | None = None
+    answers: dict = field(default_factory=dict)
+
+    @property
+    def levels(self) -> str:
+        return "heuristic" if self.chat is None else "heuristic+llm"
+
+    def evaluate(self, queries: DataFrame, hits: DataFrame, found: DataFrame | None = None) -> DataFrame:
+        """The report on queries (query_id, query, tokens) by hits (query_id, rank, text, tokens, sparse_score); found: see gate.evaluate()."""
+        first = E.evaluate(queries.select("query_id", "tokens"), hits, self.config, found)
+        return E.gate(first) if self.chat is None else judged(first, judge_prompts(queries.select("query_id", "query"), hits), self.chat, **self.answers)
+
+
+def gate_of(settings, store: str | None = None) -> Gate:
+    """The gate that settings (sources.artifacts.Settings) name: with a judge if they have a key and a model."""
+    config = E.EvidenceConfig(**{k: getattr(settings, f"evidence_{k}") for k in ("threshold", "term_weight", "sparse_weight", "depth_weight", "saturate_at", "depth_floor", "window", "pool")})
+    if not (settings.llm_key and settings.llm_model):
+        return Gate(config)
+    return Gate(config, Chat(settings.llm_base_url, settings.llm_key, settings.llm_model, system=JUDGE), {"store": store, "model": settings.llm_model})
+
+
 # --- normaliser of experiments ----------------------------------------------------------------------------------------
 
 PATCH = "research_question string, hypothesis string, intervention string, subjects array<string>, independent_variables array<string>, dependent_variables array<string>, experimental_groups array<string>, control_groups array<string>, conclusions array<struct<statement:string,relationship:string,direction:string,evidence_ids:array<string>>>"

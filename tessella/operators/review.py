@@ -34,6 +34,19 @@ def sets_by_figure(translated: DataFrame, figure: str | None = None) -> DataFram
     return rows.join(hit, ["doc_id", "figure_id"], "left_semi")
 
 
+#: The members of a figure's block that a reviewer sees; those of the experiment stay JSON.
+EXPERIMENT = ("research_question", "groups", "variables", "conclusions")
+FIGURE = f"figure_id string, kind string, status string, confidence double, title string, caption string, {', '.join(f'{c} string' for c in EXPERIMENT)}, panels array<struct<panel_id:string,status:string,title:string>>"
+
+
+def figure_summaries(documents: DataFrame) -> DataFrame:
+    """doc_id, figure_id, kind, status, confidence, title, caption, experiment (member -> its JSON, empty ones left out), panels of the figures of reports (doc_id, json), in order n."""
+    rows = documents.select("doc_id", F.posexplode(F.from_json("json", f"figures array<struct<{FIGURE.replace(' string', ':string').replace(' double', ':double').replace(' array', ':array')}>>")["figures"]).alias("n", "f"))
+    told = F.map_filter(F.create_map(*(x for c in EXPERIMENT for x in (F.lit(c), F.col(f"f.{c}")))), lambda _, v: v.isNotNull() & ~v.isin("", "[]", "{}"))
+    plain = [F.col(f"f.{c}").alias(c) for c in ("figure_id", "kind", "status", "confidence", "title", "caption")]
+    return rows.select("doc_id", "n", *plain, told.alias("experiment"), F.coalesce("f.panels", F.array().cast("array<struct<panel_id:string,status:string,title:string>>")).alias("panels"))
+
+
 def question_set(translated: DataFrame, evidence: DataFrame, doc_id: str, set_id: str) -> DataFrame:
     """The statements of one set with their evidence in full."""
     one = translated.where((F.col("doc_id") == doc_id) & (F.col("set_id") == set_id)).select("doc_id", "set_id", "nn", label(F.col("nn")).alias("label"), "statement", "statement_zh", "is_correct", "method", F.explode("evidence_ids").alias("evidence_id"))

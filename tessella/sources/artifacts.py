@@ -27,6 +27,17 @@ class Settings:
     sparse_top_k: int = 20
     rrf_k: int = 60
     min_chunk_chars: int = 10
+    llm_base_url: str = ""
+    llm_key: str = ""
+    llm_model: str = ""
+    evidence_threshold: float = 0.8
+    evidence_term_weight: float = 0.75
+    evidence_sparse_weight: float = 0.15
+    evidence_depth_weight: float = 0.10
+    evidence_saturate_at: float = 12.0
+    evidence_depth_floor: float = 2.0
+    evidence_window: int = 5
+    evidence_pool: int = 8
 
     @classmethod
     def from_env(cls, env: dict[str, str]) -> Settings:

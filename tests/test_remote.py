@@ -216,3 +216,18 @@ def test_statements_behind_any_number_of_anchors(spark):
         assert got[i] == ("".join(f"根据Figure {k}，" for k in range(1, i + 1)) + own, "template")
     assert got[10][0] == "根据Figure 1, According to Figure 2，论文报告的百分比为 5%。" and got[10][1] == "template"
     assert got[11][1] == "term_fallback" and got[12] == ("根据x，b, According to c, d", "template")
+
+
+def test_a_gate_from_settings(spark):
+    from tessella.sources.artifacts import Settings
+
+    plain, key = M.gate_of(Settings.from_env({"TESSELLA_EVIDENCE_THRESHOLD": "0.5"})), {"TESSELLA_LLM_KEY": "k", "TESSELLA_LLM_MODEL": "m"}
+    judge = M.gate_of(Settings.from_env(key), "file:///answers")
+    assert plain.levels == "heuristic" and plain.config.threshold == 0.5 and judge.levels == "heuristic+llm" and judge.chat.system == M.JUDGE and judge.answers == {"store": "file:///answers", "model": "m"}
+    with pytest.raises(ValueError):
+        M.gate_of(Settings.from_env({"TESSELLA_EVIDENCE_TERM_WEIGHT": "0.9"}))
+    queries = spark.createDataFrame([(1, "alpha beta", ["alpha", "beta"]), (2, "gamma", ["gamma"])], "query_id int, query string, tokens array<string>")
+    hits = spark.createDataFrame([(1, r, "alpha beta", ["alpha", "beta"], 13.0) for r in (1, 2, 3)], "query_id int, rank int, text string, tokens array<string>, sparse_score double")
+    assert {r["query_id"]: (r["sufficient"], r["level"]) for r in plain.evaluate(queries, hits).collect()} == {1: (True, "heuristic"), 2: (False, "heuristic")}
+    told = M.Gate(chat=lambda p: '{"sufficient": true, "coverage_score": 0.9, "missing": []}', answers={"backoff": 0}).evaluate(queries, hits)
+    assert {r["query_id"]: (r["sufficient"], r["level"]) for r in told.collect()} == {1: (True, "heuristic"), 2: (True, "heuristic+llm")}

@@ -107,3 +107,14 @@ def test_review_reads_a_document(spark, tmp_path, capsys):
     sinks.write_stage(evidence, root, "evidence_rows")
     assert jobs.main(["review", "--root", root, "--doc", "a", "--set", "s1"]) == 0 and '"text":"whole text"' in capsys.readouterr().out
     assert jobs.main(["review", "--root", root, "--doc", "b"]) == 0 and '"set_ids":["s2"]' in capsys.readouterr().out
+
+
+def test_figure_summaries(spark):
+    from tessella.operators import review as V
+
+    one = {"figure_id": "Figure 2", "kind": "figure", "status": "PARTIAL", "confidence": 0.5, "title": "T", "caption": "C", "research_question": "", "groups": {"experimental": ["A"], "control": []}, "conclusions": [], "panels": [{"panel_id": "2a", "status": "SUFFICIENT", "title": "", "evidence": []}]}
+    doc = {"doc_id": "d", "figures": [one, {**one, "figure_id": "Figure 3", "panels": None}]}
+    got = V.figure_summaries(spark.createDataFrame([("d", json.dumps(doc)), ("e", '{"figures": []}')], "doc_id string, json string")).orderBy("n").collect()
+    assert [(r["doc_id"], r["figure_id"], r["confidence"], r["caption"]) for r in got] == [("d", "Figure 2", 0.5, "C"), ("d", "Figure 3", 0.5, "C")]
+    assert json.loads(got[0]["experiment"]["groups"]) == one["groups"] and list(got[0]["experiment"]) == ["groups"]
+    assert [tuple(p) for p in got[0]["panels"]] == [("2a", "SUFFICIENT", "")] and got[1]["panels"] == []
