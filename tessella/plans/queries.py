@@ -290,7 +290,7 @@ def chapter_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("event_id")
     e = table(spark, sf_dir, "events").select("user_id", ((F.col("event_id") * 3) % 4 + 1).cast("int").alias("n"), F.row_number().over(w).alias("ord"))
     sections = e.select(F.col("user_id").alias("doc_id"), "ord", F.concat(F.lit("第"), F.col("n").cast("string"), F.lit("节")).alias("title"))
-    return L.synthetic_chapters(sections).withColumnRenamed("doc_id", "user_id")
+    return L.synthetic_chapters(sections).drop("key", "number").withColumnRenamed("doc_id", "user_id")
 
 
 TREE = """WITH RECURSIVE n AS (SELECT 'r' || r_regionkey AS id, 'root' AS parent, r_name AS title, 'chapter' AS kind FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, 'section' FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name, 'paragraph' FROM customer),
