@@ -201,7 +201,9 @@ class Index:
         least = put(least.where(F.col("many") >= k).select("query_id", "least"), "least")
         # scores are ordered by nine places, so that a bound has to miss by more than that
         opened = bounds.join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-8))
-        return top_k(scored(opened), ["query_id"], [F.desc(F.round("score", 9)), F.col(order_col)], k).where("score > 0").select("query_id", "id", "score", "dl", "rank")
+        found = top_k(scored(opened), ["query_id"], [F.desc(F.round("score", 9)), F.col(order_col)], k).where("score > 0")
+        # hits are few and read more than once; written, they are also free of a partitioning that a union with another leg would have to match
+        return put(found.select("query_id", "id", "score", "dl", "rank"), "hits")
 
     def holds(self, wanted: DataFrame, hits: DataFrame) -> DataFrame:
         """query_id, rank, term: which wanted terms (query_id, term, token) the hits (query_id, id, rank) have, by their postings alone; a term counts with any of its tokens."""
