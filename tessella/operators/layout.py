@@ -123,9 +123,11 @@ def similar(pairs: DataFrame, a: str, b: str, name: str = "ratio") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from difflib import SequenceMatcher
+        from functools import lru_cache
 
+        ratio = lru_cache(1 << 15)(lambda s, t: SequenceMatcher(None, s, t).ratio())
         for x in batches:
-            out = [SequenceMatcher(None, s, t).ratio() for s, t in zip(x.column(i).to_pylist(), x.column(j).to_pylist(), strict=True)]
+            out = [ratio(s, t) for s, t in zip(x.column(i).to_pylist(), x.column(j).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array(out, pa.float64())], names=schema.names)
 
     return pairs.mapInArrow(run, schema)
@@ -136,18 +138,21 @@ def match_toc(lines: DataFrame, toc: DataFrame) -> DataFrame:
 
     Lines within a page of the entry compete: 3 for equal texts without white space, 2 if one holds the other, else 1 and a tenth of the ratio if
     that is 0.8 or more; the entry's own page adds 0.5. An entry takes its best line (the first of a tie), a line its best entry (the first of a tie).
-    The range join runs as three equi-joins on the page, so that no document is paired with itself as a whole."""
-    entries = toc.withColumn("target", squeezed(clean_toc_title(F.col("title")))).where("target <> ''").withColumn("near", F.explode(F.array(*(F.col("page_no") + d for d in (-1, 0, 1)))))
-    entries = entries.select("doc_id", "ord", "level", "title", "target", F.col("page_no").alias("to_page"), F.col("near").alias("page_no"))
-    rows = lines.select("doc_id", "idx", "page_no", squeezed(F.col("text")).alias("lt")).where("lt <> ''")
-    pairs = rows.join(entries, ["doc_id", "page_no"])
+    The range join runs as three equi-joins on the page, so that no document is paired with itself as a whole. Of a page's lines of one text the first alone can be
+    taken, and entries of one text and page take the same line, which leaves the first of them; so texts are paired, not rows."""
+    entries = toc.withColumn("target", squeezed(clean_toc_title(F.col("title")))).where("target <> ''")
+    entries = entries.groupBy("doc_id", "target", F.col("page_no").alias("to_page")).agg(F.min(F.struct("ord", "level", "title")).alias("e"))
+    entries = entries.withColumn("page_no", F.explode(F.array(*(F.col("to_page") + d for d in (-1, 0, 1)))))
+    rows = lines.select("doc_id", "idx", "page_no", squeezed(F.col("text")).alias("lt")).where("lt <> ''").groupBy("doc_id", "page_no", "lt").agg(F.min("idx").alias("idx"))
     sure = F.when(F.col("lt") == F.col("target"), 3.0).when(F.contains("lt", "target") | F.contains("target", "lt"), 2.0)
-    pairs = pairs.withColumn("score", sure)
+    n, m = F.length("lt"), F.length("target")
+    # the ratio is at most twice the shorter length over both, so that other pairs can't reach 0.8
+    pairs = rows.join(entries, ["doc_id", "page_no"]).withColumn("score", sure).where(F.col("score").isNotNull() | (2.0 * F.least(n, m) >= 0.8 * (n + m) - 1e-9))
     close = similar(pairs.where("score is null").drop("score"), "lt", "target").where("ratio >= 0.8").withColumn("score", 1.0 + F.col("ratio") * 0.1).drop("ratio")
     scored = pairs.where("score is not null").unionByName(close).withColumn("score", F.col("score") + F.when(F.col("page_no") == F.col("to_page"), 0.5).otherwise(0.0))
-    best = scored.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "ord").orderBy(F.desc("score"), "idx"))).where("n = 1")
-    one = best.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "idx").orderBy(F.desc("score"), "ord"))).where("n = 1")
-    return one.select("doc_id", "idx", "level", "title", "score")
+    best = scored.groupBy("doc_id", "target", "to_page").agg(F.min(F.struct(-F.col("score"), "idx", "e")).alias("b")).select("doc_id", "b.idx", (-F.col("b.col1")).alias("score"), "b.e")
+    one = best.groupBy("doc_id", "idx").agg(F.min(F.struct(-F.col("score"), F.col("e.ord"), "e", "score")).alias("b"))
+    return one.select("doc_id", "idx", "b.e.level", "b.e.title", "b.score")
 
 
 def gaps(lines: DataFrame) -> DataFrame:

@@ -127,3 +127,51 @@ def test_toc_takes_one_line_for_an_entry(spark):
     toc = spark.createDataFrame([("d", 0, 1, "Introduction", 2), ("d", 1, 2, "Introduction to cells", 2)], L.TOC)
     got = {r["title"]: (r["idx"], r["score"]) for r in L.match_toc(lines, toc).collect()}
     assert got == {"Introduction": (0, 3.0), "Introduction to cells": (1, 3.5)}
+
+
+def test_contents_entries_pair_texts_not_rows(spark):
+    """Repeated lines and entries: the first line of a text on a page and the first entry of a text count, as when rows are paired one by one."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    names = ["cell wall", "cell walls", "cellwall", "the cell", "old plate", "cold plate", "cold plates", "gear"]
+    lines = [("d", i, rng.randint(1, 4), rng.choice(names)) for i in range(80)]
+    toc = [("d", i, 1 + i % 3, rng.choice(names) + rng.choice(["", "s"]), rng.randint(1, 4)) for i in range(40)]
+    got = L.match_toc(spark.createDataFrame(lines, "doc_id string, idx int, page_no int, text string"), spark.createDataFrame(toc, L.TOC))
+    best = {}
+    for _, ord_, level, title, page in toc:
+        t, found = title.replace(" ", ""), []
+        for _, idx, at, text in lines:
+            lt = text.replace(" ", "")
+            ratio = SequenceMatcher(None, lt, t).ratio()
+            score = 3.0 if lt == t else 2.0 if lt in t or t in lt else 1 + ratio / 10 if ratio >= 0.8 else None
+            if score is not None and abs(at - page) <= 1:
+                found.append((-score - 0.5 * (at == page), idx))
+        if found:
+            score, idx = min(found)
+            best[idx] = min(best.get(idx, (9, 0, 0, "")), (score, ord_, level, title))
+    assert {r["idx"]: (round(-r["score"], 9), r["level"], r["title"]) for r in got.collect()} == {i: (round(b[0], 9), b[2], b[3]) for i, b in best.items()}
+    # the work follows the texts of a page: of 3,000 equal lines and entries one pair is made
+    many = L.match_toc(spark.range(3000).selectExpr("'d' AS doc_id", "cast(id AS int) AS idx", "1 AS page_no", "'one text' AS text"), spark.range(3000).selectExpr("'d' AS doc_id", "cast(id AS int) AS ord", "1 AS level", "'one text' AS title", "1 AS page_no"))
+    assert [tuple(r) for r in many.collect()] == [("d", 0, 1, "one text", 3.5)]
+    assert joined_rows(spark, many) < 10
+
+
+def joined_rows(spark, df) -> int:
+    """The most rows that a join of df's plan gave when it ran."""
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(p):
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(p.plan())
+        if "Join" in name:
+            found.append(p.metrics().apply("numOutputRows").value())
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+
+    walk(plan)
+    return max(found)
