@@ -79,10 +79,10 @@ def clean_report(lines: DataFrame, config: ParserConfig = ParserConfig()) -> Dat
 # --- headings ---------------------------------------------------------------------------------------------------------
 
 
-def numbering_level(text: Column) -> Column:
-    """The level that a leading number implies: chapters 1, sections 2, a.b.c by its dots, lists 3; else null."""
+def numbering_level(text: Column, dotted_number: str = P.DOTTED) -> Column:
+    """The level that a leading number implies: chapters 1, sections 2, a.b.c by its dots, lists 3; else null. dotted_number: what counts as a.b.c."""
     t = X.strip(text)
-    dotted = F.regexp_extract(t, P.DOTTED, 1)
+    dotted = F.regexp_extract(t, dotted_number, 1)
     return X.ordered_case(
         [
             (t.rlike(P.CHAPTER) | t.rlike(P.ENGLISH_CHAPTER), F.lit(1)),
