@@ -113,7 +113,7 @@ def font_profile(lines: DataFrame, max_levels: int = 4) -> DataFrame:
 
 
 def similar(pairs: DataFrame, a: str, b: str, name: str = "ratio") -> DataFrame:
-    """pairs with the ratio of matching blocks of two texts (Ratcliff and Obershelp): Arrow batches, as no built-in measures it."""
+    """pairs with the ratio of matching blocks of two texts (Ratcliff and Obershelp): Arrow batches, as no built-in measures it. A task measures texts that meet again once, while its memory of them lasts."""
     from pyspark.sql import types as T
 
     import pyarrow as pa
@@ -208,7 +208,7 @@ def font_body(lines: DataFrame) -> DataFrame:
 
 
 def compact(levels: Column) -> Column:
-    """A document's levels in order, none more than one below the compacted one before it; the first stays."""
+    """An array of levels as compacted() has them, within one row: it grows with the square of the array."""
 
     def step(acc: Column, x: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
@@ -217,6 +217,15 @@ def compact(levels: Column) -> Column:
     return F.aggregate(levels, F.array().cast("array<int>"), step)
 
 
+def compacted(headings: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """headings (doc, idx, level, ...) with levels in order of idx, none more than one below the compacted one before it; the first stays.
+
+    A level less its place never rises above the one before it, so it is the least so far: a window, and no array of a document's headings."""
+    w = Window.partitionBy(doc).orderBy("idx")
+    rows = headings.withColumn("_n", F.row_number().over(w))
+    return rows.withColumn("level", (F.min(F.col("level") - F.col("_n")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_n")).cast("int")).drop("_n")
+
+
 # --- tree -------------------------------------------------------------------------------------------------------------
 
 #: Fixed value: a stack of headings as an array of (level, title), pushed by each heading after those of its level or deeper went.
@@ -225,9 +234,7 @@ STACK = "array<struct<level:int,title:string>>"
 
 def paths(headings: DataFrame) -> DataFrame:
     """doc_id, idx, text, level (compacted), rule, confidence, path: the titles from the top to each heading. A fold over the headings of a document."""
-    items = headings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "level", "text", "rule", "confidence"))).alias("h"))
-    items = items.withColumn("levels", compact(F.transform("h", lambda x: x["level"])))
-    zipped = F.zip_with("h", "levels", lambda x, l: F.struct(x["idx"].alias("idx"), l.alias("level"), x["text"].alias("text"), x["rule"].alias("rule"), x["confidence"].alias("confidence")))
+    items = compacted(headings).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "level", "text", "rule", "confidence"))).alias("h"))
     out = "array<struct<idx:int,level:int,text:string,rule:string,confidence:double,path:array<string>>>"
 
     def step(acc: Column, x: Column) -> Column:
@@ -236,7 +243,7 @@ def paths(headings: DataFrame) -> DataFrame:
         return F.struct(stack.cast(STACK).alias("stack"), F.concat(acc["out"], F.array(row).cast(out)).alias("out"))
 
     zero = F.struct(F.array().cast(STACK).alias("stack"), F.array().cast(out).alias("out"))
-    return items.select("doc_id", F.explode(F.aggregate(zipped, zero, step, lambda a: a["out"])).alias("x")).select("doc_id", "x.*")
+    return items.select("doc_id", F.explode(F.aggregate("h", zero, step, lambda a: a["out"])).alias("x")).select("doc_id", "x.*")
 
 
 def body_x0(lines: DataFrame) -> DataFrame:
