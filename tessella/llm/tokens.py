@@ -21,6 +21,7 @@ def default_tokenizer() -> str:
 #: Marks that end words. After a Latin letter or digit a run of them is a token run of its own, so word and marks are encoded apart.
 STOPS = ".,;:!?#*$%&|<>"
 #: Letters below this one are in composed form, and lower-case alike in all libraries, but for the dotted capital I.
+#: That one in lower case ends in a combining dot, which is no letter, so that marks after it are in its run.
 LATIN_END, DOTTED = "\u0250", "\u0130"
 #: Words that a generation of the cache holds; there are two, of about 200 bytes a word.
 GENERATION = 50_000
@@ -69,7 +70,7 @@ class Encoder:
         if len(self.known) >= GENERATION:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
-        ends = [(w, stem, w[len(stem) :]) for w in words if w[-1:] in STOPS and (last := (stem := w.rstrip(STOPS))[-1:]).isalnum() and last < LATIN_END]
+        ends = [(w, stem, w[len(stem) :]) for w in words if w[-1:] in STOPS and (last := (stem := w.rstrip(STOPS))[-1:]).isalnum() and last < LATIN_END and last != DOTTED]
         want = set(words)
         want.difference_update([w for w, _, _ in ends])
         want.update([stem for _, stem, _ in ends], {stop for _, _, stop in ends})
